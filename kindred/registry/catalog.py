@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import coverage, sequence, trios  # noqa: F401
+from . import coverage, sequence, spectrum, trios  # noqa: F401
 from .core import ORACLES, QUERIES, as_callable
 
 
