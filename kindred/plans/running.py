@@ -45,6 +45,13 @@ def probability_bucket(p: str | Column) -> Column:
     )
 
 
+def signed_bucket(x: str | Column, per_octave: int = 16) -> Column:
+    """Ordered bucket of any finite double."""
+    x = F.col(x) if isinstance(x, str) else x
+    size = F.floor(F.log2(F.abs(x)) * per_octave).cast("bigint") + 40000 * per_octave
+    return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -113,3 +120,58 @@ def neighbours(
     return running(
         left, keys, pos, bucket, {"next_pos": ("min", pos)}, reverse=True, inclusive=False
     )
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    quantiles: dict[str, float],
+    bucket: Column | None = None,
+    weight: Column | None = None,
+) -> DataFrame:
+    """Exact linear-interpolation quantiles of doubles without collecting a group.
+
+    A (key, value) -> count table gets running counts; the two order statistics around each
+    quantile are the first values whose running count passes their rank.
+    """
+    n = F.count("*") if weight is None else F.sum(weight)
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("__n"))
+    run = running(
+        hist, keys, value, bucket if bucket is not None else signed_bucket(value), {"__cum": ("sum", "__n")}
+    )
+    total = hist.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    joined = run.join(total, keys) if keys else run.join(F.broadcast(total))
+    last = F.col("__total") - 1
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("__cum") > rank, F.col(value)))
+
+    sides = joined.groupBy(*keys, "__total").agg(
+        *[at(F.floor(last * q)).alias(f"__lo_{name}") for name, q in quantiles.items()],
+        *[at(F.ceil(last * q)).alias(f"__hi_{name}") for name, q in quantiles.items()],
+    )
+    cut = F.col("__total") - 1
+    return sides.select(
+        *keys,
+        *[
+            (
+                F.col(f"__lo_{name}")
+                + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (cut * q - F.floor(cut * q))
+            ).alias(name)
+            for name, q in quantiles.items()
+        ],
+    )
+
+
+def dense_index(df: DataFrame, key: str, keys: list[str] = (), out: str = "idx") -> DataFrame:
+    """Dense 0-based index of distinct keys (per ``keys``), in the order of their MD5 digest."""
+    keys = list(keys)
+    distinct = df.select(*keys, key).distinct()
+    digest = F.md5(F.col(key).cast("string"))
+    rows = distinct.withColumn("__o", F.concat(digest, F.col(key).cast("string"))).withColumn(
+        "__one", F.lit(1)
+    )
+    bucket = F.conv(F.substring("__o", 1, 3), 16, 10).cast("bigint")
+    run = running(rows, keys, "__o", bucket, {"__r": ("sum", "__one")})
+    return run.select(*keys, key, (F.col("__r") - 1).cast("bigint").alias(out))

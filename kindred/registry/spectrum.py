@@ -490,14 +490,20 @@ def _(t):
 # --- joins, spines, scalars, sorts -------------------------------------------------------------
 
 
+def often_false(t):
+    """Offspring with more than one false-positive label in nine."""
+    n_f = F.count_if(F.col("phased") == "F")
+    return t.dnm.groupBy("child").agg((9 * n_f > F.count("*")).alias("bad")).filter("bad").select("child")
+
+
 @query(
     "jn14_keep_offspring",
     f"""SELECT child, count(*) AS n FROM dnm WHERE child IN (SELECT child FROM callable_bp)
-          AND child NOT IN (SELECT child FROM dnm WHERE phased = 'F' AND pos % 997 = 1) GROUP BY child""",
+          AND child NOT IN (SELECT child FROM dnm GROUP BY child HAVING 9 * count(*) FILTER (WHERE phased = 'F') > count(*))
+        GROUP BY child""",
 )
 def _(t):
-    bad = t.dnm.filter("phased = 'F' AND pos % 997 = 1").select("child").distinct()
-    kept = sp.keep_offspring(t.dnm, t.callable_bp, bad)
+    kept = sp.keep_offspring(t.dnm, t.callable_bp, often_false(t))
     return kept.groupBy("child").agg(F.count("*").alias("n"))
 
 
@@ -650,11 +656,11 @@ def _(t):
 
 @query(
     "set03_difference",
-    "SELECT DISTINCT child FROM callable_bp WHERE child NOT IN (SELECT child FROM dnm WHERE phased = 'F' AND pos % 997 = 1)",
+    "SELECT DISTINCT child FROM callable_bp WHERE child NOT IN "
+    "(SELECT child FROM dnm GROUP BY child HAVING 9 * count(*) FILTER (WHERE phased = 'F') > count(*))",
 )
 def _(t):
-    bad = t.dnm.filter("phased = 'F' AND pos % 997 = 1").select("child")
-    return t.callable_bp.select("child").subtract(bad)
+    return t.callable_bp.select("child").subtract(often_false(t))
 
 
 @query(
