@@ -12,26 +12,17 @@ def _c(x: str | Column) -> Column:
 
 def info_map(info: str | Column) -> Column:
     """``k=v;flag`` text as a map; a flag without a value maps to 'true'."""
-    entries = F.filter(
-        F.split(_c(info), ";"), lambda e: (F.length(e) > 0) & (e != ".")
-    )
-    pairs = F.transform(
-        entries,
-        lambda e: F.struct(
-            F.substring_index(e, "=", 1).alias("key"),
-            F.when(e.contains("="), F.regexp_replace(e, "^[^=]*=", ""))
-            .otherwise("true")
-            .alias("value"),
-        ),
-    )
+    entries = F.filter(F.split(_c(info), ";"), lambda e: (F.length(e) > 0) & (e != "."))
     # the last of repeated keys wins, as in a plain dictionary
-    keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(
-            keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]
-        ),
-    )
+    keys = F.array_distinct(F.transform(entries, lambda e: F.substring_index(e, "=", 1)))
+
+    def value(key: Column) -> Column:
+        last = F.element_at(
+            F.filter(entries, lambda e: F.substring_index(e, "=", 1) == key), -1
+        )
+        return F.when(last.contains("="), F.regexp_replace(last, "^[^=]*=", "")).otherwise("true")
+
+    return F.map_from_arrays(keys, F.transform(keys, value))
 
 
 def info_get(info: str | Column, key: str) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from . import cohort, coverage, sequence, spectrum, stats, trios  # noqa: F401
+from . import cohort, coverage, ingest, sequence, spectrum, stats, trios  # noqa: F401
 from .core import ORACLES, QUERIES, as_callable
 
 

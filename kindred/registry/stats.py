@@ -137,7 +137,7 @@ def _(t):
             100.0 + a AS e11, 150.0 + d AS e12, 90.0 + c AS e21, 200.0 + b AS e22 FROM cells),
         m AS (SELECT *, y11 + y12 AS n1, y21 + y22 AS n2, y11 + y21 AS m1, CAST(e11 AS DOUBLE) * e22 / (CAST(e12 AS DOUBLE) * e21) AS o FROM q),
         w AS (SELECT *, -(o * (n1 + m1) + (n2 - m1)) AS qb FROM m), z AS (SELECT *, sqrt(greatest(qb * qb - 4 * (o - 1) * o * n1 * m1, 0)) AS root FROM w),
-        e AS (SELECT *, CASE WHEN (-qb - root) / (2 * (o - 1)) BETWEEN greatest(0, m1 - n2) AND least(n1, m1)
+        e AS (SELECT *, CASE WHEN abs(o - 1) < 1e-12 THEN n1 * m1 / (n1 + n2) WHEN (-qb - root) / (2 * (o - 1)) BETWEEN greatest(0, m1 - n2) AND least(n1, m1)
                 THEN (-qb - root) / (2 * (o - 1)) ELSE (-qb + root) / (2 * (o - 1)) END AS f FROM z),
         x AS (SELECT test_key, stratum, 2 * (coalesce(CASE WHEN y11 > 0 THEN y11 * ln(y11 / f) END, 0) + coalesce(CASE WHEN y12 > 0 THEN y12 * ln(y12 / (n1 - f)) END, 0)
                 + coalesce(CASE WHEN y21 > 0 THEN y21 * ln(y21 / (m1 - f)) END, 0) + coalesce(CASE WHEN y22 > 0 THEN y22 * ln(y22 / (n2 - m1 + f)) END, 0)) AS x FROM e)
@@ -287,10 +287,10 @@ def branches(t):
 
 @query(
     "agg54_three_point_branches",
-    f"WITH {BRANCH} SELECT replicate, round(l_a, 9) AS l_a, round(l_b, 9) AS l_b, round(l_c, 9) AS l_c FROM br",
+    f"WITH {BRANCH} SELECT replicate, round(l_a, 12) AS l_a, round(l_b, 12) AS l_b, round(l_c, 12) AS l_c FROM br",
 )
 def _(t):
-    return rounded(branches(t))
+    return rounded(branches(t), 12)
 
 
 @query(
