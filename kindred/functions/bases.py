@@ -41,40 +41,44 @@ def fold_trinuc(context: str | Column) -> Column:
     )
 
 
-def folded_substitution(ref: str | Column, alt: str | Column) -> Column:
-    """``C>A`` style label on the pyrimidine strand; NULL unless both are ACGT and differ."""
-    r, a = F.upper(_c(ref)), F.upper(_c(alt))
+def folded_site(ref, alt, before, after) -> Column:
+    """Four letters on the pyrimidine strand: 5' base, REF, 3' base, ALT.
+
+    NULL unless all are plain bases and REF and ALT differ.  The labels below are each one
+    rewrite of this string, so the folding is evaluated once per label.
+    """
+    five, r, three, a = (F.upper(_c(x)) for x in (before, ref, after, alt))
     return F.when(
-        is_base(r) & is_base(a) & (r != a),
-        F.when(is_pyrimidine(r), F.concat(r, F.lit(">"), a)).otherwise(
-            F.concat(complement(r), F.lit(">"), complement(a))
+        F.concat(five, r, three, a).rlike("^[ACGT]([ACGT])[ACGT](?!\\1)[ACGT]$"),
+        F.when(is_pyrimidine(r), F.concat(five, r, three, a)).otherwise(
+            F.translate(F.concat(three, r, five, a), "ACGT", "TGCA")
         ),
     )
 
 
+def category_of_site(site: Column) -> Column:
+    """``A[C>T]G`` from the four letters of ``folded_site``."""
+    return F.regexp_replace(site, "^(.)(.)(.)(.)$", r"$1[$2>$4]$3")
+
+
+def class7_of_site(site: Column) -> Column:
+    """Substitution class with C>T split by a 3' G."""
+    split = F.regexp_replace(site, "^.CGT$", "C>T_CpG")
+    split = F.regexp_replace(split, "^.C.T$", "C>T_nonCpG")
+    return F.regexp_replace(split, "^.(.).(.)$", r"$1>$2")
+
+
 def sbs96(ref, alt, before, after) -> Column:
     """``A[C>T]G`` category, or NULL when an allele or a flank is not a plain base."""
-    r = F.upper(_c(ref))
-    ctx = fold_trinuc(F.concat(F.upper(_c(before)), r, F.upper(_c(after))))
-    sub = folded_substitution(ref, alt)
-    return F.when(
-        ctx.isNotNull() & sub.isNotNull(),
-        F.concat(
-            F.substring(ctx, 1, 1), F.lit("["), sub, F.lit("]"), F.substring(ctx, 3, 1)
-        ),
-    )
+    return category_of_site(folded_site(ref, alt, before, after))
 
 
 def sbs_class7(ref, alt, context) -> Column:
     """Substitution class with C>T split by a 3' G; NULL when centre and REF disagree."""
-    ctx_raw = F.upper(_c(context))
-    centre_ok = F.substring(ctx_raw, 2, 1) == F.upper(_c(ref))
-    ctx, sub = fold_trinuc(ctx_raw), folded_substitution(ref, alt)
-    label = F.when(
-        sub == "C>T",
-        F.when(F.substring(ctx, 3, 1) == "G", "C>T_CpG").otherwise("C>T_nonCpG"),
-    ).otherwise(sub)
-    return F.when(centre_ok & ctx.isNotNull(), label)
+    ctx = F.upper(_c(context))
+    left, centre, right = (F.substring(ctx, i, 1) for i in (1, 2, 3))
+    site = folded_site(ref, alt, left, right)
+    return F.when((F.length(ctx) == 3) & (centre == F.upper(_c(ref))), class7_of_site(site))
 
 
 def class7_of_category(category: str | Column) -> Column:

@@ -10,9 +10,18 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def keyed_text(text: Column, slow: Column) -> Column:
+    """``k=v;k=v`` as a map by the built-in splitter; text with repeated keys, which the
+    splitter rejects, goes through ``slow``."""
+    keys = F.split(F.regexp_replace(text, "=[^;]*", ""), ";")
+    plain = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(plain, F.str_to_map(text, F.lit(";"), F.lit("="))).otherwise(slow)
+
+
 def info_map(info: str | Column) -> Column:
     """``k=v;flag`` text as a map; a flag without a value maps to 'true'."""
-    entries = F.filter(F.split(_c(info), ";"), lambda e: (F.length(e) > 0) & (e != "."))
+    text = F.regexp_replace(_c(info), r"^[;.]+$|^;+|;+$|(?<=;);+", "")
+    entries = F.filter(F.split(text, ";"), lambda e: F.length(e) > 0)
     # the last of repeated keys wins, as in a plain dictionary
     keys = F.array_distinct(F.transform(entries, lambda e: F.substring_index(e, "=", 1)))
 
@@ -20,9 +29,13 @@ def info_map(info: str | Column) -> Column:
         last = F.element_at(
             F.filter(entries, lambda e: F.substring_index(e, "=", 1) == key), -1
         )
-        return F.when(last.contains("="), F.regexp_replace(last, "^[^=]*=", "")).otherwise("true")
+        return F.when(last.contains("="), F.regexp_replace(last, "^[^=]*=", ""))
 
-    return F.map_from_arrays(keys, F.transform(keys, value))
+    slow = F.map_from_arrays(keys, F.transform(keys, value))
+    return F.when(
+        F.length(text) > 0,
+        F.transform_values(keyed_text(text, slow), lambda k, v: F.coalesce(v, F.lit("true"))),
+    ).otherwise(F.create_map().cast("map<string,string>"))
 
 
 def info_get(info: str | Column, key: str) -> Column:

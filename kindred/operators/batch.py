@@ -42,14 +42,35 @@ def with_labels(lanes: DataFrame, social: list[str]) -> DataFrame:
 
 
 def batch_occupancy(labelled: DataFrame) -> DataFrame:
-    """Distinct individuals, families, species, roles and classes per flowcell."""
-    return labelled.groupBy("round_id").agg(
-        F.count_distinct("individual").alias("n_individuals"),
-        F.count_distinct("species", "family").alias("n_families"),
-        F.count_distinct("species").alias("n_species"),
-        F.count_distinct("role").alias("n_roles"),
-        F.count_distinct("sociality").alias("n_classes"),
-        F.max("role").alias("any_role"),
+    """Distinct individuals, families, species, roles and classes per flowcell.
+
+    Each count is a chain of narrowing groupings: no row is multiplied per distinct count.
+    """
+    role, soc = F.col("role"), F.col("sociality")
+    people = (
+        labelled.groupBy("round_id", "individual")
+        .agg(F.min("role").alias("role"))
+        .groupBy("round_id")
+        .agg(
+            F.count("*").alias("n_individuals"),
+            (F.max((role == "parent").cast("bigint")) + F.max((role == "proband").cast("bigint"))).alias("n_roles"),
+            F.max("role").alias("any_role"),
+        )
+    )
+    families = (
+        labelled.groupBy("round_id", "species", "family")
+        .agg(F.min("sociality").alias("sociality"))
+        .groupBy("round_id", "species")
+        .agg(F.count("*").alias("__f"), F.min("sociality").alias("sociality"))
+        .groupBy("round_id")
+        .agg(
+            F.sum("__f").alias("n_families"),
+            F.count("*").alias("n_species"),
+            (F.max((soc == "Social").cast("bigint")) + F.max((soc != "Social").cast("bigint"))).alias("n_classes"),
+        )
+    )
+    return people.join(families, "round_id").select(
+        "round_id", "n_individuals", "n_families", "n_species", "n_roles", "n_classes", "any_role"
     )
 
 

@@ -154,7 +154,7 @@ def bootstrap_multinomial(counts: DataFrame, keys: list[str], category: str, n:
     ends = F.transform(
         F.sequence(F.lit(1), F.size("cells")),
         lambda i: F.aggregate(
-            F.slice("cells", 1, i), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]
+            F.slice("cells", 1, i), F.lit(0.0), lambda acc, x: acc + x["n"]
         ),
     )
     table = arrays.withColumn("ends", ends)
@@ -171,7 +171,9 @@ def bootstrap_multinomial(counts: DataFrame, keys: list[str], category: str, n:
         )
     )
     pick = draw_index(F.col("total"), F.lit(seed), *[F.col(k) for k in keys], F.col("rep"), F.col("__u"))
-    passed = F.size(F.filter("ends", lambda e: e <= F.col("__pick")))
+    # rank of the draw among the cumulative counts; a half keeps it apart from the ends
+    half = F.col("__pick") + F.lit(0.5)
+    passed = F.array_position(F.sort_array(F.array_append(F.col("ends"), half)), half).cast("int") - 1
     drawn = (
         units.withColumn("__pick", pick)
         .select(*keys, "rep", "total", F.get("cells", passed)["c"].alias(category))

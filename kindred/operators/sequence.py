@@ -7,11 +7,12 @@ meets its tile by an equi-join on (chrom, tile), and no row holds a whole chromo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bases as fb
-from ..functions import ids
 
 TILE_BP = 32768
 
@@ -125,24 +126,67 @@ def region_composition(spans: DataFrame, tiles: DataFrame, keys: list[str], star
 
 
 def read_context_counts(reads: DataFrame, keys: list[str], trim: int = 1500, seq: str = "seq") -> DataFrame:
-    """Folded contexts of read bases with 0-based centre in [trim, length - trim)."""
-    s = F.upper(F.col(seq))
-    size = F.length(seq)
-    first, last = F.greatest(F.lit(trim), F.lit(1)), F.least(size - trim - 1, size - 2)
-    centres = F.when(last >= first, F.sequence(first, last))
-    exploded = reads.select(*keys, s.alias("__s"), F.explode(centres).alias("__c"))
-    # count the raw contexts first: folding then runs on a few dozen rows per key
-    raw = exploded.groupBy(
-        *keys, F.substring(F.col("__s"), F.col("__c"), F.lit(3)).alias("__raw")
-    ).agg(F.count("*").alias("__n"))
+    """Folded contexts of read bases with 0-based centre in [trim, length - trim).
+
+    Exploding reads would make a row per base.  Each task instead counts the 64 raw contexts
+    of a batch with NumPy and emits one row per key and context; folding and the final sum
+    are Spark aggregations of those partial counts.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.select(*keys).schema)
+    edge = max(trim, 1)
+    words = np.array([x + y + z for x in "ACGT" for y in "ACGT" for z in "ACGT"])
+
+    def count(batches):
+        for batch in batches:
+            group = batch.groupby(keys, sort=False, dropna=False)
+            ids_ = group.ngroup().to_numpy()
+            heads = batch.loc[~pd.Series(ids_).duplicated().to_numpy(), keys].reset_index(drop=True)
+            totals = np.zeros(len(heads) * 64, dtype=np.int64)
+            for lo, hi in _byte_blocks(batch[seq]):
+                totals += _context_counts(batch[seq].iloc[lo:hi], ids_[lo:hi], edge, len(heads))
+            row, word = np.nonzero(totals.reshape(-1, 64))
+            out = heads.iloc[row].reset_index(drop=True)
+            out["__raw"] = words[word]
+            out["__n"] = totals.reshape(-1, 64)[row, word]
+            yield out
+
+    raw = reads.filter(F.col(seq).isNotNull()).select(*keys, seq).mapInPandas(
+        count, f"{schema}, __raw string, __n bigint"
+    )
     return (
-        raw.select(*keys, fb.fold_trinuc("__raw").alias("trinuc"), "__n")
-        .filter("trinuc IS NOT NULL")
-        .groupBy(*keys, "trinuc")
+        raw.groupBy(*keys, "__raw")
+        .agg(F.sum("__n").alias("__n"))
+        .groupBy(*keys, fb.fold_trinuc("__raw").alias("trinuc"))
         .agg(F.sum("__n").alias("n"))
     )
 
 
+def _byte_blocks(seqs: pd.Series, limit: int = 4_000_000):
+    """Row ranges of about ``limit`` bases, so working arrays stay small for long reads."""
+    ends = seqs.str.len().cumsum().to_numpy()
+    lo = 0
+    while lo < len(ends):
+        base = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def _context_counts(seqs: pd.Series, ids_: np.ndarray, edge: int, n_groups: int) -> np.ndarray:
+    """Counts of (group, raw context) for a block of reads laid end to end."""
+    code = np.full(256, 4, dtype=np.int64)
+    for i, letter in enumerate("ACGT"):
+        code[ord(letter)] = code[ord(letter.lower())] = i
+    size = seqs.str.len().to_numpy()
+    base = code[np.frombuffer("".join(seqs).encode("latin-1", "replace"), dtype=np.uint8)]
+    at = np.arange(len(base)) - np.repeat(np.cumsum(size) - size, size)
+    centre = np.nonzero((at >= edge) & (at < np.repeat(size, size) - edge))[0]
+    left, mid, right = base[centre - 1], base[centre], base[centre + 1]
+    plain = (left < 4) & (mid < 4) & (right < 4)
+    word = np.repeat(ids_, size)[centre] * 64 + left * 16 + mid * 4 + right
+    return np.bincount(word[plain], minlength=n_groups * 64)
+
+
 # --- editing ---------------------------------------------------------------------------
 
 

@@ -40,12 +40,16 @@ def keep_offspring(rows: DataFrame, callable_table: DataFrame, excluded: DataFra
 
 def labelled_germline(dnm: DataFrame) -> DataFrame:
     """Add ``mutation_class``, ``context`` (folded) and ``category`` from the flanking bases."""
-    raw = F.concat("n_before", "nuc_ref", "nuc_after")
-    ok = F.upper("nuc_ref") == F.upper("ref")
+    site = F.when(
+        F.upper("nuc_ref") == F.upper("ref"),
+        fb.folded_site("ref", "alt", "n_before", "nuc_after"),
+    )
     return (
-        dnm.withColumn("mutation_class", fb.sbs_class7("ref", "alt", raw))
-        .withColumn("context", F.when(ok, fb.fold_trinuc(raw)))
-        .withColumn("category", F.when(ok, fb.sbs96("ref", "alt", "n_before", "nuc_after")))
+        dnm.withColumn("__site", site)
+        .withColumn("mutation_class", fb.class7_of_site(F.col("__site")))
+        .withColumn("context", F.substring("__site", 1, 3))
+        .withColumn("category", fb.category_of_site(F.col("__site")))
+        .drop("__site")
     )
 
 

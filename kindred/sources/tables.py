@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..functions.calls import keyed_text
 
 
 def lines(spark: SparkSession, path, with_path: bool = False) -> DataFrame:
@@ -76,14 +77,15 @@ def read_bedgraph(spark: SparkSession, path) -> DataFrame:
 
 def attributes(text: Column) -> Column:
     """``k=v;k=v`` as a map; entries without '=' are dropped, the last of repeated keys wins."""
-    pairs = F.filter(F.split(text, ";"), lambda e: e.contains("="))
-    keys = F.array_distinct(F.transform(pairs, lambda e: F.trim(F.substring_index(e, "=", 1))))
+    tidy = F.regexp_replace(F.regexp_replace(text, r"\s*(^|[;=]|$)\s*", "$1"), r"^;+|;+$|(?<=;);+", "")
+    pairs = F.filter(F.split(tidy, ";"), lambda e: e.contains("="))
+    keys = F.array_distinct(F.transform(pairs, lambda e: F.substring_index(e, "=", 1)))
     value = lambda k: F.element_at(
-        F.filter(pairs, lambda e: F.trim(F.substring_index(e, "=", 1)) == k), -1
-    )
-    return F.map_from_arrays(
-        keys, F.transform(keys, lambda k: F.trim(F.regexp_replace(value(k), "^[^=]*=", "")))
+        F.filter(pairs, lambda e: F.substring_index(e, "=", 1) == k), -1
     )
+    slow = F.map_from_arrays(keys, F.transform(keys, lambda k: F.regexp_replace(value(k), "^[^=]*=", "")))
+    flagless = tidy.rlike("^[^;=]+=[^;]*(;[^;=]+=[^;]*)*$")
+    return F.when(flagless, keyed_text(tidy, slow)).otherwise(slow)
 
 
 def parse_gff(rows: DataFrame) -> DataFrame:
