@@ -7,10 +7,11 @@ by the depth range, however many sites a key has.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.running import position_bucket, running
+from ..plans.spine import dense_counts
 
 
 def depth_histogram(df: DataFrame, keys: list[str], value: str = "dp", weight: Column | None = None) -> DataFrame:
@@ -59,28 +60,22 @@ def depth_mean_std(calls: DataFrame, keys: list[str], value: str = "dp") -> Data
 def coverage_stats(depth: DataFrame, lengths: DataFrame, keys: list[str] = ("sample", "chrom")) -> DataFrame:
     """Covered bases, total depth, mean over the chromosome, mean and median where covered.
 
-    Starts from the covered sites; keys without any come from ``lengths`` through the
-    caller's sample list and stay NULL.
+    Keys without a covered base stay, with NULL statistics.
     """
-    hist = depth_histogram(depth.filter("depth >= 1"), list(keys), "depth")
+    hist = depth_histogram(depth, list(keys), "depth")
+    v, n = F.col("depth"), F.col("count")
+    seen = F.when(v >= 1, n)
+    zero = F.lit(0).cast("bigint")
     stats = hist.groupBy(*keys).agg(
-        F.sum("count").alias("covered_bases"),
-        F.sum(F.col("depth") * F.col("count")).alias("total_depth"),
-        F.percentile("depth", F.lit(0.5), F.col("count")).alias("median_covered"),
+        F.coalesce(F.sum(seen), zero).alias("covered_bases"),
+        F.coalesce(F.sum(v * seen), zero).alias("total_depth"),
+        F.percentile(F.when(v >= 1, v), F.lit(0.5), F.coalesce(seen, zero)).alias("median_covered"),
     )
-    seen = depth.select(*keys).distinct().join(lengths, "chrom")
-    covered = F.col("covered_bases")
+    covered = F.col("covered_bases") > 0
     return (
-        seen.join(stats, list(keys), "left")
-        .withColumn("covered_bases", F.coalesce(covered, F.lit(0)))
-        .withColumn("total_depth", F.coalesce("total_depth", F.lit(0)))
-        .withColumn(
-            "mean_all",
-            F.when(F.col("covered_bases") > 0, F.try_divide(F.col("total_depth"), F.col("length"))),
-        )
-        .withColumn(
-            "mean_covered", F.try_divide(F.col("total_depth"), F.col("covered_bases"))
-        )
+        stats.join(lengths, "chrom")
+        .withColumn("mean_all", F.when(covered, F.try_divide(F.col("total_depth"), F.col("length"))))
+        .withColumn("mean_covered", F.when(covered, F.col("total_depth") / F.col("covered_bases")))
     )
 
 
@@ -329,9 +324,7 @@ def ad_histogram(
         .groupBy(*keys, F.least(fixed, F.lit(bins - 1)).alias("bin"))
         .agg(F.count("*").alias("count"))
     )
-    strata = counts.select(*keys).distinct()
-    spine = strata.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return spine.join(counts, [*keys, "bin"], "left").fillna(0, subset=["count"])
+    return dense_counts(counts, keys, "bin", "count", range(bins)).drop("total")
 
 
 def grand_mean(tables: list[DataFrame], value: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import gammaincc
 from ..plans import spans
+from ..plans.cut import cut_lineage
 from ..plans.draws import draw_index, uniform
 from ..plans.running import dense_index, exact_quantiles, position_bucket, running
 from ..plans.spine import with_replicates
@@ -39,7 +40,7 @@ def replicate_summaries(reps: DataFrame, keys: list[str], values: list[str]) ->
 def bootstrap_keys(df: DataFrame, key: str, n_rep: int, seed: int, strata: list[str] = ()) -> DataFrame:
     """(strata, rep, slot, key): as many draws with replacement as there are keys."""
     strata = list(strata)
-    index = dense_index(df, key, strata)
+    index = cut_lineage(dense_index(df, key, strata))
     size = index.groupBy(*strata).agg(F.count("*").alias("__n"))
     slots = index.select(*strata, F.col("idx").alias("slot"))
     slots = slots.join(size, strata) if strata else slots.join(F.broadcast(size))
@@ -82,9 +83,9 @@ def bootstrap_hierarchical(loci: DataFrame, callable_bp: DataFrame, n_rep: int,
     ``loci``: species, family, locus, child, phase (P, M or U), one row per child.
     ``callable_bp``: species, family, child, bp.
     """
-    people = callable_bp.groupBy("species", "family", "child").agg(F.sum("bp").alias("bp"))
+    people = cut_lineage(callable_bp.groupBy("species", "family", "child").agg(F.sum("bp").alias("bp")))
     fams = bootstrap_keys(people, "family", n_rep, seed, ["species"]).withColumnRenamed("slot", "fam_slot")
-    kids = dense_index(people, "child", ["species", "family"])
+    kids = cut_lineage(dense_index(people, "child", ["species", "family"]))
     sizes = kids.groupBy("species", "family").agg(F.count("*").alias("__n"))
     chosen = (
         fams.join(sizes, ["species", "family"])
@@ -143,47 +144,47 @@ def bootstrap_hierarchical(loci: DataFrame, callable_bp: DataFrame, n_rep: int,
 def bootstrap_multinomial(counts: DataFrame, keys: list[str], category: str, n: str, n_rep: int, seed: int, block: int = 10000) -> DataFrame:
     """(keys, rep, category, draws, share): multinomial resamples of the observed counts.
 
-    Every unit is one hash draw looked up in the cumulative counts of its key, an array as
-    long as the category list.  Units are exploded in blocks, so no array grows with n.
+    Every unit is one hash draw ranked among the cumulative counts of its key, an array as
+    long as the category list.  Units are exploded in blocks, so no array grows with n, and
+    only (key, rep, cell number) counts are shuffled.
     """
-    per = counts.groupBy(*keys, category).agg(F.sum(n).alias("__n")).filter("__n > 0")
-    arrays = per.groupBy(*keys).agg(
-        F.sum("__n").alias("total"),
-        F.sort_array(F.collect_list(F.struct(F.col(category).alias("c"), F.col("__n").alias("n")))).alias("cells"),
+    per = counts.groupBy(*keys, category).agg(F.sum(n).alias("__n"))
+    cells = F.sort_array(
+        F.collect_list(F.when(F.col("__n") > 0, F.struct(F.col(category).alias("c"), F.col("__n").alias("n"))))
     )
+    arrays = per.groupBy(*keys).agg(F.sum("__n").alias("total"), cells.alias("cells"))
     ends = F.transform(
         F.sequence(F.lit(1), F.size("cells")),
-        lambda i: F.aggregate(
-            F.slice("cells", 1, i), F.lit(0.0), lambda acc, x: acc + x["n"]
-        ),
+        lambda i: F.aggregate(F.slice("cells", 1, i), F.lit(0.0), lambda acc, x: acc + x["n"]),
     )
-    table = arrays.withColumn("ends", ends)
+    table = cut_lineage(arrays.filter("total > 0").withColumn("ends", ends))
     units = (
-        with_replicates(table, n_rep)
+        with_replicates(table.drop("cells"), n_rep)
         .withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / block))))
         .withColumn(
             "__u",
-            F.explode(
-                F.sequence(
-                    F.col("__b") * block, F.least(F.col("__b") * block + block, F.col("total")) - 1
-                )
-            ),
+            F.explode(F.sequence(F.col("__b") * block, F.least(F.col("__b") * block + block, F.col("total")) - 1)),
         )
     )
-    pick = draw_index(F.col("total"), F.lit(seed), *[F.col(k) for k in keys], F.col("rep"), F.col("__u"))
-    # rank of the draw among the cumulative counts; a half keeps it apart from the ends
-    half = F.col("__pick") + F.lit(0.5)
-    passed = F.array_position(F.sort_array(F.array_append(F.col("ends"), half)), half).cast("int") - 1
+    # a half keeps the draw apart from the cumulative counts it is ranked among
+    half = draw_index(F.col("total"), F.lit(seed), *[F.col(k) for k in keys], F.col("rep"), F.col("__u")) + F.lit(0.5)
+    rank = F.array_position(F.sort_array(F.array_append(F.col("ends"), half)), half).cast("int") - 1
     drawn = (
-        units.withColumn("__pick", pick)
-        .select(*keys, "rep", "total", F.get("cells", passed)["c"].alias(category))
-        .groupBy(*keys, "rep", "total", category)
-        .agg(F.count("*").alias("draws"))
+        units.groupBy(*keys, "rep", rank.alias("__i"))
+        .agg(F.count("*").alias("__d"))
+        .groupBy(*keys, "rep")
+        .agg(F.map_from_entries(F.collect_list(F.struct("__i", "__d"))).alias("__m"))
     )
-    spine = with_replicates(per.select(*keys, category), n_rep).join(arrays.select(*keys, "total"), keys)
     return (
-        spine.join(drawn.drop("total"), [*keys, "rep", category], "left")
-        .fillna(0, subset=["draws"])
+        drawn.join(table.select(*keys, "total", "cells"), keys)
+        .select(*keys, "rep", "total", "__m", F.posexplode("cells").alias("__i", "__c"))
+        .select(
+            *keys,
+            "rep",
+            F.col("__c.c").alias(category),
+            F.coalesce(F.try_element_at("__m", F.col("__i")), F.lit(0)).cast("bigint").alias("draws"),
+            "total",
+        )
         .withColumn("share", F.col("draws") / F.col("total"))
         .drop("total")
     )
@@ -215,6 +216,7 @@ def poisson_null(units: DataFrame, by: list[str], unit: str, n_rep: int, seed: i
     ``units``: by, unit, unique_dnms, callable_sites.  With ``group`` counts are drawn per
     unit and summed per group (individuals drawn, families compared).
     """
+    units = cut_lineage(units)
     pooled = units.groupBy(*by).agg(
         (F.sum("unique_dnms") / (ploidy * F.sum("callable_sites"))).alias("__rate")
     )
@@ -304,7 +306,7 @@ def uniform_interval_null(spans_: DataFrame, n_points: DataFrame, n_rep: int, se
     ``spans_`` are disjoint.  ``n_points``: one row with column ``n``.  An offset is drawn in
     [0, total length) and found in the cumulative offsets by a binned range join.
     """
-    offsets = interval_offsets(spans_, start, end)
+    offsets = cut_lineage(interval_offsets(cut_lineage(spans_), start, end))
     total = offsets.agg(F.max("hi").alias("__total"))
     slots = (
         with_replicates(n_points.select("n").join(F.broadcast(total)), n_rep)

@@ -7,12 +7,12 @@ strata x a fixed number of categories.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bases as fb
 from ..functions.special import poisson_limits
-from ..plans.spine import CLASSES8, SBS96, TRINUC32, with_categories
+from ..plans.spine import CLASSES8, SBS96, TRINUC32, dense_counts, with_categories
 
 DNM_KEY = ["chrom", "pos", "ref", "alt", "father", "mother"]
 
@@ -87,24 +87,12 @@ def drop_counts(rows: DataFrame, strata: list[str]) -> DataFrame:
     )
 
 
-def class_counts(labelled: DataFrame, strata: list[str], spine: DataFrame | None = None) -> DataFrame:
+def class_counts(labelled: DataFrame, strata: list[str]) -> DataFrame:
     """Counts of the seven classes and ``overall``, zero filled per stratum."""
-    counts = (
-        labelled.filter("mutation_class IS NOT NULL")
-        .groupBy(*strata, "mutation_class")
-        .agg(F.count("*").alias("n"))
-    )
-    both = (
-        counts.select(
-            *strata, F.explode(F.array("mutation_class", F.lit("overall"))).alias("mutation_class"), "n"
-        )
-        .groupBy(*strata, "mutation_class")
-        .agg(F.sum("n").alias("n_mutations"))
-    )
-    base = with_categories(
-        spine if spine is not None else counts.select(*strata).distinct(), CLASSES8, "mutation_class"
-    )
-    return base.join(both, [*strata, "mutation_class"], "left").fillna(0, subset=["n_mutations"])
+    counts = labelled.groupBy(*strata, "mutation_class").agg(F.count("*").alias("n_mutations"))
+    return dense_counts(
+        counts, strata, "mutation_class", "n_mutations", CLASSES8, overall="overall"
+    ).drop("total")
 
 
 def class_denominators(trinuc: DataFrame, strata: list[str], n: str = "n") -> DataFrame:
@@ -152,17 +140,13 @@ def rates(counts: DataFrame, denoms: DataFrame, on: list[str], ploidy: int = 2,
     return out
 
 
-def spectrum96(labelled: DataFrame, strata: list[str], spine: DataFrame | None = None) -> DataFrame:
+def spectrum96(labelled: DataFrame, strata: list[str]) -> DataFrame:
     """96 ordered categories per stratum, zero filled, with the fraction of the total."""
-    counts = (
-        labelled.filter("category IS NOT NULL").groupBy(*strata, "category").agg(F.count("*").alias("n"))
-    )
-    base = with_categories(
-        spine if spine is not None else counts.select(*strata).distinct(), SBS96, "category", "rank"
-    )
-    full = base.join(counts, [*strata, "category"], "left").fillna(0, subset=["n"])
-    total = F.sum("n").over(W.partitionBy(*strata))  # 96 rows per stratum
-    return full.withColumn("fraction", F.when(total > 0, F.col("n") / total))
+    counts = labelled.groupBy(*strata, "category").agg(F.count("*").alias("n"))
+    full = dense_counts(counts, strata, "category", "n", SBS96, rank="rank")
+    return full.withColumn(
+        "fraction", F.when(F.col("total") > 0, F.col("n") / F.col("total"))
+    ).drop("total")
 
 
 def context_of(category: str = "category") -> Column:
@@ -179,9 +163,7 @@ def collapse7(spectrum: DataFrame, strata: list[str], n: str = "n") -> DataFrame
 def context_spine(trinuc: DataFrame, strata: list[str]) -> DataFrame:
     """All 32 contexts per stratum, zero filled."""
     total = trinuc.groupBy(*strata, "trinuc").agg(F.sum("n").alias("n"))
-    return with_categories(total.select(*strata).distinct(), TRINUC32, "trinuc").join(
-        total, [*strata, "trinuc"], "left"
-    ).fillna(0, subset=["n"])
+    return dense_counts(total, strata, "trinuc", "n", TRINUC32).drop("total")
 
 
 def pool_groups(table: DataFrame, members: DataFrame, by: list[str], measures: list[str]) -> DataFrame:

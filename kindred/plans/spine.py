@@ -39,3 +39,36 @@ def with_replicates(strata: DataFrame, n: int, name: str = "rep") -> DataFrame:
 def fill_left(spine: DataFrame, observed: DataFrame, on: list[str], zero: list[str]) -> DataFrame:
     """Left join the observations to the spine and replace missing measures by 0."""
     return spine.join(observed, on, "left").fillna(0, subset=zero)
+
+
+def dense_counts(
+    counts: DataFrame,
+    strata: list[str],
+    category: str,
+    n: str,
+    values,
+    rank: str | None = None,
+    overall: str | None = None,
+) -> DataFrame:
+    """All categories per stratum, zero filled, from a (strata, category) -> n table.
+
+    The counts of a stratum become one map with at most ``len(values)`` entries, and the
+    literal list is looked up in it: no second pass for the strata and no join.  Rows with a
+    NULL category vanish, yet their stratum stays.  ``overall`` names an extra total row.
+    """
+    known = F.col(category).isNotNull()
+    maps = counts.groupBy(*strata).agg(
+        F.map_from_entries(F.collect_list(F.when(known, F.struct(category, n)))).alias("__m"),
+        F.coalesce(F.sum(F.when(known, F.col(n))), F.lit(0)).cast("bigint").alias("__t"),
+    )
+    listed = with_categories(maps, values, "__c", rank)
+    zero = F.lit(0).cast("bigint")
+    found = F.coalesce(F.try_element_at(F.col("__m"), F.col("__c")), zero)
+    amount = F.when(F.col("__c") == overall, F.col("__t")).otherwise(found) if overall else found
+    return listed.select(
+        *strata,
+        *([rank] if rank else []),
+        F.col("__c").alias(category),
+        amount.cast("bigint").alias(n),
+        F.col("__t").alias("total"),
+    )
