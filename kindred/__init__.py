@@ -1 +1,9 @@
 """Pedigree, genotype, interval and mutation-rate analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Vectorised functions travel to the executors by value, so the package need not be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -14,8 +14,19 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _each(fn, x) -> np.ndarray:
+    """A scalar math function over an array."""
+    x = np.asarray(x, dtype=float)
+    return np.fromiter(map(fn, x.ravel()), float, x.size).reshape(x.shape)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
 
 
 def gammaln(x: np.ndarray) -> np.ndarray:
