@@ -44,7 +44,7 @@ def p6(df, *cols):
     f"""WITH {WINDOWS}, m AS (SELECT w.*, coalesce(observed, 0) AS observed FROM w LEFT JOIN o ON o.chrom = w.chrom AND o.window_start = w.window_start),
         e AS (SELECT *, sum(observed) OVER (PARTITION BY chrom) * callable_sites / sum(callable_sites) OVER (PARTITION BY chrom) AS expected FROM m),
         x AS (SELECT chrom, sum((observed - expected) ** 2 / expected) AS c, count(*) - 1 AS dof FROM e WHERE expected > 0 GROUP BY chrom)
-        SELECT chrom, round(c, 9) AS chi2, dof, {chi2_p('c', 'dof', 600)} AS p_value FROM x""",
+        SELECT chrom, round(c, 9) AS chi2, dof, CASE WHEN dof > 0 THEN {chi2_p('c', 'dof', 600)} END AS p_value FROM x""",
 )
 def _(t):
     from ..operators.coverage import window_enrichment
@@ -124,7 +124,7 @@ def _(t):
                 THEN (-qb - root) / (2 * (o - 1)) ELSE (-qb + root) / (2 * (o - 1)) END AS e FROM z),
         v AS (SELECT *, 1 / (1 / e + 1 / (n1 - e) + 1 / (m1 - e) + 1 / (n2 - m1 + e)) AS v FROM e),
         f AS (SELECT test_key, o, sum((a - e) ** 2 / v) - sum(a - e) ** 2 / sum(v) AS x, count(*) - 1 AS dof FROM v GROUP BY test_key, o)
-        SELECT test_key, round(o, 9) AS or_mh, round(x, 6) AS bd_chi2, dof, {chi2_p('x', 'dof', 400)} AS bd_p FROM f""",
+        SELECT test_key, round(o, 9) AS or_mh, round(x, 6) AS bd_chi2, dof, CASE WHEN dof > 0 THEN {chi2_p('x', 'dof', 400)} END AS bd_p FROM f""",
 )
 def _(t):
     out = hy.breslow_day(t.cells, ["test_key"])
