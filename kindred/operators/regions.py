@@ -119,18 +119,23 @@ def make_segments(lengths: DataFrame, size: int, prefix: str) -> DataFrame:
     )
 
 
-def dense_codes(df: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """Codes 1..n per contig in order of first appearance; sex contigs raise on execution."""
-    first = df.groupBy(column).agg(F.min(F.struct(*order)).alias("__first"))
-    checked = first.withColumn(
-        "__ok",
-        F.when(ids.is_sex_contig(column), F.raise_error(F.concat(F.lit("sex contig: "), F.col(column)))),
-    )
-    return checked.select(
-        F.col(column).alias("original"),
-        F.row_number().over(W.orderBy("__first")).alias("code"),
-        "__ok",
-    ).filter("__ok IS NULL").drop("__ok")
+def dense_codes(df: DataFrame, column: str, order: str, width: int = 65536) -> DataFrame:
+    """Codes 1..n per contig in the order of the smallest ``order`` value (an integer), then
+    by name; sex contigs raise on execution.
+
+    The code is a running count over the first values, so contigs are not gathered in one
+    task however many there are.
+    """
+    first = df.groupBy(column).agg(F.min(order).alias("__first"))
+    counts = first.groupBy("__first").agg(F.count("*").alias("__n"))
+    before = running(
+        counts, [], "__first", position_bucket("__first", width), {"__before": ("sum", "__n")}, inclusive=False
+    ).drop("__n")
+    tie = F.row_number().over(W.partitionBy("__first").orderBy(column))
+    checked = F.when(
+        ids.is_sex_contig(column), F.raise_error(F.concat(F.lit("sex contig: "), F.col(column))).cast("int")
+    ).otherwise((F.col("__before") + tie).cast("int"))
+    return first.join(before, "__first").select(F.col(column).alias("original"), checked.alias("code"))
 
 
 def chromosome_order(df: DataFrame, chrom: str = "chrom") -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import calls as fc
 from ..functions import ids
+from ..plans.cut import cut_lineage
 from ..plans.lookup import lookup_join
+from ..plans.spans import drop_crowded
 
 SITE = ["chrom", "pos"]
 
@@ -16,21 +18,18 @@ SITE = ["chrom", "pos"]
 
 
 def trios_from_samples(samples: DataFrame, sample: str = "sample") -> DataFrame:
-    """(family, mother, father, child) for families with both parents and an offspring."""
-    s = samples.select(sample).distinct().select(
-        ids.sample_family(sample).alias("family"),
-        ids.trio_role(sample).alias("role"),
-        F.col(sample).alias("id"),
+    """(family, mother, father, child) for families with both parents and an offspring.
+
+    One grouping by family; the offspring list is as long as the family has members.
+    """
+    role, name = ids.trio_role(sample), F.col(sample)
+    families = samples.groupBy(ids.sample_family(sample).alias("family")).agg(
+        F.max(F.when(role == "F", name)).alias("mother"),
+        F.max(F.when(role == "M", name)).alias("father"),
+        F.collect_set(F.when(role == "offspring", name)).alias("children"),
     )
-    families = s.groupBy("family").agg(
-        F.max(F.when(F.col("role") == "F", F.col("id"))).alias("mother"),
-        F.max(F.when(F.col("role") == "M", F.col("id"))).alias("father"),
-    )
-    children = s.filter("role = 'offspring'").select("family", F.col("id").alias("child"))
-    return (
-        families.filter("mother IS NOT NULL AND father IS NOT NULL")
-        .join(children, "family")
-        .select("family", "mother", "father", "child")
+    return families.filter("mother IS NOT NULL AND father IS NOT NULL").select(
+        "family", "mother", "father", F.explode("children").alias("child")
     )
 
 
@@ -74,27 +73,32 @@ def trio_wide(
     """One row per (site, trio) with f_*, m_* and c_* columns; missing members drop the trio.
 
     One shuffle on (site, family): a group is the members of one family at one site, so its
-    size is bounded by the pedigree and not by the data.
+    size is bounded by the pedigree and not by the data.  Nothing shrinks before that
+    shuffle, so rows are moved as they are and grouped afterwards, without partial lists.
     """
     site = site or SITE
     site_fields = site_fields or []
     members = trio_members(trios).withColumnRenamed("family", "__family")
     base = calls.drop("family") if "family" in calls.columns else calls
     joined = lookup_join(base, members, ["sample"])
-    body = F.struct("sample", *fields)
-    grouped = joined.groupBy(*site, F.col("__family").alias("family")).agg(
-        *[F.any_value(c).alias(c) for c in site_fields],
-        F.max_by(body, F.when(F.col("member") == "F", 1)).alias("m"),
-        F.max_by(body, F.when(F.col("member") == "M", 1)).alias("f"),
-        F.collect_list(F.when(F.col("member") == "C", body)).alias("cs"),
+    grouped = (
+        joined.repartition(*site, "__family")
+        .groupBy(*site, F.col("__family").alias("family"))
+        .agg(F.collect_list(F.struct("member", "sample", *fields, *site_fields)).alias("__l"))
     )
+
+    def those(member: str) -> Column:
+        return F.filter("__l", lambda x: x["member"] == member)
+
     return (
-        grouped.filter("m IS NOT NULL AND f IS NOT NULL")
-        .select(*site, "family", *site_fields, "m", "f", F.explode("cs").alias("c"))
+        grouped.withColumn("f", F.get(those("M"), F.lit(0)))
+        .withColumn("m", F.get(those("F"), F.lit(0)))
+        .filter("m IS NOT NULL AND f IS NOT NULL")
+        .select(*site, "family", "m", "f", F.explode(those("C")).alias("c"))
         .select(
             *site,
             "family",
-            *site_fields,
+            *[F.col(f"c.{x}").alias(x) for x in site_fields],
             F.col("f.sample").alias("father"),
             F.col("m.sample").alias("mother"),
             F.col("c.sample").alias("child"),
@@ -230,6 +234,39 @@ def de_novo_candidates(wide: DataFrame) -> DataFrame:
     return wide.filter("f_gt = '0/0' AND m_gt = '0/0' AND c_gt = '0/1'")
 
 
+def callable_windows(callable_trios: DataFrame, width: int = 65536) -> DataFrame:
+    """Callable rows folded to (child, chromosome, window): their number and the candidates.
+
+    Numerator and denominator of a rate then come from one pass over the sites.  A window
+    lists at most ``width`` candidates, and de novo candidates are rare.
+    """
+    snp = F.col("ref").rlike("^[ACGT]$") & F.col("alt").rlike("^[ACGT]$")
+    de_novo = (F.col("f_gt") == "0/0") & (F.col("m_gt") == "0/0") & (F.col("c_gt") == "0/1")
+    site = F.struct("pos", "ref", "alt", "c_ref_dp", "c_alt_dp")
+    window = F.floor(F.col("pos") / F.lit(width)).cast("bigint").alias("window")
+    return callable_trios.groupBy("child", "chrom", window).agg(
+        F.count("*").alias("n_callable"), F.collect_list(F.when(snp & de_novo, site)).alias("candidates")
+    )
+
+
+def trio_rates(windows: DataFrame, distance: int = 150, lo: float = 0.3, hi: float = 0.7) -> DataFrame:
+    """De novo candidates per trio and callable base, from ``callable_windows``.
+
+    The distance filter runs before allele balance, so an unbalanced candidate still removes
+    its neighbour.
+    """
+    windows = cut_lineage(windows)
+    den = windows.groupBy("child").agg(F.sum("n_callable").alias("callable_sites"))
+    sites = windows.select("child", "chrom", F.explode("candidates").alias("s")).select("child", "chrom", "s.*")
+    kept = allele_balance(drop_crowded(sites, ["child", "chrom"], "pos", distance), lo, hi)
+    num = kept.groupBy("child").agg(F.count("*").alias("n_dnm"))
+    return (
+        den.join(num, "child", "left")
+        .fillna(0, subset=["n_dnm"])
+        .withColumn("rate", F.col("n_dnm") / (2.0 * F.col("callable_sites")))
+    )
+
+
 def hemizygous_candidates(wide_with_sex: DataFrame) -> DataFrame:
     """X chromosome: both parents 0/0; daughters 0/1, sons 1/1."""
     return wide_with_sex.filter(

@@ -395,7 +395,7 @@ def _(t):
          SELECT 'c_' || CAST(o_custkey % 12 + 1 AS VARCHAR) AS chrom, min(o_orderkey) AS m FROM orders GROUP BY 1) z""",
 )
 def _(t):
-    return rg.dense_codes(t.sites, "chrom", ["pos"])
+    return rg.dense_codes(t.sites, "chrom", "pos")
 
 
 SEGMENTS = """s AS (SELECT chrom, length, unnest(range(1, length + 1, 5000)) AS start FROM chrom_len),

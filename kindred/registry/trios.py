@@ -386,14 +386,6 @@ FLAGSHIP = f"""
 def trio_rates(t):
     """De novo candidates per trio and callable base, in one pass over the callable rows.
 
-    The denominator and the numerator come from the same (site, trio) rows; the distance
-    filter runs before allele balance, so an unbalanced site still removes its neighbour.
+    The callable rows are folded to windows once; both counts come from those.
     """
-    den = callable_trios(t).groupBy("child").agg(F.count("*").alias("callable_sites"))
-    num = (
-        tr.allele_balance(isolated(t)).groupBy("child").agg(F.count("*").alias("n_dnm"))
-    )
-    out = den.join(num, "child", "left").fillna(0, subset=["n_dnm"])
-    return rounded(
-        out.withColumn("rate", F.col("n_dnm") / (2.0 * F.col("callable_sites"))), 12
-    )
+    return rounded(tr.trio_rates(tr.callable_windows(callable_trios(t))), 12)

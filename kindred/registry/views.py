@@ -69,8 +69,8 @@ def view_sql(engine: str) -> dict[str, str]:
                    'SP_family' || CAST(k AS STRING) || '_' ||
                      CASE ln WHEN 1 THEN 'F_female' WHEN 2 THEN 'M_male'
                           ELSE 'S' || CAST(ln - 2 AS STRING) || '_offspring' END AS sample
-            FROM (SELECT DISTINCT CAST(l_orderkey % 4 + 1 AS INT) AS k, l_linenumber AS ln
-                  FROM lineitem) x""",
+            FROM (SELECT l_orderkey % 4 + 1 AS k, l_linenumber AS ln FROM lineitem
+                  GROUP BY l_orderkey % 4 + 1, l_linenumber HAVING count(*) > 0) x""",
         "sex": """
             SELECT sample AS ind,
                    CASE WHEN role IN ('S1', 'S3', 'S5') THEN 'male' ELSE 'female' END AS sex_id

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,48 @@ from .tables import lines
 def header_samples(rows: DataFrame) -> DataFrame:
     """(path, samples) from the column header line of each file."""
     return rows.filter(F.col("value").startswith("#CHROM")).select(
-        "path", F.slice(F.split("value", "\t"), 10, 1 << 30).alias("samples")
+        same_path("path"), F.slice(F.split("value", "\t"), 10, 1 << 30).alias("samples")
     )
 
 
-def parse_calls(rows: DataFrame) -> DataFrame:
+def file_headers(spark: SparkSession, path) -> DataFrame:
+    """(path, samples) of each file, reading only the lines above the first site.
+
+    Files are listed without their content and their heads are read in tasks, so finding
+    the sample names does not cost a pass over the data.
+    """
+
+    def heads(batches):
+        import gzip
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for name in batch["path"]:
+                filesystem, inner = fs.FileSystem.from_uri(name)
+                # the raw bytes are opened, so compression is handled in one place
+                with filesystem.open_input_stream(inner, compression=None) as raw:
+                    text = gzip.open(raw, "rt") if name.endswith((".gz", ".bgz")) else io.TextIOWrapper(raw)
+                    for line in text:
+                        if line.startswith("#CHROM"):
+                            found.append((name, line.rstrip("\r\n").split("\t")[9:]))
+                            break
+                        if not line.startswith("#"):
+                            break
+            yield pd.DataFrame(found, columns=["path", "samples"])
+
+    listed = spark.read.format("binaryFile").load(path).select(same_path("path"))
+    return listed.mapInPandas(heads, "path string, samples array<string>")
+
+
+def same_path(path: str) -> Column:
+    """One spelling of a file URI: ``scheme:/x`` becomes ``scheme:///x``."""
+    return F.regexp_replace(path, "^([a-z0-9+.-]+):/(?!/)", "$1:///").alias("path")
+
+
+def parse_calls(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Long call table from lines (path, value).
 
     Sample names come from the header line of the same file by a join on the path, so files
@@ -25,8 +64,9 @@ def parse_calls(rows: DataFrame) -> DataFrame:
     before the samples are exploded.  '.' is NULL.
     """
     body = rows.filter(~F.col("value").startswith("#") & (F.length("value") > 0))
-    sites = body.select("path", F.split("value", "\t").alias("f"))
-    sites = lookup_join(sites, header_samples(rows), ["path"])
+    sites = body.select(same_path("path"), F.split("value", "\t").alias("f"))
+    names = headers if headers is not None else header_samples(rows)
+    sites = lookup_join(sites, names, ["path"])
     keys = F.split(F.get("f", F.lit(8)), ":")
     place = {k: F.array_position(keys, k).cast("int").alias(f"i_{k}") for k in ("GT", "DP", "GQ", "RGQ", "AD")}
     known = lambda c: F.when(c != ".", c)
@@ -69,4 +109,4 @@ def parse_calls(rows: DataFrame) -> DataFrame:
 def read_calls(spark: SparkSession, path) -> DataFrame:
     """Read genotype matrices.  Write them once with ``write_partitioned(calls, path)``:
     later jobs then prune by chromosome and read only the columns they use."""
-    return parse_calls(lines(spark, path, with_path=True))
+    return parse_calls(lines(spark, path, with_path=True), file_headers(spark, path))

@@ -205,10 +205,16 @@ def test_segments_keep_a_one_base_tail(spark):
     ]
 
 
+def test_codes_follow_first_appearance(spark):
+    rows = [("b", 9), ("a", 40), ("b", 900), ("q", 9), ("d", 2)]
+    got = rg.dense_codes(spark.createDataFrame(rows, "c string, i bigint"), "c", "i", width=4)
+    assert {r.original: r.code for r in got.collect()} == {"d": 1, "b": 2, "q": 3, "a": 4}
+
+
 def test_sex_contig_raises(spark):
     df = spark.createDataFrame([("c_1", 1), ("c_X2", 2)], "chrom string, i int")
     with pytest.raises(PySparkException):
-        rg.dense_codes(df, "chrom", ["i"]).collect()
+        rg.dense_codes(df, "chrom", "i").collect()
 
 
 # --- sequence ----------------------------------------------------------------------------------
