@@ -99,6 +99,27 @@ def occupancy_summary(occupancy: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(spread))  # both are one row
 
 
+def spread(table: DataFrame, column: str) -> DataFrame:
+    """Minimum, median, mean and maximum of a count column, from its count-of-counts."""
+    hist = table.groupBy(column).agg(F.count("*").alias("n"))
+    v, n = F.col(column), F.col("n")
+    return hist.agg(
+        F.min(v).alias("min"),
+        F.percentile(v, F.lit(0.5), n).alias("median"),
+        (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.max(v).alias("max"),
+    ).select(F.lit(column).alias("measure"), "min", "median", "mean", "max")
+
+
+def flowcells_per_family(labelled: DataFrame) -> DataFrame:
+    return (
+        labelled.select("species", "family", "round_id")
+        .distinct()
+        .groupBy("species", "family")
+        .agg(F.count("*").alias("flowcells_per_family"))
+    )
+
+
 def count_of_counts(occupancy: DataFrame, column: str) -> DataFrame:
     return occupancy.groupBy(column).agg(F.count("*").alias("n_flowcells"))
 

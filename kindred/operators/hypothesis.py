@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calls import log2_odds
 from ..functions.special import chi2_sf, fisher_p, normal_two_sided, three_way_g2
 from ..plans.gram import pair_sums
 from ..plans.running import probability_bucket, running, signed_bucket
@@ -60,6 +61,31 @@ def fisher_2x2(df: DataFrame, a: str = "a", b: str = "b", c: str = "c", d: str =
     )
 
 
+def category_tests(table: DataFrame, keys: list[str], category: str, first: str, second: str) -> DataFrame:
+    """Each category against the rest between two count columns: shares, odds ratio, exact
+    p-value and its Benjamini-Hochberg adjustment within ``keys``."""
+    totals = table.groupBy(*keys).agg(F.sum(first).alias("__t1"), F.sum(second).alias("__t2"))
+    rows = table.join(totals, keys) if keys else table.join(F.broadcast(totals))
+    cells = rows.select(
+        *keys,
+        category,
+        F.col(first).alias("a"),
+        (F.col("__t1") - F.col(first)).alias("b"),
+        F.col(second).alias("c"),
+        (F.col("__t2") - F.col(second)).alias("d"),
+    )
+    share = lambda x, y: F.when(F.col(x) + F.col(y) > 0, F.col(x) / (F.col(x) + F.col(y))).otherwise(F.lit(0.0))
+    tested = (
+        fisher_2x2(cells)
+        .withColumn("share_first", share("a", "b"))
+        .withColumn("share_second", share("c", "d"))
+        .withColumn("log2_or", log2_odds("a", "b", "c", "d"))
+    )
+    return bh_adjust(tested, keys, "p_two_sided").withColumn(
+        "significant", F.coalesce(F.col("p_adjusted") < 0.05, F.lit(False))
+    )
+
+
 def _margins(a="a", b="b", c="c", d="d"):
     a, b, c, d = (F.col(x).cast("double") for x in (a, b, c, d))
     return a, b, c, d, a + b, c + d, a + c, b + d, a + b + c + d

@@ -63,6 +63,20 @@ def sharing_summary(dnm: DataFrame, species: DataFrame, excluded: list[str]) ->
     return out.fillna(0)
 
 
+def sharing_by_class(locus_table: DataFrame, species: DataFrame, group: str = "sociality") -> DataFrame:
+    """Shared and unique loci pooled over the species of a class, with the shared fraction."""
+    per_species = locus_table.groupBy("species").agg(
+        F.count_if(F.col("sharing") == "shared").alias("n_shared"),
+        F.count_if(F.col("sharing") == "unique").alias("n_unique"),
+    )
+    return (
+        per_species.join(species.select("species", group), "species")
+        .groupBy(group)
+        .agg(F.sum("n_shared").alias("n_shared"), F.sum("n_unique").alias("n_unique"))
+        .withColumn("shared_fraction", F.col("n_shared") / (F.col("n_shared") + F.col("n_unique")))
+    )
+
+
 def with_sharing(dnm: DataFrame, key: list[str]) -> DataFrame:
     """Add ``n_offspring`` and ``sharing`` to every row (a grouped transform)."""
     n = dnm.groupBy(*key).agg(F.count_distinct("child").alias("n_offspring"))

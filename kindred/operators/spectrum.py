@@ -87,6 +87,34 @@ def drop_counts(rows: DataFrame, strata: list[str]) -> DataFrame:
     )
 
 
+def germline_drop_counts(dnm: DataFrame, kept: DataFrame, x_chroms: list[str], strata: list[str]) -> DataFrame:
+    """Rows dropped per rule, first match, and the unique mutations that remain.
+
+    ``kept``: offspring that are callable and not excluded.
+    """
+    flagged = labelled_germline(dnm).join(
+        kept.select("child").distinct().withColumn("__kept", F.lit(True)), "child", "left"
+    )
+    rule = (
+        F.when(F.col("chrom").isin(*x_chroms), "x")
+        .when(F.col("__kept").isNull(), "offspring")
+        .when(F.col("mutation_class").isNull(), "unclassified")
+        .otherwise("used")
+    )
+    # one row per mutation and rule: duplicates collapse before the distinct count
+    per = flagged.groupBy(*dict.fromkeys([*strata, *DNM_KEY]), rule.alias("__rule")).agg(
+        F.count("*").alias("__n")
+    )
+    rows = lambda r: F.coalesce(F.sum(F.when(F.col("__rule") == r, F.col("__n"))), F.lit(0)).cast("bigint")
+    return per.groupBy(*strata).agg(
+        F.sum("__n").alias("n_total_rows"),
+        rows("x").alias("n_dropped_x"),
+        rows("offspring").alias("n_dropped_offspring"),
+        rows("unclassified").alias("n_skipped_unclassified"),
+        F.count_if(F.col("__rule") == "used").alias("n_unique"),
+    )
+
+
 def class_counts(labelled: DataFrame, strata: list[str]) -> DataFrame:
     """Counts of the seven classes and ``overall``, zero filled per stratum."""
     counts = labelled.groupBy(*strata, "mutation_class").agg(F.count("*").alias("n_mutations"))

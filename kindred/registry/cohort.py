@@ -83,6 +83,21 @@ def _(t):
     return bt.count_of_counts(bt.batch_occupancy(labelled(t)), "n_individuals")
 
 
+@query(
+    "agg22_spread",
+    f"""WITH {OCC}, f AS (SELECT species, family, count(DISTINCT round_id) AS n FROM lanes GROUP BY 1, 2),
+        v AS (SELECT 'n_individuals' AS measure, n_individuals AS v FROM occ UNION ALL SELECT 'n_families', n_families FROM occ
+              UNION ALL SELECT 'flowcells_per_family', n FROM f)
+        SELECT measure, min(v) AS min, median(v) AS median, round(avg(v), 9) AS mean, max(v) AS max FROM v GROUP BY measure""",
+)
+def _(t):
+    rows = labelled(t)
+    occupancy = bt.batch_occupancy(rows)
+    parts = [bt.spread(occupancy, c) for c in ("n_individuals", "n_families")]
+    parts.append(bt.spread(bt.flowcells_per_family(rows), "flowcells_per_family"))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
 @query(
     "agg23_coassignment",
     f"""SELECT species, family, count(*) FILTER (WHERE r > 1) AS shared_flowcells, count(*) AS n_flowcells FROM (

@@ -93,6 +93,19 @@ def _(t):
     return sp.class_counts(sp.labelled_somatic(t.somatic), ["species"])
 
 
+@query(
+    "agg29_drop_counts",
+    f"""WITH {LAB}, k AS (SELECT child FROM callable_bp WHERE child NOT IN {OUT_SQL}),
+        r AS (SELECT *, CASE WHEN chrom IN ('c_11','c_12') THEN 'x' WHEN child NOT IN (SELECT child FROM k) THEN 'offspring' ELSE 'used' END AS rule FROM lab)
+        SELECT species, count(*) AS n_total_rows, count(*) FILTER (WHERE rule = 'x') AS n_dropped_x,
+          count(*) FILTER (WHERE rule = 'offspring') AS n_dropped_offspring, CAST(0 AS BIGINT) AS n_skipped_unclassified,
+          count(DISTINCT (chrom, pos, ref, alt, father, mother)) FILTER (WHERE rule = 'used') AS n_unique FROM r GROUP BY species""",
+)
+def _(t):
+    kept = t.callable_bp.filter(~F.col("child").isin(*OUT))
+    return sp.germline_drop_counts(t.dnm, kept, X, ["species"])
+
+
 @query("agg30_class_denominators", BASE + " SELECT species, mc AS mutation_class, d AS denom FROM gd")
 def _(t):
     return sp.class_denominators(t.trinuc.filter(~F.col("chrom").isin(*X)), ["species"])
@@ -302,6 +315,23 @@ def _(t):
     return fc_rounded(sp.fold_change(g, s, ["species", "category"]))
 
 
+@query(
+    "agg34_rate_master_96",
+    f"""WITH {LAB}, g AS (SELECT * FROM (WITH {spec('ded')} SELECT * FROM s96)), s AS (SELECT * FROM (WITH {spec('som')} SELECT * FROM s96)),
+      gt AS (SELECT species, trinuc, CAST(sum(n) AS BIGINT) AS d FROM trinuc WHERE {NOT_X} GROUP BY 1, 2),
+      st AS (SELECT species, trinuc, CAST(sum(n) AS BIGINT) * 11 AS d FROM trinuc GROUP BY 1, 2),
+      b AS (SELECT g.species, category, n, coalesce(d, 0) AS d, 'germline' AS level, 2 AS p FROM g LEFT JOIN gt ON gt.species = g.species AND trinuc = substr(category,1,1) || substr(category,3,1) || substr(category,7,1)
+            UNION ALL SELECT s.species, category, n, coalesce(d, 0), 'somatic', 1 FROM s LEFT JOIN st ON st.species = s.species AND trinuc = substr(category,1,1) || substr(category,3,1) || substr(category,7,1)),
+      m AS (SELECT 'per_species' AS group_name, * FROM b UNION ALL SELECT group_name, 'merged', category, CAST(sum(n) AS BIGINT), CAST(sum(d) AS BIGINT), level, p
+            FROM b JOIN group_members q ON q.species = b.species GROUP BY group_name, category, level, p)
+      SELECT group_name, species, level, category, n AS n_mutations, d AS denom, CASE WHEN d > 0 THEN round(n / (1.0 * d * p), 15) END AS rate FROM m""",
+)
+def _(t):
+    g = table96(germline(t), t.trinuc.filter(~F.col("chrom").isin(*X)), 1)
+    s = table96(sp.labelled_somatic(t.somatic), t.trinuc, 11)
+    return rounded(sp.rate_master(g, s, t.group_members, "category", limits=False), 15)
+
+
 # --- sharing and phasing -----------------------------------------------------------------
 
 LOCI = """loc AS (SELECT species, family, chrom, pos, ref, alt, count(DISTINCT child) AS nc,
@@ -327,6 +357,17 @@ def _(t):
     return ph.sharing_summary(t.dnm, t.species_dim, OUT)
 
 
+@query(
+    "agg37_sharing_by_class",
+    "WITH inc AS (SELECT * FROM dnm WHERE phased <> 'F'), " + LOCI.format(src="inc")
+    + """ SELECT sociality, count(*) FILTER (WHERE nc >= 2) AS n_shared, count(*) FILTER (WHERE nc = 1) AS n_unique,
+            round(count(*) FILTER (WHERE nc >= 2) / count(*), 9) AS shared_fraction
+          FROM loc JOIN species_dim d ON d.species = loc.species GROUP BY sociality""",
+)
+def _(t):
+    return rounded(ph.sharing_by_class(ph.loci(t.dnm, drop_f=True), t.species_dim))
+
+
 @query("agg38_resolve_phase", "WITH " + LOCI.format(src="dnm") + " SELECT family, chrom, pos, ref, alt, phase FROM loc")
 def _(t):
     return ph.loci(t.dnm).select("family", "chrom", "pos", "ref", "alt", "phase")

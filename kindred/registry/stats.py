@@ -9,11 +9,12 @@ from ..operators import hypothesis as hy
 from ..operators import phasing as ph
 from ..operators import regions as rg
 from ..operators import replicates as rp
+from ..operators import spectrum as sp
 from ..plans import spans
 from ..plans.draws import duck_hash_int, duck_uniform
 from .core import query, rounded
 from .coverage import WINDOWS, islands, windows
-from .spectrum import MUT, germline, units
+from .spectrum import LAB, MUT, units
 
 SEED = 42
 
@@ -101,6 +102,33 @@ def _(t):
     return p6(out, "p_two_sided", "p_greater")
 
 
+CATEGORY = f"""WITH {LAB}, v AS (SELECT mc, count(*) FILTER (WHERE sociality = 'social') AS a, count(*) FILTER (WHERE sociality = 'subsocial') AS c
+      FROM som JOIN species_dim s ON s.species = som.species GROUP BY mc),
+    q AS (SELECT mc, a, sum(a) OVER () - a AS b, c, sum(c) OVER () - c AS d FROM v),
+    w AS (SELECT *, greatest(0, (a + c) - (c + d)) AS lo, least(a + b, a + c) AS hi, {lp('a')} AS pa FROM q),
+    p AS (SELECT *, least(1, list_sum([CASE WHEN {lp('x')} <= pa + 1e-7 THEN exp({lp('x')}) ELSE 0 END for x in range(CAST(lo AS BIGINT), CAST(hi AS BIGINT) + 1)])) AS p FROM w),
+    r AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM p),
+    z AS (SELECT *, least(1, min(p * m / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS adj FROM r)"""
+
+
+@query(
+    "tst04_category_tests",
+    CATEGORY
+    + """ SELECT mc AS mutation_class, round(CAST(a AS DOUBLE) * d / (CAST(b AS DOUBLE) * c), 9) AS odds_ratio, round(p, 6) AS p_two_sided, round(adj, 6) AS p_adjusted,
+            round(a / (a + b), 9) AS share_first, round(c / (c + d), 9) AS share_second FROM z""",
+)
+def _(t):
+    rows = sp.labelled_somatic(t.somatic).join(t.species_dim.select("species", "sociality"), "species")
+    table = rows.groupBy("mutation_class").agg(
+        F.count_if(F.col("sociality") == "social").alias("social"),
+        F.count_if(F.col("sociality") == "subsocial").alias("subsocial"),
+    )
+    out = hy.category_tests(table, [], "mutation_class", "social", "subsocial").select(
+        "mutation_class", "odds_ratio", "p_two_sided", "p_adjusted", "share_first", "share_second"
+    )
+    return p6(out, "p_two_sided", "p_adjusted")
+
+
 MH = """s AS (SELECT test_key, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c, CAST(d AS DOUBLE) AS d,
      CAST(a + b AS DOUBLE) AS n1, CAST(c + d AS DOUBLE) AS n2, CAST(a + c AS DOUBLE) AS m1, CAST(b + d AS DOUBLE) AS m2, CAST(a + b + c + d AS DOUBLE) AS n FROM cells)"""
 

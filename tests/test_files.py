@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.sources import calls, sequence, sinks, tables
+from kindred.sources import calls, dims, sequence, sinks, tables
 
 
 def test_calls_from_files_with_different_samples(spark, tmp_path):
@@ -124,3 +124,16 @@ def test_write_partitioned_and_metrics(spark, tmp_path):
     sinks.write_table(table, str(tmp_path / "t"), metrics)
     assert spark.read.csv(str(tmp_path / "t/metrics"), sep="\t", header=True).first().last == "89"
     assert spark.read.csv(str(tmp_path / "t/table"), sep="\t", header=True).count() == 90
+
+
+def test_species_dims(spark):
+    config = {
+        "species": {"A": {"sociality": "social", "x_chromosomes": ["a_X1"], "exclude_trios": ["k"]}, "B": {"sociality": "subsocial"}},
+        "groups": {"all": ["A", "B"], "social": ["A"]},
+        "sister_pairs": [["B", "A"]],
+    }
+    got = dims.species_dims(spark, config)
+    assert [(r.species, r.leaf_order) for r in got["species"].orderBy("leaf_order").collect()] == [("A", 0), ("B", 1)]
+    assert got["groups"].count() == 3 and got["sister_pairs"].first().first == "B" and got["excluded_trios"].count() == 1
+    with pytest.raises(ValueError, match="unknown species: Z"):
+        dims.species_dims(spark, {"species": {}, "groups": {"g": ["Z"]}})
