@@ -6,32 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calls as fc
+from ..plans.spans import point_in_span
 
 BASES = ("A", "C", "G", "T")
 
 
-def site_base_counts(reads: DataFrame, sites: DataFrame, min_base_quality: int = 20) -> DataFrame:
+def site_base_counts(
+    reads: DataFrame, sites: DataFrame, min_base_quality: int = 20, width: int = 512
+) -> DataFrame:
     """Counts of A, C, G, T at the given sites from ungapped alignments.
 
     ``reads``: chrom, pos (1-based start), seq, base_quality (one value, or an array per
-    base).  Reads are exploded to aligned bases and reduced to the sites before the
-    aggregation; partial counts are combined on the map side.
+    base).  Reads meet the sites they cover by a binned range join, so the rows are
+    (read, covered site) pairs and never all bases of all reads.  ``width`` should be about
+    the read length.
     """
     per_base = dict(reads.dtypes)["base_quality"].startswith("array")
-    letters = F.split(F.upper("seq"), "")
-    exploded = reads.select(
+    spans = reads.select(
         "chrom",
-        "pos",
+        F.col("pos").alias("__from"),
+        (F.col("pos") + F.length("seq")).alias("__to"),
+        "seq",
         "base_quality",
-        F.posexplode(letters).alias("__i", "base"),
     )
-    quality = F.get("base_quality", F.col("__i")) if per_base else F.col("base_quality")
-    aligned = exploded.filter((quality >= min_base_quality) & F.col("base").isin(*BASES)).select(
-        "chrom", (F.col("pos") + F.col("__i")).alias("pos"), "base"
-    )
-    wanted = sites.select("chrom", "pos").distinct()
+    if not per_base:
+        spans = spans.filter(F.col("base_quality") >= min_base_quality)
+    at = (F.col("pos") - F.col("__from")).cast("int")
+    covered = point_in_span(
+        sites.select("chrom", "pos").distinct(), spans, ["chrom"], "pos", "__from", "__to", width
+    ).withColumn("base", F.upper(F.substring(F.col("seq"), at + 1, F.lit(1))))
+    if per_base:
+        covered = covered.filter(F.get("base_quality", at) >= min_base_quality)
     return (
-        aligned.join(wanted, ["chrom", "pos"], "left_semi")
+        covered.filter(F.col("base").isin(*BASES))
         .groupBy("chrom", "pos")
         .agg(*[F.count_if(F.col("base") == b).alias(f"n_{b}") for b in BASES])
     )

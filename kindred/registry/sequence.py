@@ -282,12 +282,12 @@ CLASSED = f"""WITH {PILE},
 
 
 def classified(t):
-    return cs.classify_snps(t.sites, cs.site_base_counts(t.reads, t.sites))
+    return cs.classify_snps(t.sites, cs.site_base_counts(t.reads, t.sites, width=64))
 
 
 @query("agg52_site_base_counts", f"WITH {PILE} SELECT * FROM cnt")
 def _(t):
-    return cs.site_base_counts(t.reads, t.sites)
+    return cs.site_base_counts(t.reads, t.sites, width=64)
 
 
 @query("agg51_classify_snps", CLASSED + " SELECT chrom, pos, classification, reason FROM k")
@@ -351,7 +351,7 @@ def _(t):
 )
 def _(t):
     snps = t.sites.filter(F.length("alt") == 1)
-    joined = snps.join(cs.site_base_counts(t.reads, t.sites), ["chrom", "pos"], "left").fillna(
+    joined = snps.join(cs.site_base_counts(t.reads, t.sites, width=64), ["chrom", "pos"], "left").fillna(
         0, subset=["n_A", "n_C", "n_G", "n_T"]
     )
     return joined.select("chrom", "pos", cs.clean_support(F.col("ref"), F.col("alt")).alias("clean"))
