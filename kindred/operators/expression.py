@@ -117,7 +117,7 @@ def feature_coverage(calls: DataFrame, features: DataFrame, mean_depth: DataFram
     )
     bed = features.select("chrom", (F.col("start") - 1).alias("start"), "stop", "feature_id", "feature_type")
     return (
-        point_in_span(scaled, bed, ["chrom"], "__p", end="stop")
+        point_in_span(scaled, bed, ["chrom"], "__p", end="stop", salts=8)
         .groupBy("sample", "feature_id", "feature_type")
         .agg(F.avg("__s").alias("mean_scaled_dp"))
     )

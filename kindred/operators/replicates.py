@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.special import gammaincc
 from ..plans import spans
 from ..plans.cut import cut_lineage
-from ..plans.draws import draw_index, uniform
+from ..plans.draws import draw_index, hash_int, uniform
 from ..plans.running import dense_index, exact_quantiles, position_bucket, running
 from ..plans.spine import with_replicates
 from .regions import mean_nearest_neighbour
@@ -190,6 +190,39 @@ def bootstrap_multinomial(counts: DataFrame, keys: list[str], category: str, n:
     )
 
 
+def bootstrap_multinomial_large(counts: DataFrame, keys: list[str], category: str, n: str, n_rep: int, seed: int) -> DataFrame:
+    """The same resamples for totals too large to draw unit by unit.
+
+    Each (key, replicate) is one vectorised multinomial draw from a generator seeded by the
+    hash of its labels, so the cost grows with the categories and not with the counts.
+    """
+    per = counts.groupBy(*keys, category).agg(F.sum(n).alias("__n"))
+    cells = F.sort_array(F.collect_list(F.struct(F.col(category).alias("c"), F.col("__n").alias("n"))))
+    arrays = per.groupBy(*keys).agg(F.sum("__n").alias("total"), cells.alias("cells")).filter("total > 0")
+
+    @F.pandas_udf("array<bigint>")
+    def draw(sizes: pd.Series, state: pd.Series) -> pd.Series:
+        out = []
+        for cell, start in zip(sizes, state):
+            cell = np.asarray(cell, dtype=np.int64)
+            out.append(np.random.default_rng(int(start)).multinomial(cell.sum(), cell / cell.sum()))
+        return pd.Series(out)
+
+    state = hash_int(F.lit(seed), *[F.col(k) for k in keys], F.col("rep"))
+    drawn = with_replicates(arrays, n_rep).withColumn(
+        "__d", draw(F.transform("cells", lambda c: c["n"]), state)
+    )
+    return drawn.select(
+        *keys, "rep", "total", F.explode(F.arrays_zip("cells", F.col("__d").alias("d"))).alias("x")
+    ).select(
+        *keys,
+        "rep",
+        F.col("x.cells.c").alias(category),
+        F.col("x.d").alias("draws"),
+        (F.col("x.d") / F.col("total")).alias("share"),
+    )
+
+
 # --- null models --------------------------------------------------------------------------
 
 

@@ -110,10 +110,13 @@ def point_in_span(
     end: str = "end",
     width: int = DEFAULT_WIDTH,
     how: str = "inner",
+    salts: int = 1,
 ) -> DataFrame:
     """Join 0-based points to half-open spans.  ``how``: inner, left, left_semi, left_anti.
 
     A span is repeated once per touched bin, a point once in all, and no pair appears twice.
+    With ``salts`` the points of a bin are spread over that many tasks and the spans, which
+    should then be the smaller side, are repeated for each.
     """
     p = points.withColumn("__bin", bin_of(F.col(pos), width))
     s = spans.filter(F.col(end) > F.col(start)).withColumn(
@@ -121,6 +124,10 @@ def point_in_span(
     )
     for k in keys:
         s = s.withColumnRenamed(k, f"__s_{k}")
+    if salts > 1:
+        hashed = [c for c, t in points.dtypes if not t.startswith("map")]
+        p = p.withColumn("__salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)).cast("int"))
+        s = s.withColumn("__ssalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     on = (
         (F.col("__bin") == F.col("__sbin"))
         & (F.col(pos) >= F.col(start))
@@ -128,7 +135,11 @@ def point_in_span(
     )
     for k in keys:
         on = on & (F.col(k) == F.col(f"__s_{k}"))
-    return p.join(s, on, how).drop("__bin", "__sbin", *[f"__s_{k}" for k in keys])
+    if salts > 1:
+        on = on & (F.col("__salt") == F.col("__ssalt"))
+    return p.join(s, on, how).drop(
+        "__bin", "__sbin", "__salt", "__ssalt", *[f"__s_{k}" for k in keys]
+    )
 
 
 def crowded_positions(

@@ -312,7 +312,7 @@ def _(t):
     return rounded(cs.classification_stats(classified(t), ["chrom"]))
 
 
-ODD_BYTE = "CAST('0x' || substr(sha256('20260514:SP:' || chrom || ':' || CAST(pos AS VARCHAR)), 1, 2) AS BIGINT) % 2 = 1"
+ODD_BYTE = "CAST('0x' || substr(sha256('1234:SP:' || chrom || ':' || CAST(pos AS VARCHAR)), 1, 2) AS BIGINT) % 2 = 1"
 
 
 @query(
@@ -321,7 +321,7 @@ ODD_BYTE = "CAST('0x' || substr(sha256('20260514:SP:' || chrom || ':' || CAST(po
 )
 def _(t):
     return t.sites.select(
-        "chrom", "pos", fc.seeded_choice(20260514, F.lit("SP"), "chrom", "pos").alias("take_alt")
+        "chrom", "pos", fc.seeded_choice(1234, F.lit("SP"), "chrom", "pos").alias("take_alt")
     )
 
 
@@ -340,7 +340,7 @@ def _(t):
            CROSS JOIN (VALUES ('strict'), ('relaxed')) p(policy)""",
 )
 def _(t):
-    return cs.select_alleles(classified(t), 20260514, "SP").select(
+    return cs.select_alleles(classified(t), 1234, "SP").select(
         "chrom", "pos", "mode", "policy", "action"
     )
 

@@ -104,11 +104,11 @@ def test_pair_table_by_header(spark, tmp_path):
 
 
 def test_union_of_files_with_provenance(spark, tmp_path):
-    for name in ("AFR_family1_S1_c_1", "AFR_family1_S2_c_2"):
+    for name in ("ABC_family1_S1_c_1", "ABC_family1_S2_c_2"):
         (tmp_path / f"{name}_sites.vcf").write_text("x\ny\n")
     got = tables.union_files(spark, str(tmp_path / "*_sites.vcf"), r"^(.*_S\d+)_(c_\d+)_sites", ["ind", "chrom"])
     assert sorted((r.ind, r.chrom, r.n) for r in got.groupBy("ind", "chrom").agg(F.count("*").alias("n")).collect()) == [
-        ("AFR_family1_S1", "c_1", 2), ("AFR_family1_S2", "c_2", 2),
+        ("ABC_family1_S1", "c_1", 2), ("ABC_family1_S2", "c_2", 2),
     ]
     with pytest.raises(Exception):
         tables.union_files(spark, str(tmp_path / "*.none"), "x", ["a"]).collect()

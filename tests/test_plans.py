@@ -102,15 +102,16 @@ def test_distance_150_and_151(spark):
     ]
 
 
+@pytest.mark.parametrize("salts", [1, 3])
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])
-def test_point_in_span(spark, how):
+def test_point_in_span(spark, how, salts):
     rnd = random.Random(9)
     points = [(k, p, i) for i, (k, p) in enumerate(skewed_points(120, 8))]
     sp = [(k, s, s + rnd.choice([0, 1, 30, 900]), i) for i, (k, s) in enumerate(skewed_points(60, 4))]
     out = spans.point_in_span(
         spark.createDataFrame(points, "chrom string, pos bigint, i int"),
         spark.createDataFrame(sp, "chrom string, start bigint, end bigint, j int"),
-        ["chrom"], "pos", width=50, how=how,
+        ["chrom"], "pos", width=50, how=how, salts=salts,
     )
     hits = [(p[2], s[3]) for p in points for s in sp if p[0] == s[0] and s[1] <= p[1] < s[2]]
     if how == "inner":
