@@ -80,8 +80,12 @@ def parse_calls(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
         known(F.get("f", F.lit(6))).alias("filter"),
         info_map(F.get("f", F.lit(7))).alias("info"),
         *place.values(),
-        F.explode(F.arrays_zip(F.col("samples").alias("name"), F.slice("f", 10, 1 << 30).alias("text"))).alias("s"),
+        F.arrays_zip(F.col("samples").alias("name"), F.slice("f", 10, 1 << 30).alias("text")).alias("all"),
     )
+    # the site columns are computed below the explode, and the line itself is not carried
+    # through it: the work per line grows with its samples, not with their square
+    kept = [c for c in located.columns if c != "all"]
+    located = located.select(*kept, F.explode("all").alias("s"))
     split = located.withColumn("v", F.split("s.text", ":"))
 
     def value(k: str) -> Column:
