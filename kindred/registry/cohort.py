@@ -32,16 +32,15 @@ def _(t):
     "agg21_coverage_from_bytes",
     """SELECT species, family, individual, round_id, lane, CAST(sum(bytes) AS BIGINT) AS bytes,
               round(sum(bytes) / g.genome_size, 9) AS coverage
-       FROM lanes JOIN (SELECT r_name AS species, r_regionkey * 1000 AS genome_size FROM region WHERE r_regionkey > 0) g USING (species)
+       FROM lanes JOIN (SELECT r_name AS species, (r_regionkey + 1) * 1000 AS genome_size FROM region) g USING (species)
        GROUP BY species, family, individual, round_id, lane, g.genome_size""",
 )
 def _(t):
-    genome = t.region.filter("r_regionkey > 0").select(
-        F.col("r_name").alias("species"), (F.col("r_regionkey") * 1000).alias("genome_size")
+    genome = t.region.select(
+        F.col("r_name").alias("species"), ((F.col("r_regionkey") + 1) * 1000).alias("genome_size")
     )
     sized = bt.lane_sizes(t.lanes).filter("lane <> 'TOTAL'").drop("size_gb")
-    out = bt.coverage_from_bytes(sized, genome).filter("genome_size IS NOT NULL")
-    return rounded(out.drop("genome_size"))
+    return rounded(bt.coverage_from_bytes(sized, genome).drop("genome_size"))
 
 
 def labelled(t):
@@ -390,14 +389,18 @@ def _(t):
     return ex.bias_counts(bias_table(t), mode="significance")
 
 
+BAM_SAMPLE = """concat('SP_family', CAST(pos % 4 + 1 AS STRING), '_', CASE sample WHEN 'ind1' THEN 'F_female' WHEN 'ind2' THEN 'M_male'
+    ELSE concat('S', CAST(CAST(substr(sample, 4) AS INT) - 2 AS STRING), '_offspring') END)"""
+
+
 @query(
     "jn08_report_join",
-    """SELECT a.sample, a.chrom, round(a.m, 9) AS bam_mean, round(b.m, 9) AS vcf_mean FROM
-       (SELECT 'SP_family1_F_female' AS sample, chrom, avg(depth) AS m FROM depth GROUP BY chrom) a
+    f"""SELECT a.sample, a.chrom, round(a.m, 9) AS bam_mean, round(b.m, 9) AS vcf_mean FROM
+       (SELECT {BAM_SAMPLE} AS sample, chrom, avg(depth) AS m FROM depth GROUP BY 1, 2) a
        JOIN (SELECT sample, chrom, avg(dp) AS m FROM calls GROUP BY 1, 2) b ON b.sample = a.sample AND b.chrom = a.chrom""",
 )
 def _(t):
-    bam = t.depth.groupBy(F.lit("SP_family1_F_female").alias("sample"), "chrom").agg(F.avg("depth").alias("bam_mean"))
+    bam = t.depth.groupBy(F.expr(BAM_SAMPLE).alias("sample"), "chrom").agg(F.avg("depth").alias("bam_mean"))
     vcf = t.calls.groupBy("sample", "chrom").agg(F.avg("dp").alias("vcf_mean"))
     return rounded(bam.join(vcf, ["sample", "chrom"]))
 

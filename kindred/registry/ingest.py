@@ -82,9 +82,9 @@ def _(t):
     return st.coding_parts(features).drop("file_order")
 
 
-@query("src06_read_depth", "SELECT chrom, pos, depth FROM depth WHERE depth > 0 AND chrom = 'c_3'")
+@query("src06_read_depth", "SELECT chrom, pos, depth FROM depth WHERE depth > 0")
 def _(t):
-    return st.parse_depth(t.depth.select(tsv("chrom", "pos", "depth")), chrom="c_3")
+    return st.parse_depth(t.depth.select(tsv("chrom", "pos", "depth")))
 
 
 @query("src07_read_dnm", "SELECT chrom, pos, ref, alt, child, father, mother, phased FROM dnm")
