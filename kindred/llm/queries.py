@@ -7,16 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs
+from . import byte_pairs, shards
 
 #: Rank file of the tokenizer; another path may be given to the operator.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
+SHARDS = 24
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_report(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_and_decode(table(spark, sf_dir, "documents"), byte_pairs.vocabulary(spark, RANKS))
 
