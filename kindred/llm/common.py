@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of an Arrow batch at most: long texts keep a batch at a few MB.
 BATCH_ROWS = 500
 #: Bytes of text handled at once by the numpy helpers (a longer text is handled alone).
-BLOCK_BYTES = 4 * 1024 * 1024
+BLOCK_BYTES = 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -84,7 +84,7 @@ class RangeHash:
 
     def _reach(self, n: int) -> None:
         if len(self.power) < n:
-            n = 1 << n.bit_length()
+            n = -(-n // 65536) * 65536
             back = pow(self.BASE, -1, 1 << 64)
             for name, step in (("power", self.BASE), ("inverse", back)):
                 factors = np.full(n, step, np.uint64)
