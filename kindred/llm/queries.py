@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs, secrets_scan, shards
+from . import byte_pairs, language, licenses, order_minhash, quality, secrets_scan, shards, urls
 
 #: Rank file of the tokenizer; another path may be given to the operator.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_report(table(spark, sf_dir, "pages"))
+
+
+def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secret_report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +39,14 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_report(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_report(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_and_decode(table(spark, sf_dir, "documents"), byte_pairs.vocabulary(spark, RANKS))
 
