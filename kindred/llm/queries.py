@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs, language, licenses, order_minhash, quality, secrets_scan, shards, urls
+from . import byte_pairs, decontaminate, jaccard, language, licenses, order_minhash, quality, secrets_scan, shards, urls
 
 #: Rank file of the tokenizer; another path may be given to the operator.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,10 +31,18 @@ def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_report(table(spark, sf_dir, "documents"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_report(table(spark, sf_dir, "documents"), SHARDS)
 
