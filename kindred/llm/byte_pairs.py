@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, blocks, small_batches, spread, text_bytes
+from .common import RangeHash, blocks, released, small_batches, spread, text_bytes
 
 #: Bytes of text whose distinct pieces are merged together.
 REPLAY_BYTES = 4 * 1024 * 1024
@@ -328,11 +328,25 @@ def decode(docs: DataFrame, vocab, ids: str | Column = "ids", out: str = "decode
 
 
 def encode_and_decode(docs: DataFrame, vocab) -> DataFrame:
-    """Per row: doc_id, number of ids, and SHA-256 of the packed ids and of the decoded bytes."""
-    both = decode(encode(docs.select("doc_id", "text"), vocab, out="__ids"), vocab, ids="__ids", out="__decoded")
+    """Per row: doc_id, number of ids, and SHA-256 of the packed ids and of the decoded bytes.
+
+    Encoder and decoder follow each other in one function, so that a task has one Python worker.
+    """
+    small_batches(docs.sparkSession)
+    encode_texts, decode_ids = encoder(vocab), decoder(vocab)
+
+    def round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def pairs() -> Iterator[pa.Array]:
+            for ids in encode_texts(batches):
+                (decoded,) = decode_ids(iter([ids]))
+                yield pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"])
+
+        yield from released(pairs())
+
+    both = docs.select("doc_id", F.arrow_udf(round_trip, "struct<ids:binary,decoded:binary>")("text").alias("__x"))
     return both.select(
         "doc_id",
-        (F.octet_length("__ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("__ids", 256).alias("ids_sha256"),
-        F.sha2("__decoded", 256).alias("decoded_sha256"),
+        (F.octet_length("__x.ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("__x.ids", 256).alias("ids_sha256"),
+        F.sha2("__x.decoded", 256).alias("decoded_sha256"),
     )

@@ -35,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import RangeHash, blocks, mixed, small_batches, stored, text_bytes
+from .common import RangeHash, blocks, mixed, released, small_batches, stored, text_bytes
 from .components import components
 
-#: Sets of one chunk of a cluster; a block compares two chunks.
-CHUNK = 1024
+#: Sets, and about as many tokens, of one chunk of a cluster; a block compares two chunks.
+CHUNK, CHUNK_TOKENS = 4096, 1 << 20
 #: Signatures held by a task before they are sent on.
-HELD = 1_000_000
+HELD = 500_000
 #: Cost of a segment that has next to no tokens, in signatures.
 THIN = 40.0
 #: Segments beyond the needed ones, as a share.
@@ -208,6 +208,9 @@ def signature_lists(docs: DataFrame, k: int, percent: int, text: str = "text") -
     plan = schemes(percent)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from released(dealt_out(batches))
+
+    def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = RangeHash(1), np.empty(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -303,11 +306,10 @@ def forest(sets: list[np.ndarray], chunk: np.ndarray, percent: int) -> list[tupl
     order = np.argsort(size, kind="stable")
     size, chunk = size[order], chunk[order]
     bits = 1 << min(16, max(8, int(4 * size[-1]).bit_length()))
-    maps = np.zeros((len(sets), bits), bool)
+    packed = np.empty((len(sets), bits // 64), np.uint64)
     for i, o in enumerate(order):
-        maps[i] = np.bincount((sets[o] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    packed = np.packbits(maps, axis=1).view(np.uint64)
-    del maps
+        odd = np.bincount((sets[o] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        packed[i] = np.packbits(odd.astype(bool)).view(np.uint64)
     two = chunk.min() != chunk.max()
     root = np.arange(len(sets))
 
@@ -346,19 +348,23 @@ def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    grouped = stored(grouped)
-    sizes = grouped.groupBy("cluster").agg(F.count("*").alias("size"))
-    total = grouped.count()
-    bins = max(1, total // CHUNK)
     reps = rows.filter("n > 0").join(grouped, "set_id").groupBy("set_id", "cluster").agg(
-        F.min(F.struct("no_id", "id")).alias("r")
+        F.min(F.struct("no_id", "id")).alias("r"), F.max("n").alias("n")
+    )
+    reps = stored(reps)
+    sizes = reps.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum("n") / CHUNK_TOKENS), F.ceil(F.count("*") / CHUNK)).alias("chunks")
     )
+    bins = 1 + (reps.agg(F.sum("n")).first()[0] or 0) // CHUNK_TOKENS
     wanted = reps.join(sizes, "cluster").select(
-        F.col("r.no_id").alias("no_id"), F.col("r.id").alias("id"), F.col("set_id").alias("want"), "cluster", "size"
+        F.col("r.no_id").alias("no_id"), F.col("r.id").alias("id"), F.col("set_id").alias("want"), "cluster", "chunks"
     )
     texts = docs.select(*id_columns("doc_id"), F.col(text).alias("t")).join(wanted, ["no_id", "id"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from released(picked(batches))
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = RangeHash(1), set()
         for batch in batches:
             data, at = text_bytes(batch.column(0))
@@ -381,14 +387,14 @@ def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent:
                             batch.column(3).take(pa.array([lo + i for i in pick])),
                             pa.array([tokens[upto[i] : upto[i + 1]].tobytes() for i in pick], pa.binary()),
                         ],
-                        ["set_id", "cluster", "size", "tokens"],
+                        ["set_id", "cluster", "chunks", "tokens"],
                     )
 
-    sets = texts.select("t", "want", "cluster", "size").mapInArrow(
-        sets_of, "set_id bigint, cluster bigint, size bigint, tokens binary"
+    sets = texts.select("t", "want", "cluster", "chunks").mapInArrow(
+        sets_of, "set_id bigint, cluster bigint, chunks bigint, tokens binary"
     )
     # A cluster of one chunk shares a bin with others; of a larger one, each pair of chunks is a block.
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    chunks = F.col("chunks").cast("int")
     mine = F.pmod(F.xxhash64("set_id"), chunks).cast("int")
     dealt = sets.withColumn("chunk", mine).withColumn(
         "other", F.explode_outer(F.sequence(F.lit(0), chunks - 1))
