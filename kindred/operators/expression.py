@@ -109,17 +109,21 @@ def orthogroup_lookup(queries: DataFrame, groups: DataFrame, gene: str = "gene",
 
 
 def feature_coverage(calls: DataFrame, features: DataFrame, mean_depth: DataFrame) -> DataFrame:
-    """Mean of depth over the sample's mean depth, per sample and feature."""
-    scaled = (
-        calls.filter("dp IS NOT NULL")
-        .join(mean_depth.select("sample", "mean_depth"), "sample")
-        .select("chrom", (F.col("pos") - 1).alias("__p"), "sample", (F.col("dp") / F.col("mean_depth")).alias("__s"))
-    )
+    """Mean of depth over the sample's mean depth, per sample and feature.
+
+    Integer depths are summed and divided once, so the result does not depend on the order of
+    summation; the sample's mean is joined to the aggregated rows.
+    """
+    points = calls.filter("dp IS NOT NULL").select("chrom", (F.col("pos") - 1).alias("__p"), "sample", "dp")
     bed = features.select("chrom", (F.col("start") - 1).alias("start"), "stop", "feature_id", "feature_type")
-    return (
-        point_in_span(scaled, bed, ["chrom"], "__p", end="stop", salts=8)
+    summed = (
+        point_in_span(points, bed, ["chrom"], "__p", end="stop", salts=8)
         .groupBy("sample", "feature_id", "feature_type")
-        .agg(F.avg("__s").alias("mean_scaled_dp"))
+        .agg(F.sum("dp").alias("__total"), F.count("*").alias("__n"))
+    )
+    ratio = F.col("__total") / (F.col("__n") * F.col("mean_depth"))
+    return summed.join(mean_depth.select("sample", "mean_depth"), "sample").select(
+        "sample", "feature_id", "feature_type", ratio.alias("mean_scaled_dp")
     )
 
 

@@ -328,8 +328,9 @@ def _(t):
 # --- features -------------------------------------------------------------------------------------
 
 FCOV = """md AS (SELECT sample, avg(dp) AS mean_depth FROM calls GROUP BY sample),
-   fcov AS (SELECT c.sample, f.feature_id, f.feature_type, avg(c.dp / m.mean_depth) AS mean_scaled_dp FROM calls c
-     JOIN md m ON m.sample = c.sample JOIN features f ON f.chrom = c.chrom AND c.pos BETWEEN f.start AND f.stop GROUP BY 1, 2, 3)"""
+   fcov AS (SELECT c.sample, f.feature_id, f.feature_type, sum(c.dp) / (count(c.dp) * any_value(m.mean_depth)) AS mean_scaled_dp FROM calls c
+     JOIN md m ON m.sample = c.sample JOIN features f ON f.chrom = c.chrom AND c.pos BETWEEN f.start AND f.stop
+     WHERE c.dp IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
 def feature_cov(t):

@@ -143,9 +143,10 @@ def read_depth(spark: SparkSession, path, chrom: str | None = None, covered_only
 
 
 def require_columns(df: DataFrame, required: list[str], name: str = "table") -> DataFrame:
-    missing = [c for c in required if c not in df.columns]
-    if missing:
-        raise ValueError(f"{name} is missing required columns: {', '.join(sorted(missing))}")
+    """The table itself, or an error that names the first column it lacks and those it has."""
+    for column in required:
+        if column not in df.columns:
+            raise ValueError(f"no column {column!r} in {name}; it has {df.columns}")
     return df
 
 
