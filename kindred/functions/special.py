@@ -179,20 +179,26 @@ def fisher_one(a: int, b: int, c: int, d: int) -> tuple[float, float]:
 
 
 def ipf_g2(cells: np.ndarray, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:
-    """G-squared of the no-three-way-interaction model for tables of shape (n, 2, 2, C)."""
+    """G-squared of the no-three-way-interaction model for tables of shape (n, 2, 2, C).
+
+    A table whose fit still moves by ``tol`` or more after ``rounds`` rounds gives NaN.
+    """
     obs = cells.astype(float)
     fit = np.ones_like(obs)
+    moved = np.zeros(len(obs))
     margins = [obs.sum(axis=ax, keepdims=True) for ax in (3, 2, 1)]
     for _ in range(rounds):
         before = fit
         for ax, margin in zip((3, 2, 1), margins):
             now = fit.sum(axis=ax, keepdims=True)
             fit = fit * np.divide(margin, now, out=np.zeros_like(now), where=now > 0)
-        if np.max(np.abs(fit - before), initial=0.0) < tol:
+        moved = np.abs(fit - before).max(axis=(1, 2, 3), initial=0.0)
+        if np.max(moved, initial=0.0) < tol:
             break
     use = (obs > 0) & (fit > 0)
     ratio = np.divide(obs, fit, out=np.ones_like(obs), where=use)
-    return 2 * np.where(use, obs * np.log(ratio), 0.0).sum(axis=(1, 2, 3))
+    g2 = 2 * np.where(use, obs * np.log(ratio), 0.0).sum(axis=(1, 2, 3))
+    return np.where(moved < tol, g2, np.nan)
 
 
 # --- column functions ---------------------------------------------------------------
@@ -245,11 +251,12 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 def three_way_g2(*cells: Column) -> Column:
-    """G-squared from four equally long count arrays (group x level), one table per row."""
+    """G-squared from four equally long count arrays (group x level), one table per row; NULL without a fit."""
 
     @F.pandas_udf("double")
     def fit(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         tables = np.stack([np.stack(s.to_numpy()) for s in (a, b, c, d)], axis=1)
-        return pd.Series(ipf_g2(tables.reshape(len(tables), 2, 2, -1)))
+        g2 = pd.Series(ipf_g2(tables.reshape(len(tables), 2, 2, -1)), dtype=object)
+        return g2.where(g2.notna(), None)
 
     return fit(*cells)

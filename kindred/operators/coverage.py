@@ -57,24 +57,38 @@ def depth_mean_std(calls: DataFrame, keys: list[str], value: str = "dp") -> Data
     )
 
 
+#: Slots of the chromosome lengths when they are paired with samples.
+LENGTH_SLOTS = 16
+
+
 def coverage_stats(depth: DataFrame, lengths: DataFrame, keys: list[str] = ("sample", "chrom")) -> DataFrame:
     """Covered bases, total depth, mean over the chromosome, mean and median where covered.
 
-    Keys without a covered base stay, with NULL statistics.
+    Every chromosome of ``lengths`` has a row for each of the other keys in ``depth``: one
+    without a covered base has a mean of 0 over its length and NULL where covered.  The pairs
+    are formed by an equi-join on slots of the chromosomes.
     """
+    others = [k for k in keys if k != "chrom"]
+    slot = F.pmod(F.xxhash64("chrom"), F.lit(LENGTH_SLOTS)).cast("int")
+    spine = lengths
+    if others:
+        every = F.explode(F.sequence(F.lit(0), F.lit(LENGTH_SLOTS - 1)))
+        groups = depth.select(*others).distinct().withColumn("__slot", every)
+        spine = groups.join(lengths.withColumn("__slot", slot), "__slot").drop("__slot")
     hist = depth_histogram(depth, list(keys), "depth")
     v, n = F.col("depth"), F.col("count")
     seen = F.when(v >= 1, n)
     zero = F.lit(0).cast("bigint")
     stats = hist.groupBy(*keys).agg(
-        F.coalesce(F.sum(seen), zero).alias("covered_bases"),
-        F.coalesce(F.sum(v * seen), zero).alias("total_depth"),
+        F.sum(seen).alias("covered_bases"),
+        F.sum(v * seen).alias("total_depth"),
         F.percentile(F.when(v >= 1, v), F.lit(0.5), F.coalesce(seen, zero)).alias("median_covered"),
     )
     covered = F.col("covered_bases") > 0
     return (
-        stats.join(lengths, "chrom")
-        .withColumn("mean_all", F.when(covered, F.try_divide(F.col("total_depth"), F.col("length"))))
+        spine.join(stats, list(keys), "left")
+        .fillna(0, subset=["covered_bases", "total_depth"])
+        .withColumn("mean_all", F.coalesce(F.try_divide(F.col("total_depth"), F.col("length")), F.lit(0.0)))
         .withColumn("mean_covered", F.when(covered, F.col("total_depth") / F.col("covered_bases")))
     )
 

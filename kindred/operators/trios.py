@@ -69,18 +69,23 @@ def trio_wide(
     fields: list[str],
     site: list[str] | None = None,
     site_fields: list[str] | None = None,
+    keep: Column | None = None,
 ) -> DataFrame:
     """One row per (site, trio) with f_*, m_* and c_* columns; missing members drop the trio.
 
     One shuffle on (site, family): a group is the members of one family at one site, so its
-    size is bounded by the pedigree and not by the data.  Nothing shrinks before that
-    shuffle, so rows are moved as they are and grouped afterwards, without partial lists.
+    size is bounded by the pedigree and not by the data.  ``keep`` is a condition on one call
+    and its role (``member``: M father, F mother, C child); it is applied before that shuffle,
+    so a call that fails is never moved.  The rest is moved as it is and grouped afterwards,
+    without partial lists.  Of repeated rows of a parent at a site the smallest is taken.
     """
     site = site or SITE
     site_fields = site_fields or []
     members = trio_members(trios).withColumnRenamed("family", "__family")
     base = calls.drop("family") if "family" in calls.columns else calls
     joined = lookup_join(base, members, ["sample"])
+    if keep is not None:
+        joined = joined.filter(keep)
     grouped = (
         joined.repartition(*site, "__family")
         .groupBy(*site, F.col("__family").alias("family"))
@@ -91,8 +96,8 @@ def trio_wide(
         return F.filter("__l", lambda x: x["member"] == member)
 
     return (
-        grouped.withColumn("f", F.get(those("M"), F.lit(0)))
-        .withColumn("m", F.get(those("F"), F.lit(0)))
+        grouped.withColumn("f", F.array_min(those("M")))
+        .withColumn("m", F.array_min(those("F")))
         .filter("m IS NOT NULL AND f IS NOT NULL")
         .select(*site, "family", "m", "f", F.explode(those("C")).alias("c"))
         .select(
@@ -188,11 +193,26 @@ def callable_trio_sites(
     calls_ok: DataFrame, trios: DataFrame, fields: list[str] | None = None,
     site_fields: list[str] | None = None,
 ) -> DataFrame:
-    """(site, trio) rows where mother, father and child are present and pass."""
-    wide = trio_wide(calls_ok, trios, ["call_ok", "dp", *(fields or [])], site_fields=site_fields)
-    return wide.filter("f_call_ok AND m_call_ok AND c_call_ok").drop(
-        "f_call_ok", "m_call_ok", "c_call_ok"
-    )
+    """(site, trio) rows where mother, father and child are present and pass.
+
+    Failing calls go before the shuffle: a trio without one of its members is dropped anyway.
+    """
+    return trio_wide(calls_ok.filter("call_ok"), trios, ["dp", *(fields or [])], site_fields=site_fields)
+
+
+def callable_candidates(
+    calls_ok: DataFrame, trios: DataFrame, fields: list[str] | None = None,
+    site_fields: list[str] | None = None, ref: str = "ref", alt: str = "alt",
+) -> DataFrame:
+    """De novo candidates at single-base sites, as ``de_novo_candidates(biallelic_snps(...))`` of
+    ``callable_trio_sites`` gives them, with every condition applied before the shuffle.
+
+    ``ref`` and ``alt`` describe the site: all its calls carry the same values.
+    """
+    fields = ["dp", "gt", *[x for x in fields or [] if x != "gt"]]
+    expected = F.col("gt") == F.when(F.col("member") == "C", "0/1").otherwise("0/0")
+    snps = biallelic_snps(calls_ok.filter("call_ok"), ref, alt)
+    return trio_wide(snps, trios, fields, site_fields=site_fields, keep=expected)
 
 
 def min_depth_grid(callable_trios: DataFrame, grid: list[int]) -> DataFrame:

@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    A session without one gets a temporary folder in local mode, where driver and executors
+    are one process; on a cluster it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="run-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder of ``spark.checkpoint.dir``.
 
-    The folder is shared by the cluster, so a lost executor costs nothing.  A temporary
-    folder is set only where the session has none, as in local tests.
+    The folder is shared by the cluster, so a lost executor costs nothing.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-        )
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()

@@ -412,15 +412,11 @@ KP = "kp AS (SELECT least(id1, id2) AS id1, greatest(id1, id2) AS id2, n_snp, ki
 
 
 def two_sides(t):
-    left = t.kin_pairs.filter("n_snp >= 100").select("id1", "id2", "n_snp", "kinship", "ibs0")
-    right = t.kin_pairs.filter("ibs0 >= 0.002").select(
-        F.col("id2").alias("id1"), F.col("id1").alias("id2"), F.col("ibs0").alias("z0")
-    )
-    return left, right
+    return t.kin_pairs.select("id1", "id2", "n_snp", "kinship", "ibs0"), t.kin_lines
 
 
 JOINED = f"""{KP}, j AS (SELECT coalesce(l.id1, r.id1) AS id1, coalesce(l.id2, r.id2) AS id2, l.n_snp, l.kinship, l.ibs0, r.z0
-    FROM (SELECT * FROM kp WHERE n_snp >= 100) l FULL JOIN (SELECT id1, id2, ibs0 AS z0 FROM kp WHERE ibs0 >= 0.002) r
+    FROM kp l FULL JOIN (SELECT least(id1, id2) AS id1, greatest(id1, id2) AS id2, z0 FROM kin_lines) r
       ON r.id1 = l.id1 AND r.id2 = l.id2)"""
 
 

@@ -94,13 +94,14 @@ def _(t):
 
 @query(
     "agg15_coverage_stats",
-    """SELECT d.sample, d.chrom, max(l.length) AS length,
+    """SELECT s.sample, l.chrom, max(l.length) AS length,
               count(*) FILTER (WHERE depth >= 1) AS covered_bases,
               CAST(coalesce(sum(depth) FILTER (WHERE depth >= 1), 0) AS BIGINT) AS total_depth,
               quantile_cont(depth, 0.5) FILTER (WHERE depth >= 1) AS median_covered,
-              round(sum(depth) FILTER (WHERE depth >= 1) / max(l.length), 9) AS mean_all,
+              round(coalesce(sum(depth) FILTER (WHERE depth >= 1), 0) / max(l.length), 9) AS mean_all,
               round(avg(depth) FILTER (WHERE depth >= 1), 9) AS mean_covered
-       FROM depth d JOIN chrom_len l ON l.chrom = d.chrom GROUP BY d.sample, d.chrom""",
+       FROM (SELECT DISTINCT sample FROM depth) s CROSS JOIN chrom_len l
+       LEFT JOIN depth d ON d.chrom = l.chrom AND d.sample = s.sample GROUP BY s.sample, l.chrom""",
 )
 def _(t):
     return rounded(cov.coverage_stats(t.depth, t.chrom_len))

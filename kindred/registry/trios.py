@@ -29,7 +29,9 @@ def callable_trios(t):
 
 
 def candidates(t):
-    return tr.de_novo_candidates(tr.biallelic_snps(callable_trios(t)))
+    return tr.callable_candidates(
+        passing(t), pedigree(t), ["gt", "ref_dp", "alt_dp"], ["ref", "alt"]
+    )
 
 
 def isolated(t):

@@ -251,6 +251,16 @@ def view_sql(engine: str) -> dict[str, str]:
                       CASE o_custkey % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'X' ELSE 'S' || CAST(o_custkey % 4 AS STRING) END
                       || '_' || CAST(o_orderkey AS STRING) AS b
                   FROM orders) x""",
+        "kin_lines": """
+            SELECT CASE WHEN k % 2 = 0 THEN b ELSE a END AS id1, CASE WHEN k % 2 = 0 THEN a ELSE b END AS id2, z0
+            FROM (SELECT l_orderkey AS k, CAST(count(*) AS DOUBLE) / 1000 AS z0,
+                    'SP_family' || CAST(min(l_suppkey) % 5 AS STRING) || '_' ||
+                      CASE l_orderkey % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE 'S' || CAST(l_orderkey % 4 AS STRING) END
+                      || '_' || CAST(l_orderkey AS STRING) AS a,
+                    'SP_family' || CAST(l_orderkey % 5 AS STRING) || '_' ||
+                      CASE min(l_suppkey) % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'X' ELSE 'S' || CAST(min(l_suppkey) % 4 AS STRING) END
+                      || '_' || CAST(l_orderkey AS STRING) AS b
+                  FROM lineitem GROUP BY l_orderkey) x""",
         "branch_reps": """
             SELECT CAST(l_orderkey AS BIGINT) AS replicate,
                    CASE l_linenumber % 3 WHEN 0 THEN 'A_B' WHEN 1 THEN 'A_C' ELSE 'B_C' END AS pair,

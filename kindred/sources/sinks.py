@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import shared_base
 
-def shared_folder(spark: SparkSession) -> str:
-    """New folder name inside the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in local tests, a temporary folder is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+def shared_folder(spark: SparkSession) -> str:
+    """New folder name inside the cluster's shared folder (``spark.checkpoint.dir``)."""
+    return f"{shared_base(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def write_partitioned(

@@ -22,6 +22,7 @@ from kindred.operators import replicates as rp
 from kindred.operators import sequence as sq
 from kindred.operators import spectrum as spec
 from kindred.operators import trios as tr
+from kindred.plans.cut import shared_base
 
 
 def one(spark, **values):
@@ -165,7 +166,64 @@ def test_uncovered_chromosome_has_no_statistics(spark):
     lengths = spark.createDataFrame([("c", 8), ("d", 8)], "chrom string, length bigint")
     got = {r.chrom: r for r in cov.coverage_stats(d, lengths).collect()}
     assert (got["c"].covered_bases, got["c"].mean_all, got["c"].median_covered) == (1, 0.5, 4.0)
-    assert got["d"].covered_bases == 0 and got["d"].mean_all is None and got["d"].median_covered is None
+    assert got["d"].covered_bases == 0 and got["d"].mean_all == 0 and got["d"].median_covered is None
+
+
+def test_chromosome_without_depth_rows_stays(spark):
+    d = spark.createDataFrame([("s", "c", 1, 4), ("r", "d", 1, 2)], "sample string, chrom string, pos int, depth int")
+    lengths = spark.createDataFrame([("c", 8), ("d", 8), ("e", 8)], "chrom string, length bigint")
+    got = {(r.sample, r.chrom): r for r in cov.coverage_stats(d, lengths).collect()}
+    assert len(got) == 6 and got["s", "e"].mean_all == 0 and got["s", "e"].mean_covered is None
+    assert got["s", "e"].covered_bases == got["r", "c"].total_depth == 0 and got["r", "d"].mean_all == 0.25
+    assert {r.chrom: r.mean_all for r in cov.coverage_stats(d.drop("sample"), lengths, ["chrom"]).collect()} == {"c": 0.5, "d": 0.25, "e": 0}
+
+
+def test_candidates_before_and_after_the_shuffle_are_the_same(spark):
+    rnd = np.random.default_rng(5)
+    trios = spark.createDataFrame([("a", "F1", "M1", "c1"), ("a", "F1", "M1", "c2"), ("b", "c1", "M2", "c3")], "family string, mother string, father string, child string")
+    pick = lambda x, p=None: str(rnd.choice(x, p=p))
+    alts = [pick(["C", "CT", "C,G"], [0.8, 0.1, 0.1]) for _ in range(300)]
+    rows = [
+        ("x", p, s, "A", alts[p], pick(["0/0", "0/1", "./."], [0.6, 0.35, 0.05]) if rnd.random() > 0.03 else None, int(rnd.integers(5, 40)), bool(rnd.random() < 0.9))
+        for p in range(300) for s in ("F1", "M1", "c1", "c2", "M2", "c3") if rnd.random() < 0.95
+    ]
+    calls = spark.createDataFrame(rows, "chrom string, pos int, sample string, ref string, alt string, gt string, dp int, call_ok boolean")
+    late = tr.de_novo_candidates(tr.biallelic_snps(tr.callable_trio_sites(calls, trios, ["gt"], ["ref", "alt"])))
+    early = tr.callable_candidates(calls, trios, ["gt"], ["ref", "alt"])
+    assert early.columns == late.columns
+    assert sorted(early.collect()) == sorted(late.collect()) != []
+    below = early._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert len(below) == 2 and "call_ok" not in below[0] and all(x in below[1] for x in ("call_ok", "0/1", "[ACGT]"))
+
+
+def test_repeated_parent_rows_give_one_answer(spark):
+    trios = spark.createDataFrame([("a", "F", "M", "c")], "family string, mother string, father string, child string")
+    rows = [("x", 1, "F", "0/1"), ("x", 1, "F", "0/0"), ("x", 1, "M", "0/0"), ("x", 1, "c", "0/1")]
+    for order in (rows, rows[::-1]):
+        calls = spark.createDataFrame(order, "chrom string, pos int, sample string, gt string")
+        assert [r.m_gt for r in tr.trio_wide(calls, trios, ["gt"]).collect()] == ["0/0"]
+
+
+def test_unset_shared_folder_is_an_error_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_base(Session())
+    Session.conf = {"spark.checkpoint.dir": "/shared"}
+    assert shared_base(Session()) == "/shared"
+
+
+def test_fit_that_has_not_converged_is_null():
+    table = np.array([[[[5, 9], [2, 7]], [[8, 1], [3, 30]]]])
+    assert np.isfinite(sp.ipf_g2(table)).all() and np.isnan(sp.ipf_g2(table, rounds=1)).all()
 
 
 def test_callable_bounds_round_outwards(spark):
