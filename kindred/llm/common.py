@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.cut import shared_base
+
 #: Rows of an Arrow batch at most: long texts keep a batch at a few MB.
 BATCH_ROWS = 500
 #: Bytes of text handled at once by the numpy helpers (a longer text is handled alone).
@@ -18,10 +19,9 @@ BLOCK_BYTES = 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name in ``spark.checkpoint.dir``; a folder is made only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="run-")
+    """A new folder name in ``spark.checkpoint.dir``, kept for the session; unset, it is an error on a cluster."""
+    base = shared_base(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
