@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import RangeHash, blocks, released, small_batches, spread, text_bytes
 
 #: Bytes of text whose distinct pieces are merged together.
-REPLAY_BYTES = 4 * 1024 * 1024
+REPLAY_BYTES = 1024 * 1024
 #: Bytes of an output batch at most (or one text's).
 OUT_BYTES = 2 * 1024 * 1024
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3

@@ -62,15 +62,20 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers keep what they have while they wait between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(batches: Iterator) -> Iterator:
-    """The same batches; afterwards freed memory goes back to the system, as workers wait between tasks."""
+    """The same batches; afterwards freed memory goes back to the system."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

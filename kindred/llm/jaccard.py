@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import RangeHash, blocks, mixed, released, small_batches, stored, text_bytes
+from .common import RangeHash, blocks, give_back, mixed, released, small_batches, stored, text_bytes
 from .components import components
 
 #: Sets, and about as many tokens, of one chunk of a cluster; a block compares two chunks.
@@ -179,6 +179,9 @@ def set_sizes(docs: DataFrame, k: int, text: str = "text", out: str = "__set") -
     kind = pa.struct([("set_id", pa.int64()), ("n", pa.int64())])
 
     def of_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(sized(batches))
+
+    def sized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = RangeHash(1)
         for batch in batches:
             data, at = text_bytes(batch)
@@ -253,6 +256,12 @@ def signature_lists(docs: DataFrame, k: int, percent: int, text: str = "text") -
             yield flush()
 
     def shared(table: pa.Table) -> pa.Table:
+        try:
+            return shared_in(table)
+        finally:
+            give_back()
+
+    def shared_in(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), np.uint64)
         key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
         order = np.lexsort((key, sig))
@@ -411,6 +420,12 @@ def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent:
     )
 
     def verify(table: pa.Table) -> pa.Table:
+        try:
+            return verified(table)
+        finally:
+            give_back()
+
+    def verified(table: pa.Table) -> pa.Table:
         cluster, ids, chunk = (table[c].to_numpy() for c in ("cluster", "set_id", "chunk"))
         tokens = table["tokens"]
         order = np.lexsort((ids, cluster))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, small_batches, stored, text_bytes
+from .common import blocks, released, small_batches, stored, text_bytes
 
 BUCKETS = 1 << 15
 #: Rows that declare a language from which its table is counted, as an expected number.
@@ -68,6 +68,9 @@ def count_table(sample: DataFrame, text: str, language: str) -> DataFrame:
     """(language, packed counts of the buckets) of a sample, one row per language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from released(counted(batches))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             names = batch.column(1).to_pylist()
@@ -134,6 +137,9 @@ def text_evidence(docs: DataFrame, model: dict, text: str = "text", out: str = "
     held = docs.sparkSession.sparkContext.broadcast(model["table"])  # MOST_LANGUAGES x BUCKETS floats at most
 
     def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(weighed(batches))
+
+    def weighed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = held.value
         for batch in batches:
             data, at = text_bytes(batch)
