@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, released, small_batches, stored, text_bytes
+from .urls import host_and_path
 
 BUCKETS = 1 << 15
 #: Rows that declare a language from which its table is counted, as an expected number.
@@ -265,6 +266,32 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("lang").alias("declared"), "language", "language_p", "language_ok")
 
 
+def page_text(html: Column) -> Column:
+    """A page's text: markup, comments, scripts and styles become blanks."""
+    inner = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
+    return F.regexp_replace(html, inner, " ")
+
+
+def of_pages(pages: DataFrame, keep_text: bool = True) -> DataFrame:
+    """Languages of pages by their text: the ``lang`` attribute is the declaration, the URL's host the host."""
+    host, _ = host_and_path(F.col("url"))
+    code = markup_language(F.col("html"))
+    rows = pages.withColumns({"text": page_text(F.col("html")), "declared": code, "host": host})
+    return identify(rows, declared=F.col("declared"), host=F.col("host"), keep_text=keep_text)
+
+
+def corpus_report(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``language_report`` of all documents and the same of all pages, with the name of the table.
+
+    Each table is judged by evidence of its own.  ``doc_id`` is null for pages, ``page_id`` for documents.
+    """
+    texts = language_report(docs).withColumns({"table": F.lit("documents"), "page_id": F.lit(None).cast("bigint")})
+    found = of_pages(pages.select("page_id", "url", "html"), keep_text=False)
+    markup = found.withColumns({"table": F.lit("pages"), "doc_id": F.lit(None).cast("bigint")})
+    out = ["table", "doc_id", "page_id", "declared", "language", "language_p", "language_ok"]
+    return texts.select(*out).unionByName(markup.select(*out))
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with their columns."""
     return of_documents(docs).filter("language_ok").select(*docs.columns)

@@ -28,7 +28,7 @@ def op2_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language_report(table(spark, sf_dir, "documents"))
+    return language.corpus_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
 def op4_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

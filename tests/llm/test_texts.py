@@ -268,6 +268,19 @@ def test_language_of_documents_and_pages(spark, odd, docs):
     assert np.mean([r["language"] == s for r, s in zip(found, said, strict=True)]) > 0.9
 
 
+def test_language_query_judges_documents_and_pages(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op3_language_fusion(spark, sf).collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in rows if r["table"] == "pages"}
+    assert set(got) == set(pages)
+    assert all(r["declared"] == re.search(r'lang="(\w+)"', pages[i])[1] for i, r in got.items())
+    assert np.mean([r["language"] == r["declared"] for r in got.values()]) > 0.9
+    documents = [r for r in rows if r["table"] == "documents"]
+    assert len(documents) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert len(rows) == len(documents) + len(pages)
+
+
 def test_pipeline_matches_its_stages(spark):
     import corpus_pipeline
 
