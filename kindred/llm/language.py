@@ -1,7 +1,8 @@
 """Language identification by Bayesian fusion of evidence.
 
 * Text: naive Bayes over hashed byte trigrams (letters only, A-Z lower-cased), with one table of
-  log likelihoods per language, counted on a sample of the rows that declare the language.
+  log likelihoods per language, counted on a sample of the rows that declare the language.  Every
+  declared language has a table; texts are weighed by blocks of languages in turn.
 * Declared language: of a column, or of the ``lang`` attribute of markup.
 * Address suffix: a country suffix that is a language's code.
 * Host: shares of languages among all rows of a host by the text evidence, smoothed towards its
@@ -20,8 +21,8 @@ column named like an added one is replaced).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from .urls import host_and_path
 BUCKETS = 1 << 15
 #: Rows that declare a language from which its table is counted, as an expected number.
 TRAIN_ROWS = 1000
-#: Languages at most: the most often declared ones.
-MOST_LANGUAGES = 64
+#: Languages whose tables a worker, or the driver, holds at once; every declared language has one.
+LANGUAGE_BLOCK = 64
+#: Steps of the hash by which training rows are chosen.
+SAMPLE_STEPS = 1 << 52
 TRIGRAMS = 150.0
 LEAST = 0.6
 #: How often a declaration, and a country suffix, names the right language.
@@ -66,7 +69,17 @@ def trigrams(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def count_table(sample: DataFrame, text: str, language: str) -> DataFrame:
-    """(language, packed counts of the buckets) of a sample, one row per language."""
+    """(language, packed buckets that occur, their packed counts) of a sample, one row per language."""
+    kind = "l string, b binary, n binary"
+
+    def packed(name: str, counts: np.ndarray) -> tuple[str, bytes, bytes]:
+        found = np.flatnonzero(counts)
+        return name, found.astype("<i4").tobytes(), counts[found].astype("<i8").tobytes()
+
+    def batch_of(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        columns = zip(*[packed(*x) for x in held.items()], strict=True)
+        types = (pa.string(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["l", "b", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from released(counted(batches))
@@ -77,20 +90,30 @@ def count_table(sample: DataFrame, text: str, language: str) -> DataFrame:
             names = batch.column(1).to_pylist()
             data, at = text_bytes(batch.column(0))
             for i, name in enumerate(names):
+                if name not in held and len(held) == LANGUAGE_BLOCK:
+                    yield batch_of(held)
+                    held = {}
                 part = data[at[i] : at[i + 1]]
                 bucket, counts = trigrams(part, np.array([len(part)]))
                 mine = held.setdefault(name, np.zeros(BUCKETS, np.int64))
                 mine += np.bincount(bucket[counts], minlength=BUCKETS)
         if held:
-            packed = [x.astype("<i8").tobytes() for x in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(packed, pa.binary())], ["l", "n"])
+            yield batch_of(held)
 
     def add(table: pa.Table) -> pa.Table:
-        whole = sum(np.frombuffer(x.as_py(), "<i8") for x in table["n"])
-        return pa.table({"l": table["l"][:1], "n": pa.array([whole.tobytes()], pa.binary())})
+        whole = sum(unpacked(b.as_py(), n.as_py()) for b, n in zip(table["b"], table["n"], strict=True))
+        row = packed(table["l"][0].as_py(), whole)
+        return pa.table({k: pa.array([v], t) for k, v, t in zip("lbn", row, table.schema.types, strict=True)})
+
+    parts = sample.select(F.col(text).alias("t"), F.col(language).alias("l")).mapInArrow(count, kind)
+    return parts.groupBy("l").applyInArrow(add, kind)
 
-    parts = sample.select(F.col(text).alias("t"), F.col(language).alias("l")).mapInArrow(count, "l string, n binary")
-    return parts.groupBy("l").applyInArrow(add, "l string, n binary")
+
+def unpacked(buckets: bytes, counts: bytes) -> np.ndarray:
+    """Counts of all buckets from a row of ``count_table``."""
+    whole = np.zeros(BUCKETS, np.int64)
+    whole[np.frombuffer(buckets, "<i4")] = np.frombuffer(counts, "<i8")
+    return whole
 
 
 def declared_code(column: Column) -> Column:
@@ -104,28 +127,39 @@ def markup_language(html: Column) -> Column:
     return declared_code(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z][a-z-]*)", 1))
 
 
+def sampled(count: Column) -> Column:
+    """Steps of SAMPLE_STEPS that choose about TRAIN_ROWS of ``count`` rows; one at least."""
+    share = F.least(F.lit(1.0), F.lit(float(TRAIN_ROWS)) / count)
+    return F.greatest(F.lit(1).cast("bigint"), F.floor(share * float(SAMPLE_STEPS)).cast("bigint"))
+
+
 def train(docs: DataFrame, text: str, declared: Column) -> dict | None:
-    """Languages in order, and their log likelihood tables (languages x buckets)."""
+    """Languages in order, and their log likelihood tables: broadcasts of (LANGUAGE_BLOCK x buckets) each."""
+    spark = docs.sparkSession
     named = docs.select(F.col(text).alias("__t"), declared.alias("__l"), F.xxhash64(*_plain(docs)).alias("__h"))
     named = named.filter("__l IS NOT NULL")
-    top = named.groupBy("__l").count().orderBy(F.desc("count"), "__l").limit(MOST_LANGUAGES).collect()
-    if not top:
-        return None
-    share = reduce(
-        lambda s, r: F.when(F.col("__l") == r["__l"], F.lit(int(min(1.0, TRAIN_ROWS / r["count"]) * (1 << 20)))).otherwise(s),
-        top,
-        F.lit(0),
-    )
-    sample = named.filter(F.pmod("__h", F.lit(1 << 20)) < share)
-    rows = {r["l"]: np.frombuffer(r["n"], "<i8") for r in count_table(sample, "__t", "__l").collect()}
-    if not rows:
+    # Codes have two or three letters, so there are 18,252 at most.
+    steps = stored(named.groupBy("__l").agg(sampled(F.count("*")).alias("__n")))
+    sample = named.join(F.broadcast(steps), "__l").filter(F.pmod("__h", F.lit(SAMPLE_STEPS)) < F.col("__n"))
+    tables = stored(count_table(sample, "__t", "__l"))
+    names = sorted(r["l"] for r in tables.select("l").collect())
+    if not names:
         return None
-    names = sorted(rows)
-    counts = np.stack([rows[x] for x in names]).astype(float)
-    overall = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
-    smooth = counts + 50 * BUCKETS / 100 * overall * 0.5
-    table = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
-    return {"languages": names, "table": table}
+
+    def counted() -> Iterator[np.ndarray]:
+        for first in range(0, len(names), LANGUAGE_BLOCK):
+            some = names[first : first + LANGUAGE_BLOCK]
+            rows = {r["l"]: unpacked(r["b"], r["n"]) for r in tables.filter(F.col("l").isin(some)).collect()}
+            yield np.stack([rows[x] for x in some]).astype(float)
+
+    overall = sum(counts.sum(axis=0) for counts in counted())
+    overall = (overall + 0.5) / (overall.sum() + 0.5 * BUCKETS)
+    held = []
+    for counts in counted():
+        smooth = counts + 50 * BUCKETS / 100 * overall * 0.5
+        table = np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32)
+        held.append(spark.sparkContext.broadcast(table))
+    return {"languages": names, "tables": held}
 
 
 def _plain(docs: DataFrame) -> list[str]:
@@ -135,63 +169,86 @@ def _plain(docs: DataFrame) -> list[str]:
 def text_evidence(docs: DataFrame, model: dict, text: str = "text", out: str = "__text_ll") -> DataFrame:
     """Add the log likelihood of the text per language; null where the text has no letters."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model["table"])  # MOST_LANGUAGES x BUCKETS floats at most
+    held, k = model["tables"], len(model["languages"])
 
     def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from released(weighed(batches))
 
     def weighed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = held.value
         for batch in batches:
             data, at = text_bytes(batch)
-            out = np.zeros((len(batch), len(table)))
+            out = np.zeros((len(batch), k))
             n = np.zeros(len(batch))
-            for lo, hi in blocks(at):
-                part, own = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                bucket, counts = trigrams(part, np.diff(own))
-                some = bucket[counts]
-                upto = np.r_[0, np.cumsum(counts)]
-                edge = upto[own]
-                n[lo:hi] = np.diff(edge)
-                for k, row in enumerate(table):
-                    sums = np.r_[0.0, np.cumsum(row[some], dtype=np.float64)]
-                    out[lo:hi, k] = np.diff(sums[edge])
-            scale = np.where(n > 0, TRIGRAMS / (n + TRIGRAMS), 0)
-            yield pa.array([list(v) if m else None for v, m in zip(out * scale[:, None], n, strict=True)], pa.list_(pa.float64()))
+            first = 0
+            for one in held:  # blocks of languages in turn
+                table = one.value
+                for lo, hi in blocks(at):
+                    part, own = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+                    bucket, counts = trigrams(part, np.diff(own))
+                    some = bucket[counts]
+                    upto = np.r_[0, np.cumsum(counts)]
+                    edge = upto[own]
+                    n[lo:hi] = np.diff(edge)
+                    for i, row in enumerate(table, first):
+                        sums = np.r_[0.0, np.cumsum(row[some], dtype=np.float64)]
+                        out[lo:hi, i] = np.diff(sums[edge])
+                first += len(table)
+                if len(held) > 1:
+                    del table
+                    one.__dict__.pop("_value", None)  # read again from its file for the next batch
+            out *= np.where(n > 0, TRIGRAMS / (n + TRIGRAMS), 0)[:, None]
+            offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * np.int32(k))
+            yield pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(n == 0))
 
     return docs.withColumn(out, F.arrow_udf(weigh, "array<double>")(text))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, not again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalised(logs: Column) -> Column:
     """Probabilities from log weights."""
-    most = F.array_max(logs)
-    raw = F.transform(logs, lambda x: F.exp(x - most))
-    whole = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(raw, lambda x: x / whole)
+
+    def shared(raw: Column) -> Column:
+        whole = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
+        return bound(whole, lambda w: F.transform(raw, lambda x: x / w))
+
+    def raised(v: Column) -> Column:
+        return bound(F.array_max(v), lambda most: bound(F.transform(v, lambda x: F.exp(x - most)), shared))
+
+    return bound(logs, raised)
+
+
+def vector_sums(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of the arrays ``__v`` per key, place by place: a group is added up per place before it is gathered."""
+    places = rows.select(*keys, F.posexplode("__v").alias("__i", "__x"))
+    sums = places.groupBy(*keys, "__i").agg(F.sum("__x").alias("__x"))
+    whole = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "__x"))).alias("__v"))
+    return whole.withColumn("__v", F.col("__v")["__x"])
 
 
 def host_shares(scored: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
     """Smoothed language shares per host (``__h`` null: none), and those of the whole table."""
-    sums = [F.sum(F.get("__p", F.lit(i))).alias(f"s{i}") for i in range(k)]
-    again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]
-    hosts = scored.filter("__p IS NOT NULL").groupBy("__h", "__d", "__s").agg(*sums)
-    hosts = stored(hosts)
-    row = hosts.agg(*again).first()
-    total = sum((row[i] or 0.0) for i in range(k))
-    overall = [((row[i] or 0.0) + 1.0) / (total + k) for i in range(k)]
-
-    def shares(level: DataFrame, parent: Column) -> Column:
-        n = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(k)])
-        return F.array(*[(F.col(f"s{i}") + COARSER * F.get(parent, F.lit(i))) / (n + COARSER) for i in range(k)])
+    rows = scored.filter("__text_ll IS NOT NULL").select("__h", "__d", "__s", normalised(F.col("__text_ll")).alias("__v"))
+    hosts = stored(vector_sums(rows, "__h", "__d", "__s"))
+    found = hosts.select(F.posexplode("__v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    sums = {r["i"]: r["x"] for r in found}
+    total = sum(sums.values())
+    overall = [(sums.get(i, 0.0) + 1.0) / (total + k) for i in range(k)]
+
+    def shares(parent: Column) -> Column:
+        n = F.aggregate("__v", F.lit(0.0), lambda s, x: s + x)
+        return bound(n, lambda m: F.zip_with("__v", parent, lambda x, p: (x + COARSER * p) / (m + COARSER)))
 
     known = hosts.filter("__h IS NOT NULL")
-    by_suffix = known.filter("__s IS NOT NULL").groupBy("__s").agg(*again)
-    whole = F.array(*[F.lit(x) for x in overall])
-    by_suffix = by_suffix.select("__s", shares(by_suffix, whole).alias("__ps"))
-    by_domain = known.groupBy("__d", "__s").agg(*again).join(by_suffix, "__s", "left")
-    by_domain = by_domain.select("__d", shares(by_domain, F.coalesce("__ps", whole)).alias("__pd"))
+    whole = F.lit(overall)
+    by_suffix = vector_sums(known.filter("__s IS NOT NULL"), "__s").select("__s", shares(whole).alias("__ps"))
+    by_domain = vector_sums(known, "__d", "__s").join(by_suffix, "__s", "left")
+    by_domain = by_domain.select("__d", shares(F.coalesce("__ps", whole)).alias("__pd"))
     by_host = known.join(by_domain, "__d", "left")
-    return by_host.select("__h", shares(by_host, F.coalesce("__pd", whole)).alias("__ph")), overall
+    return by_host.select("__h", shares(F.coalesce("__pd", whole)).alias("__ph")), overall
 
 
 def identify(
@@ -224,32 +281,32 @@ def identify(
     scored = (
         scored.withColumn("__d", F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), F.lit(2)), "."))
         .withColumn("__s", F.when(F.size(parts) > 1, F.element_at(parts, -1)))
-        .withColumn("__p", normalised(F.col("__text_ll")))
-        .select(*own, "__text_ll", "__c", "__h", "__d", "__s", "__p")
+        .select(*own, "__text_ll", "__c", "__h", "__d", "__s")
     )
     scored = stored(scored)
     shares, overall = host_shares(scored, k)
     # The shares are stored, so the join is a broadcast where they are small and skew-split where not.
     fused = scored.join(stored(shares), "__h", "left")
-    prior = F.coalesce("__ph", F.array(*[F.lit(x) for x in overall]))
-    logs = []
-    for i, name in enumerate(names):
-        said = F.col("__c").isin(names)
-        by_code = F.when(said, F.when(F.col("__c") == name, F.lit(DECLARED)).otherwise((1 - DECLARED) / max(1, k - 1)))
-        suffix = F.col("__s").isin(names)
-        by_suffix = F.when(suffix, F.when(F.col("__s") == name, F.lit(SUFFIX)).otherwise((1 - SUFFIX) / max(1, k - 1)))
-        logs.append(
-            F.get("__text_ll", F.lit(i))
-            + F.log(F.coalesce(by_code, F.lit(1.0)))
-            + F.log(F.coalesce(by_suffix, F.lit(1.0)))
-            + F.log(F.get(prior, F.lit(i)))
-        )
-    answered = fused.withColumn("__q", F.when(F.col("__text_ll").isNotNull(), normalised(F.array(*logs))))
+    prior = F.coalesce("__ph", F.lit(overall))
+    known = F.lit(names)
+
+    def said(at: Column, i: Column, right: float) -> Column:
+        """Log of the evidence for language ``i`` from a code that names the one at ``at`` (from 1; null or 0: none)."""
+        wrong = (1 - right) / max(1, k - 1)
+        named = F.when(i + 1 == at, F.lit(math.log(right))).otherwise(F.lit(math.log(wrong)))
+        return F.when(at > 0, named).otherwise(F.lit(0.0))
+
+    placed = fused.withColumns({"__ci": F.array_position(known, F.col("__c")), "__si": F.array_position(known, F.col("__s"))})
+    logs = F.transform(
+        F.zip_with("__text_ll", prior, lambda t, p: t + F.log(p)),
+        lambda x, i: x + said(F.col("__ci"), i, DECLARED) + said(F.col("__si"), i, SUFFIX),
+    )
+    answered = placed.withColumn("__q", F.when(F.col("__text_ll").isNotNull(), normalised(logs)))
     best = F.array_max("__q")
     place = F.array_position("__q", best)
     return answered.select(
         *own,
-        F.when(best.isNotNull(), F.element_at(F.array(*map(F.lit, names)), place.cast("int"))).alias("language"),
+        F.when(best.isNotNull(), F.element_at(known, place.cast("int"))).alias("language"),
         best.alias("language_p"),
         F.coalesce(best >= LEAST, F.lit(False)).alias("language_ok"),
     )

@@ -281,6 +281,26 @@ def test_language_query_judges_documents_and_pages(spark):
     assert len(rows) == len(documents) + len(pages)
 
 
+def test_every_declared_language_counts(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    codes = [a + b for a in "abcdefghij" for b in "klmnopqr"]
+    rows = []
+    for k, code in enumerate(codes):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(len(rows) + j, " ".join(rng.choice(words, 60)), code, "host") for j in range(3 if k % 2 else 4)]
+    found = language.keep_known(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(codes) > 64 and len(found) == len(rows)
+    got = language.language_report(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["language"] == r["declared"] for r in got)
+    counts = spark.createDataFrame([(10,), (10**7,), (4 * 10**9,), (10**12,)], "n bigint")
+    steps = [r[0] for r in counts.select(language.sampled(F.col("n"))).collect()]
+    assert steps[0] == language.SAMPLE_STEPS
+    for n, s in ((10**7, steps[1]), (4 * 10**9, steps[2]), (10**12, steps[3])):
+        assert abs(n * s / language.SAMPLE_STEPS - language.TRAIN_ROWS) < 1
+
+
 def test_pipeline_matches_its_stages(spark):
     import corpus_pipeline
 
