@@ -1,11 +1,16 @@
 """Order MinHash: fingerprints whose likeness follows the edit distance of texts.
 
 A text's words (cut after 16 characters) give its k-mers of ``K`` words; a shorter text is one
-k-mer.  A k-mer is numbered by its occurrence.  k-mers fall into ``SLOTS`` slots by their hash; a
-slot selects the ``PICK`` k-mers that are least by (hash, occurrence), puts them back in the
-order in which they stand in the text, and hashes the tuple.  Moving or editing words changes
-which k-mers are selected, or their order, and so the slot.  Likeness is the share of equal
-slots among those that either text fills; two texts without words are alike (1).
+k-mer.  A k-mer is numbered by its occurrence.  Each of ``SLOTS`` slots selects, over all numbered
+k-mers of the text, the ``PICK`` that are least by the slot's own hash (all, if there are fewer),
+puts them back in the order in which they stand in the text, and hashes the tuple.  Moving or
+editing words changes which k-mers are selected, or their order, and so the slot.  Likeness is the
+share of equal slots among those that either text fills; two texts without words are alike (1).
+
+The slots' hashes are those of SuperMinHash: a k-mer visits the slots in an order of its own, one
+a round, and its hash in a slot is the round plus a fresh fraction.  So a slot's hashes are uniform
+and independent between k-mers, and k-mers of later rounds need no look once every slot has
+``PICK`` of earlier ones.  A text whose first rounds leave a slot short goes through all rounds.
 
 Null and empty texts fill no slot.  Equal texts have equal fingerprints.  Rows that repeat wholly
 follow each other, no rows give no rows, further columns are left out of the report and pass
@@ -14,6 +19,8 @@ through ``with_slots`` (a column named like the new one is replaced).  Built-in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -23,15 +30,77 @@ K, SLOTS, PICK = 2, 32, 2
 SLOT_BITS = 5
 #: A k-mer's hash keeps the upper 40 bits; the lower 24 hold its position in the text.
 PLACE_BITS = 24
+#: Numbered k-mers that the first rounds deal out at least: 16 a slot on average.
+DEALT = 16 * SLOTS
 #: Ranges of ids in which neighbours are found; one row per range is carried across them.
 RANGES = 256
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, not again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
+
+def numbered(ordered: Column) -> Column:
+    """Occurrence number of each k-mer of a sorted array of hash and place."""
+    n = F.size(ordered)
+
+    def new(x: Column, i: Column) -> Column:
+        before = F.shiftrightunsigned(F.get(ordered, i - 1), PLACE_BITS)
+        return F.coalesce(F.shiftrightunsigned(x, PLACE_BITS) != before, F.lit(True))
+
+    marks = F.transform(ordered, lambda x, i: F.when(new(x, i), i).otherwise(F.lit(-1)))
+    runs = F.filter(marks, lambda i: i >= 0)
+    return bound(
+        runs,
+        lambda r: F.flatten(F.transform(r, lambda at, j: F.sequence(F.lit(0), F.coalesce(F.get(r, j + 1), n) - at - 1))),
+    )
+
+
+def dealt(hashes: Column, rounds: Column) -> Column:
+    """Slot, round, fraction and index of each k-mer in the first rounds, as sorted integers.
+
+    The upper bits of a k-mer's hash give its first slot and an odd step to the next.
+    """
+    fraction = ((1 << 64 - 2 * SLOT_BITS - PLACE_BITS) - 1) << PLACE_BITS
+    first = F.transform(
+        hashes,
+        lambda x, i: x.bitwiseAND(long((-1 << 64 - SLOT_BITS) | fraction)).bitwiseOR(i.cast("bigint")),
+    )
+
+    def later(r: Column) -> Column:
+        def item(x: Column, i: Column) -> Column:
+            start = F.shiftrightunsigned(x, 64 - SLOT_BITS)
+            step = F.shiftrightunsigned(x, 64 - 2 * SLOT_BITS).bitwiseAND(long(SLOTS - 1)).bitwiseOR(long(1))
+            slot = (start + r * step).bitwiseAND(long(SLOTS - 1))
+            own = F.shiftrightunsigned(F.xxhash64(x, r), 2 * SLOT_BITS).bitwiseAND(long(fraction))
+            upper = F.shiftleft(slot, 64 - SLOT_BITS).bitwiseOR(F.shiftleft(r.cast("bigint"), 64 - 2 * SLOT_BITS))
+            return upper.bitwiseOR(own).bitwiseOR(i.cast("bigint"))
+
+        return F.transform(hashes, item)
+
+    further = F.flatten(F.transform(F.sequence(F.lit(1), rounds - 1), later))
+    return F.sort_array(F.when(rounds > 1, F.concat(first, further)).otherwise(first))
+
+
+def picked(items: Column) -> Column:
+    """The PICK least items of each slot."""
+
+    def slot(x: Column) -> Column:
+        return F.shiftrightunsigned(x, 64 - SLOT_BITS)
+
+    return F.filter(items, lambda x, i: F.coalesce(slot(F.get(items, i - PICK)) != slot(x), F.lit(True)))
+
+
 def with_slots(docs: DataFrame, text: Column, out: str) -> DataFrame:
-    """Add the slots of ``text``: an array of SLOTS hashes, null where a slot selects nothing."""
+    """Add the slots of ``text``: an array of SLOTS hashes, null for a text without words."""
     own = [c for c in docs.columns if c != out]
     pieces = docs.withColumn("__w", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S{1,16}"), F.lit(0)))
-    place = F.lit((1 << PLACE_BITS) - 1).cast("bigint")
+    place = long((1 << PLACE_BITS) - 1)
     top = F.bitwise_not(place)
     last = F.greatest(F.size("__w") - K, F.lit(0))
     kmers = F.transform(
@@ -40,43 +109,38 @@ def with_slots(docs: DataFrame, text: Column, out: str) -> DataFrame:
             i.cast("bigint").bitwiseAND(place)
         ),
     )
-    none = F.array().cast("array<bigint>")
-    ordered = pieces.select(*own, F.when(F.size("__w") > 0, F.sort_array(kmers)).otherwise(none).alias("__k"))
-
-    def slot(x: Column) -> Column:
-        return F.shiftrightunsigned(x, 64 - SLOT_BITS)
-
-    picked = ordered.withColumn(
-        "__k", F.filter("__k", lambda x, i: (i < PICK) | (slot(F.get("__k", i - PICK)) != slot(x)))
-    )
-
-    def earlier(x: Column, i: Column) -> Column:
-        """Occurrence number: equal k-mers just before in the selection."""
-        same = F.lit(0)
-        for back in range(1, PICK):
-            before = F.get("__k", i - back)
-            same = same + F.when((i >= back) & (before.bitwiseAND(top) == x.bitwiseAND(top)), 1).otherwise(0)
-        return same
-
-    items = picked.withColumn(
-        "__k",
-        F.transform(
-            "__k",
-            lambda x, i: F.struct(
-                slot(x).alias("s"),
-                x.bitwiseAND(place).alias("at"),
-                F.xxhash64(x.bitwiseAND(top), earlier(x, i)).alias("h"),
-            ),
-        ),
-    )
-
-    def tuple_hash(j: Column) -> Column:
-        inside = F.filter("__k", lambda x: x["s"] == j)
-        by_place = F.array_sort(F.transform(inside, lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"))))
-        whole = F.aggregate(by_place, F.lit(0).cast("bigint"), lambda a, x: F.xxhash64(a, x["h"]))
-        return F.when(F.size(inside) > 0, whole.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
 
-    return items.select(*own, F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), tuple_hash).alias(out))
+    def slots(ordered: Column, hashes: Column) -> Column:
+        n = F.size(hashes)
+        rounds = F.least(F.lit(SLOTS), F.ceil(F.lit(DEALT) / n).cast("int"))
+        whole = F.lit(SLOTS) * F.least(F.lit(PICK), n)
+
+        def chosen(rounds: Column) -> Column:
+            return bound(dealt(hashes, rounds), picked)
+
+        def tuples(items: Column) -> Column:
+            def tuple_hash(j: Column) -> Column:
+                inside = F.slice(items, j * F.least(F.lit(PICK), n) + 1, F.least(F.lit(PICK), n))
+                at = F.transform(inside, lambda x: x.bitwiseAND(place).cast("int"))
+                by_place = F.array_sort(
+                    F.transform(
+                        at, lambda i: F.struct(F.get(ordered, i).bitwiseAND(place).alias("at"), F.get(hashes, i).alias("h"))
+                    )
+                )
+                value = F.aggregate(by_place, long(0), lambda a, x: F.xxhash64(a, x["h"]))
+                return value.bitwiseAND(long(0xFFFFFFFF))
+
+            return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), tuple_hash)
+
+        every = bound(chosen(rounds), lambda x: F.when(F.size(x) == whole, x).otherwise(chosen(F.lit(SLOTS))))
+        return bound(every, tuples)
+
+    def of(ordered: Column) -> Column:
+        hashes = F.zip_with(ordered, numbered(ordered), lambda x, o: F.xxhash64(x.bitwiseAND(top), o))
+        return bound(hashes, lambda h: slots(ordered, h))
+
+    none = F.array_repeat(F.lit(None).cast("bigint"), SLOTS)
+    return pieces.select(*own, F.when(F.size("__w") > 0, bound(F.sort_array(kmers), of)).otherwise(none).alias(out))
 
 
 def written(slots: str) -> Column:

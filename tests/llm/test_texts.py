@@ -131,6 +131,58 @@ def test_order_minhash_report(odd, docs):
     assert order_minhash.edited_report(odd.limit(0)).count() == 0
 
 
+def selections(text, k=2, slots=32, pick=2):
+    """Order MinHash by 32 independent hashes of (k-mer, occurrence), as sets of tuples."""
+    words, seen, items = text.split(), Counter(), []
+    for i in range(max(1, len(words) - k + 1)):
+        kmer = tuple(words[i : i + k])
+        items.append((i, kmer, seen[kmer]))
+        seen[kmer] += 1
+    out = []
+    for j in range(slots):
+        least = sorted(items, key=lambda x: hashlib.blake2b(repr((j, *x[1:])).encode(), digest_size=8).digest())[:pick]
+        out.append(tuple(x[1:] for x in sorted(least)))
+    return out
+
+
+def test_order_minhash_is_that_of_independent_selections(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    cases = {name: [] for name in ("swapped 4", "swapped 30", "swapped 60", "repeated", "end cut", "long")}
+    for _ in range(15):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 900)]
+        for n in (4, 30, 60):
+            cases[f"swapped {n}"].append((words[:n], words[n // 2 : n] + words[: n // 2]))
+        some = words[:100]
+        cases["repeated"].append((some * 3, some * 2 + words[100:150] + some))
+        cases["end cut"].append((words[:90], words[:60] + words[200:230]))
+        cases["long"].append((words, words[450:] + words[:450]))
+    rows = [(name, " ".join(a), " ".join(b)) for name, pairs in cases.items() for a, b in pairs]
+    frame = spark.createDataFrame(rows, "name string, a string, b string")
+    both = order_minhash.with_slots(order_minhash.with_slots(frame, F.col("a"), "sa"), F.col("b"), "sb")
+    got = both.groupBy("name").agg(F.avg(order_minhash.likeness("sa", "sb")).alias("x")).collect()
+    for r in got:
+        sides = [[selections(" ".join(t)) for t in pair] for pair in cases[r["name"]]]
+        want = np.mean([[x == y for x, y in zip(a, b, strict=True)] for a, b in sides])
+        assert abs(r["x"] - want) < 0.1, (r["name"], r["x"], want)
+    filled = both.select(F.size(F.filter("sa", lambda x: x.isNotNull()))).distinct().collect()
+    assert [r[0] for r in filled] == [order_minhash.SLOTS]
+
+
+def test_order_minhash_rounds_do_not_change_the_selection(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = [(" ".join(f"w{x}" for x in rng.integers(0, 50 * n, n)),) for n in (1, 2, 3, 40, 130, 600) for _ in range(4)]
+    frame = spark.createDataFrame(rows, "text string")
+    found = []
+    for deal in (1, order_minhash.DEALT, 10**6):
+        monkeypatch.setattr(order_minhash, "DEALT", deal)
+        found.append(sorted(order_minhash.with_slots(frame, F.col("text"), "s").collect()))
+    assert found[0] == found[1] == found[2]
+
+
 def word_sets(texts, k):
     lower = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
     out = []
