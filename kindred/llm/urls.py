@@ -6,8 +6,8 @@ the labelled examples.  Trees are boosted on length, depth, digit ratio, entropy
 counts and suffix statistics (how often the labelled URLs of a host suffix are blocked, smoothed
 towards the mean) and judge every URL that no rule covers.
 
-Suffix statistics cover all labelled URLs and are kept per hash bucket of the suffix, so their
-table has ``SUFFIX_BUCKETS`` rows at most.  Trees are fitted on ``TRAIN_ROWS`` labelled URLs at
+Suffix statistics cover all labelled URLs and are kept per suffix; a suffix without labelled URLs
+has the mean.  Trees are fitted on ``TRAIN_ROWS`` labelled URLs at
 most, chosen by hash, with blocked and allowed ones weighing the same in all.  A null URL, or one without ``://``, has an empty host and path and is
 judged by the trees like others.  Without labelled URLs of both kinds the rest is allowed.
 Repeated rows repeat their result, no rows give no rows, further columns are left out.
@@ -31,7 +31,6 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-SUFFIX_BUCKETS = 2048
 TRAIN_ROWS = 20_000
 TREES, LEVELS, SEED = 12, 4, 11
 PRIOR_WEIGHT = 20.0
@@ -75,7 +74,7 @@ def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
 
 
 def lexical(urls: DataFrame) -> DataFrame:
-    """Add the lexical features of ``url`` and the hash buckets of its host's suffixes."""
+    """Add the lexical features of ``url`` and its host's suffixes."""
     url = F.coalesce(F.col("url"), F.lit(""))
     n = F.greatest(F.char_length(url), F.lit(1)).cast("double")
     signs = F.split(url, "")
@@ -87,9 +86,8 @@ def lexical(urls: DataFrame) -> DataFrame:
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     digits = F.char_length(F.regexp_replace(url, "[^0-9]", ""))
 
-    def bucket(parts: int) -> Column:
-        suffix = F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(parts)), F.lit(parts)), ".")
-        return F.pmod(F.xxhash64(suffix), F.lit(SUFFIX_BUCKETS)).cast("int")
+    def suffix(parts: int) -> Column:
+        return F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(parts)), F.lit(parts)), ".")
 
     return urls.select(
         "*",
@@ -103,13 +101,13 @@ def lexical(urls: DataFrame) -> DataFrame:
         F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&"))).cast("double").alias("parameters"),
         (F.char_length(query) - F.char_length(F.replace(query, F.lit("="), F.lit("")))).cast("double").alias("assignments"),
         (F.char_length("host") - F.char_length(F.replace("host", F.lit("-"), F.lit("")))).cast("double").alias("hyphens"),
-        bucket(2).alias("suffix"),
-        bucket(1).alias("top"),
+        suffix(2).alias("suffix"),
+        suffix(1).alias("top"),
     )
 
 
 def block_rates(labelled: DataFrame, key: str, mean: float) -> DataFrame:
-    """Smoothed share of blocked URLs per hash bucket: SUFFIX_BUCKETS rows at most."""
+    """Smoothed share of blocked URLs per suffix."""
     rate = (F.sum("label") + PRIOR_WEIGHT * mean) / (F.count("*") + PRIOR_WEIGHT)
     return labelled.groupBy(key).agg(rate.alias(f"{key}_rate"))
 
@@ -128,8 +126,9 @@ def judge(urls: DataFrame, rules=RULES) -> DataFrame:
     mean = blocked / n
     rated = seen
     for key in ("suffix", "top"):
-        rates = block_rates(labelled, key, mean)  # bounded by SUFFIX_BUCKETS, so it may be broadcast
-        rated = rated.join(F.broadcast(rates), key, "left").fillna(mean, [f"{key}_rate"])
+        # The rates are stored, so the join is a broadcast where they are small and skew-split where not.
+        rates = stored(block_rates(labelled, key, mean))
+        rated = rated.join(rates, key, "left").fillna(mean, [f"{key}_rate"])
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__v").transform(rated)
     share = min(1.0, TRAIN_ROWS / n)
     sample = (

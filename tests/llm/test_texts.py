@@ -302,6 +302,27 @@ def test_url_rules_and_trees(spark):
     assert urls.url_report(odd).count() == 3 and urls.url_report(odd.limit(0)).count() == 0
 
 
+def test_suffix_rates_are_those_of_the_suffix(spark, monkeypatch):
+    held = []
+    vectors = urls.VectorAssembler.transform
+    monkeypatch.setattr(urls.VectorAssembler, "transform", lambda self, rows: held.append(rows) or vectors(self, rows))
+    blocked = {k: k % 3 == 0 for k in range(6000)}
+    rows = [(k, f"http://d{k}.net/{'es' if x else 'de'}/p") for k, x in blocked.items()]
+    rows += [(10_000 + k, f"http://a.d{k}.com/q") for k in range(600)]  # allowed by rule
+    rows += [(20_000 + k, f"http://never{k}.org/p") for k in range(300)]
+    urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"))
+    found = held[0].select("page_id", "suffix_rate", "top_rate").collect()
+    got = {r["page_id"]: r for r in found}
+    assert len(found) == len(got) == len(rows)
+    n, bad = 2000 + 600, 2000
+    mean, weight = bad / n, urls.PRIOR_WEIGHT
+    for k, x in blocked.items():
+        want = (1 + weight * mean) / (1 + weight) if x else mean
+        assert abs(got[k]["suffix_rate"] - want) < 1e-9
+    assert all(abs(got[10_000 + k]["suffix_rate"] - weight * mean / (1 + weight)) < 1e-9 for k in range(600))
+    assert all(abs(got[20_000 + k][c] - mean) < 1e-9 for k in range(300) for c in ("suffix_rate", "top_rate"))
+
+
 def test_language_of_documents_and_pages(spark, odd, docs):
     rows = language.language_report(docs).collect()
     assert np.mean([r["language"] == r["declared"] for r in rows]) > 0.97
