@@ -181,18 +181,19 @@ def fisher_one(a: int, b: int, c: int, d: int) -> tuple[float, float]:
 def ipf_g2(cells: np.ndarray, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:
     """G-squared of the no-three-way-interaction model for tables of shape (n, 2, 2, C).
 
-    A table whose fit still moves by ``tol`` or more after ``rounds`` rounds gives NaN.
+    A table whose fit still moves by ``tol`` of its total or more after ``rounds`` rounds gives NaN.
     """
     obs = cells.astype(float)
     fit = np.ones_like(obs)
     moved = np.zeros(len(obs))
+    total = np.maximum(obs.sum(axis=(1, 2, 3)), 1.0)
     margins = [obs.sum(axis=ax, keepdims=True) for ax in (3, 2, 1)]
     for _ in range(rounds):
         before = fit
         for ax, margin in zip((3, 2, 1), margins):
             now = fit.sum(axis=ax, keepdims=True)
             fit = fit * np.divide(margin, now, out=np.zeros_like(now), where=now > 0)
-        moved = np.abs(fit - before).max(axis=(1, 2, 3), initial=0.0)
+        moved = np.abs(fit - before).max(axis=(1, 2, 3), initial=0.0) / total
         if np.max(moved, initial=0.0) < tol:
             break
     use = (obs > 0) & (fit > 0)

@@ -226,6 +226,14 @@ def test_fit_that_has_not_converged_is_null():
     assert np.isfinite(sp.ipf_g2(table)).all() and np.isnan(sp.ipf_g2(table, rounds=1)).all()
 
 
+def test_fit_does_not_depend_on_the_size_of_the_counts():
+    shares = np.random.default_rng(8).integers(1, 100, (200, 2, 2, 6))
+    small, large = sp.ipf_g2(shares), sp.ipf_g2(shares * 10**8)
+    assert np.isfinite(small).all() and np.isfinite(large).all()
+    np.testing.assert_allclose(large, small * 1e8, rtol=1e-6)
+    assert np.isnan(sp.ipf_g2(shares * 10**8, rounds=1)).all()
+
+
 def test_callable_bounds_round_outwards(spark):
     df = spark.createDataFrame([(7,), (31,)], "p50 int")
     assert [(r.callable_min, r.callable_max) for r in cov.callable_bounds(df).collect()] == [(5, 14), (16, 62)]
