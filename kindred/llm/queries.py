@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_pairs, decontaminate, jaccard, language, licenses, order_minhash, quality, secrets_scan, shards, urls
+from . import alignment, byte_pairs, decontaminate, jaccard, language, licenses, order_minhash, quality, ranked
+from . import secrets_scan, shards, substrings, urls
 
 #: Rank file of the tokenizer; another path may be given to the operator.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The two tokenizers that are aligned.
+TOKENS_A, TOKENS_B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 SHARDS = 24
 
@@ -59,9 +62,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_and_decode(table(spark, sf_dir, "documents"), byte_pairs.vocabulary(spark, RANKS))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(spark, table(spark, sf_dir, "documents"), TOKENS_A, TOKENS_B)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_substring_dedup": substrings.DEDUP_SQL, "op13_ranked_search": ranked.SEARCH_SQL}
