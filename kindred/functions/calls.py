@@ -70,9 +70,15 @@ def dp4_support(dp4: str | Column) -> tuple[Column, Column]:
     return F.when(ok, n[0] + n[1]), F.when(ok, n[2] + n[3])
 
 
-def site_quality(gq: str | Column, rgq: str | Column) -> Column:
-    """GQ when the field is there, otherwise RGQ, otherwise 0."""
-    return F.coalesce(_c(gq), _c(rgq), F.lit(0))
+def site_quality(gq: str | Column, rgq: str | Column, has_gq: str | Column | None = None) -> Column:
+    """GQ when the field is there, otherwise RGQ, otherwise 0.
+
+    ``has_gq`` says whether the site has a GQ field at all: where it has one, a missing value
+    is 0 and does not fall through to RGQ.  Without it a missing GQ counts as no field.
+    """
+    if has_gq is None:
+        return F.coalesce(_c(gq), _c(rgq), F.lit(0))
+    return F.coalesce(F.when(_c(has_gq), _c(gq)).otherwise(_c(rgq)), F.lit(0))
 
 
 def variant_id(vid: str | Column, chrom: str | Column, pos: str | Column) -> Column:

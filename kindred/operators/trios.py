@@ -9,7 +9,7 @@ from ..functions import calls as fc
 from ..functions import ids
 from ..plans.cut import cut_lineage
 from ..plans.lookup import lookup_join
-from ..plans.spans import drop_crowded
+from ..plans.spans import isolated_rows
 
 SITE = ["chrom", "pos"]
 
@@ -161,15 +161,19 @@ def with_call_ok(
     min_q: int = 60,
     gq: str = "gq",
     rgq: str | None = None,
+    has_gq: str | None = None,
 ) -> DataFrame:
     """Add ``call_ok``: depth within [lo, hi] times the sample's mean on the chromosome and
-    quality (GQ, else RGQ, else 0) at least ``min_q``.  No mean depth fails the call."""
-    quality = fc.site_quality(gq, rgq) if rgq else F.coalesce(F.col(gq), F.lit(0))
+    quality (GQ, else RGQ, else 0) at least ``min_q``.  No mean depth fails the call.
+
+    The means are stored and measured once and broadcast within the bounds of ``lookup_join``,
+    so the calls stay where they are; beyond the bounds the calls are salted."""
+    quality = fc.site_quality(gq, rgq, has_gq) if rgq else F.coalesce(F.col(gq), F.lit(0))
     dp = F.coalesce(F.col("dp"), F.lit(0))
     mean = F.col("mean_depth")
     ok = (dp >= mean * lo) & (dp <= mean * hi) & (quality >= min_q)
     return (
-        calls.join(mean_depth.select("sample", "chrom", "mean_depth"), ["sample", "chrom"], "left")
+        lookup_join(calls, cut_lineage(mean_depth.select("sample", "chrom", "mean_depth")), ["sample", "chrom"], "left")
         .withColumn("dp", dp)
         .withColumn("call_ok", F.coalesce(ok, F.lit(False)))
         .drop("mean_depth")
@@ -278,7 +282,7 @@ def trio_rates(windows: DataFrame, distance: int = 150, lo: float = 0.3, hi: flo
     windows = cut_lineage(windows)
     den = windows.groupBy("child").agg(F.sum("n_callable").alias("callable_sites"))
     sites = windows.select("child", "chrom", F.explode("candidates").alias("s")).select("child", "chrom", "s.*")
-    kept = allele_balance(drop_crowded(sites, ["child", "chrom"], "pos", distance), lo, hi)
+    kept = allele_balance(isolated_rows(sites, ["child", "chrom"], "pos", distance), lo, hi)
     num = kept.groupBy("child").agg(F.count("*").alias("n_dnm"))
     return (
         den.join(num, "child", "left")
@@ -456,6 +460,11 @@ def mendel_consistency(
     informative = wide.filter(
         "(f_state = 'hom_ref' AND m_state = 'hom_alt') OR (f_state = 'hom_alt' AND m_state = 'hom_ref')"
     )
+    return mendel_report(informative, trios, consistency_min, min_sites)
+
+
+def mendel_report(informative: DataFrame, trios: DataFrame, consistency_min: float, min_sites: int) -> DataFrame:
+    """Counts and verdict of every trio from its informative sites (family, child, c_state)."""
     counts = informative.groupBy("family", "child").agg(
         F.count("*").alias("n_informative"),
         F.count_if(F.col("c_state") == "het").alias("n_het"),

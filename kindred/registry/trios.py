@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calls as fc
 from ..functions import ids
+from ..operators import sites as si
 from ..operators import trios as tr
 from ..plans import spans
 from .core import query, rounded
@@ -14,36 +15,53 @@ WIDE = ["gt", "dp", "ref_dp", "alt_dp"]
 GRID = [20, 22, 24, 25, 26, 28, 30]  # fixed values: depth floors
 
 
+#: Order of the samples in ``site_calls``.
+SAMPLES = [
+    f"SP_family{k}_{role}" for k in range(1, 5)
+    for role in ("F_female", "M_male", *[f"S{i}_offspring" for i in range(1, 6)])
+]
+
+
 def pedigree(t):
     return tr.trios_from_samples(t.samples)
 
 
-def passing(t):
-    return tr.with_call_ok(tr.pass_only(t.calls), t.mean_depth)
+def panel(t):
+    return si.panel(SAMPLES, pedigree(t))
 
 
-def callable_trios(t):
-    return tr.callable_trio_sites(
-        passing(t), pedigree(t), ["gt", "ref_dp", "alt_dp"], ["ref", "alt"]
-    )
+def passing_sites(t, samples):
+    """PASS sites with the mean depths of the samples over all sites."""
+    return si.with_means(tr.pass_only(t.site_calls), si.mean_depths(t.site_calls, samples))
+
+
+def callable_trios(t, where=None):
+    samples = panel(t)
+    sites = passing_sites(t, samples)
+    sites = sites if where is None else sites.filter(where)
+    return si.callable_trio_sites(sites, samples, ["gt", "ref_dp", "alt_dp"], ["ref", "alt"])
 
 
 def candidates(t):
-    return tr.callable_candidates(
-        passing(t), pedigree(t), ["gt", "ref_dp", "alt_dp"], ["ref", "alt"]
-    )
+    samples = panel(t)
+    return si.callable_candidates(passing_sites(t, samples), samples, ["ref_dp", "alt_dp"], ["ref", "alt"])
 
 
 def isolated(t):
-    return spans.drop_crowded(candidates(t), ["child", "chrom"], "pos", 150)
+    return spans.isolated_rows(candidates(t), ["child", "chrom"], "pos", 150)
+
+
+def wide(t):
+    return si.trio_rows(t.site_calls, panel(t), WIDE, site_fields=["alt"])
 
 
 COLS = ["chrom", "pos", "child"]
+X = ["c_11", "c_12"]
 
 
 @query("flt01_trio_sites", "SELECT chrom, pos, family, child, c_gt FROM o_wide")
 def _(t):
-    return tr.trio_sites(t.calls, pedigree(t)).select("chrom", "pos", "family", "child", "c_gt")
+    return si.trio_sites(t.site_calls, panel(t)).select("chrom", "pos", "family", "child", "c_gt")
 
 
 @query("flt02_pass_only", "SELECT chrom, pos, sample, gt FROM calls WHERE filter = 'PASS'")
@@ -69,7 +87,34 @@ def _(t):
        WHERE c.filter = 'PASS' GROUP BY c.chrom, c.pos HAVING count(k.sample) = count(*)""",
 )
 def _(t):
-    return tr.callable_sites(passing(t), ["chrom", "pos"])
+    return si.callable_sites(passing_sites(t, panel(t)), ["chrom", "pos"])
+
+
+@query(
+    "flt04_reference_quality",
+    """WITH q AS (SELECT c.chrom, c.pos, c.dp >= 0.5 * d.mean_depth AND c.dp <= 2 * d.mean_depth AND c.dp >= 5
+            AND CASE WHEN c.pos % 3 <> 0 THEN CASE WHEN c.gq % 10 <> 0 THEN c.gq ELSE 0 END ELSE c.dp * 7 % 100 END >= 20 AS ok
+          FROM calls c JOIN mean_depth d ON d.sample = c.sample AND d.chrom = c.chrom WHERE c.filter = 'PASS')
+       SELECT chrom, pos, count(*) AS n_calls FROM q GROUP BY chrom, pos HAVING bool_and(ok)""",
+)
+def _(t):
+    """Sites with GQ among their fields (some values missing, which is 0) and sites with RGQ instead."""
+    samples = panel(t)
+    sites = passing_sites(t, samples).withColumns(
+        {
+            "has_gq": F.col("pos") % 3 != 0,
+            "calls": F.transform(
+                "calls",
+                lambda x: F.when(
+                    x.isNotNull(),
+                    F.struct(
+                        x["dp"].alias("dp"), F.when(x["gq"] % 10 != 0, x["gq"]).alias("gq"), (x["dp"] * 7 % 100).alias("rgq")
+                    ),
+                ),
+            ),
+        }
+    )
+    return si.callable_sites(sites, ["chrom", "pos"], min_q=20, min_dp=5, has_gq="has_gq")
 
 
 @query("flt04_callable_trio_sites", "SELECT chrom, pos, child, f_dp, m_dp, c_dp FROM o_callable")
@@ -99,7 +144,7 @@ def _(t):
          AND c_dp >= CASE WHEN sex_id = 'female' THEN 26 ELSE 13 END""",
 )
 def _(t):
-    x = callable_trios(t).filter(F.col("chrom").isin("c_11", "c_12"))
+    x = callable_trios(t, F.col("chrom").isin(X))
     return tr.ploidy_min_depth(x, t.sex, 26).select(*COLS, "sex_id")
 
 
@@ -126,8 +171,9 @@ def _(t):
          AND c_gt = CASE WHEN sex_id = 'female' THEN '0/1' ELSE '1/1' END""",
 )
 def _(t):
-    x = callable_trios(t).filter(F.col("chrom").isin("c_11", "c_12"))
-    return tr.hemizygous_candidates(tr.ploidy_min_depth(x, t.sex, 0)).select(*COLS)
+    samples = panel(t)
+    on_x = passing_sites(t, samples).filter(F.col("chrom").isin(X))
+    return si.hemizygous_candidates(on_x, samples, t.sex, 0).select(*COLS)
 
 
 BALANCED = """c_ref_dp + c_alt_dp > 0 AND CAST(c_alt_dp AS DOUBLE) / (c_ref_dp + c_alt_dp) >= 0.3
@@ -145,14 +191,27 @@ def _(t):
     return tr.allele_balance(isolated(t)).select(*COLS, "c_ref_dp", "c_alt_dp")
 
 
+@query(
+    "flt10_allele_balance_x",
+    f"""SELECT chrom, pos, child, sex_id FROM o_callable JOIN sex ON ind = child
+        WHERE chrom IN ('c_11', 'c_12') AND f_gt = '0/0' AND m_gt = '0/0'
+          AND CASE WHEN sex_id = 'female' THEN c_gt = '0/1' AND {BALANCED} ELSE c_gt = '1/1' END""",
+)
+def _(t):
+    """Daughters' candidates have to be balanced; sons have one X, and theirs are exempt."""
+    samples = panel(t)
+    on_x = passing_sites(t, samples).filter(F.col("chrom").isin(X))
+    found = si.hemizygous_candidates(on_x, samples, t.sex, 0, ["ref_dp", "alt_dp"])
+    return tr.allele_balance(found, exempt=F.col("sex_id") == "male").select(*COLS, "sex_id")
+
+
 @query(
     "flt11_read_support",
     """SELECT chrom, pos, child FROM o_wide
        WHERE alt <> '.' AND c_ref_dp <> 0 AND f_alt_dp <= 0 AND m_alt_dp <= 0""",
 )
 def _(t):
-    wide = tr.trio_wide(t.calls, pedigree(t), WIDE, site_fields=["alt"])
-    return tr.read_support_check(wide).select(*COLS)
+    return tr.read_support_check(wide(t)).select(*COLS)
 
 
 @query(
@@ -162,14 +221,10 @@ def _(t):
          AND f_alt_dp <= 0 AND m_alt_dp <= 0""",
 )
 def _(t):
-    wide = tr.trio_wide(t.calls, pedigree(t), WIDE, site_fields=["alt"])
-    x = tr.ploidy_min_depth(wide, t.sex, 0)
+    x = tr.ploidy_min_depth(wide(t), t.sex, 0)
     return tr.read_support_check(x, sex="sex_id").select(*COLS)
 
 
-X = ["c_11", "c_12"]
-
-
 @query(
     "flt12_exclude",
     """SELECT chrom, pos, child, phased FROM dnm WHERE chrom NOT IN ('c_11', 'c_12')
@@ -371,7 +426,7 @@ def _(t):
 )
 def _(t):
     return rounded(
-        tr.mendel_consistency(t.calls, pedigree(t), 50, 5, consistency_min=0.5, min_sites=10)
+        si.mendel_consistency(t.site_calls, panel(t), pedigree(t), 50, 5, consistency_min=0.5, min_sites=10)
     )
 
 

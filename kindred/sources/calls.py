@@ -56,21 +56,19 @@ def same_path(path: str) -> Column:
     return F.regexp_replace(path, "^([a-z0-9+.-]+):/(?!/)", "$1:///").alias("path")
 
 
-def parse_calls(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """Long call table from lines (path, value).
+_KEYS = ("GT", "DP", "GQ", "RGQ", "AD")
 
-    Sample names come from the header line of the same file by a join on the path, so files
-    with different samples can be read together.  FORMAT keys are located once per site,
-    before the samples are exploded.  '.' is NULL.
-    """
+
+def _located(rows: DataFrame, headers: DataFrame | None) -> DataFrame:
+    """Site columns of each line, the place of every FORMAT key, and the names and texts of the samples."""
     body = rows.filter(~F.col("value").startswith("#") & (F.length("value") > 0))
     sites = body.select(same_path("path"), F.split("value", "\t").alias("f"))
     names = headers if headers is not None else header_samples(rows)
     sites = lookup_join(sites, names, ["path"])
     keys = F.split(F.get("f", F.lit(8)), ":")
-    place = {k: F.array_position(keys, k).cast("int").alias(f"i_{k}") for k in ("GT", "DP", "GQ", "RGQ", "AD")}
+    place = {k: F.array_position(keys, k).cast("int").alias(f"i_{k}") for k in _KEYS}
     known = lambda c: F.when(c != ".", c)
-    located = sites.select(
+    return sites.select(
         F.get("f", F.lit(0)).alias("chrom"),
         F.get("f", F.lit(1)).cast("bigint").alias("pos"),
         known(F.get("f", F.lit(2))).alias("id"),
@@ -79,35 +77,70 @@ def parse_calls(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
         known(F.get("f", F.lit(5))).try_cast("double").alias("qual"),
         known(F.get("f", F.lit(6))).alias("filter"),
         info_map(F.get("f", F.lit(7))).alias("info"),
+        (F.array_position(keys, "GQ") > 0).alias("has_gq"),
         *place.values(),
-        F.arrays_zip(F.col("samples").alias("name"), F.slice("f", 10, 1 << 30).alias("text")).alias("all"),
+        F.col("samples"),
+        F.slice("f", 10, 1 << 30).alias("texts"),
     )
-    # the site columns are computed below the explode, and the line itself is not carried
-    # through it: the work per line grows with its samples, not with their square
-    kept = [c for c in located.columns if c != "all"]
-    located = located.select(*kept, F.explode("all").alias("s"))
-    split = located.withColumn("v", F.split("s.text", ":"))
+
+
+def _fields(parts: Column) -> list[Column]:
+    """The fields of one sample's text, split at colons; '.' is NULL."""
 
     def value(k: str) -> Column:
-        v = F.get("v", F.col(f"i_{k}") - 1)
+        v = F.get(parts, F.col(f"i_{k}") - 1)
         return F.when((F.col(f"i_{k}") > 0) & (v != "."), v)
 
-    return split.select(
-        "chrom",
-        "pos",
-        "id",
-        "ref",
-        "alt",
-        "qual",
-        "filter",
-        "info",
-        F.col("s.name").alias("sample"),
+    return [
         F.when(~value("GT").contains("."), F.replace(value("GT"), F.lit("|"), F.lit("/"))).alias("gt"),
         value("DP").try_cast("int").alias("dp"),
         value("GQ").try_cast("int").alias("gq"),
         value("RGQ").try_cast("int").alias("rgq"),
         F.transform(F.split(value("AD"), ","), lambda x: x.try_cast("int")).alias("ad"),
-    )
+    ]
+
+
+SITE_COLUMNS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "has_gq")
+
+
+def parse_sites(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """One row per line (path, value): the site, its ``samples``, and their ``calls`` in that order.
+
+    This is the form of ``operators.sites``: nothing is exploded, and nothing has to be grouped
+    again to see a trio.  Sample names come from the header line of the same file.
+    """
+    located = _located(rows, headers)
+    call = lambda text: F.get(F.transform(F.array(F.split(text, ":")), lambda v: F.struct(*_fields(v))), F.lit(0))
+    return located.select(*SITE_COLUMNS, "samples", F.transform("texts", call).alias("calls"))
+
+
+def parse_calls(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """Long call table from lines (path, value).
+
+    Sample names come from the header line of the same file by a join on the path, so files
+    with different samples can be read together.  FORMAT keys are located once per site,
+    before the samples are exploded.  '.' is NULL.
+    """
+    located = _located(rows, headers)
+    # the site columns are computed below the explode, and the line itself is not carried
+    # through it: the work per line grows with its samples, not with their square
+    kept = [c for c in located.columns if c not in ("samples", "texts")]
+    zipped = F.arrays_zip(F.col("samples").alias("name"), F.col("texts").alias("text"))
+    split = located.select(*kept, F.explode(zipped).alias("s")).withColumn("v", F.split("s.text", ":"))
+    return split.select(*SITE_COLUMNS, F.col("s.name").alias("sample"), *_fields(F.col("v")))
+
+
+def read_sites(spark: SparkSession, path) -> DataFrame:
+    """Genotype matrices as one row per site; ``sample_order`` gives the panel's samples."""
+    return parse_sites(lines(spark, path, with_path=True), file_headers(spark, path))
+
+
+def sample_order(spark: SparkSession, path) -> list[str]:
+    """The samples of the files' headers, which have to be the same in all of them."""
+    orders = file_headers(spark, path).select("samples").distinct().limit(2).collect()
+    if len(orders) != 1:
+        raise ValueError("files with different samples: read them as the long table")
+    return list(orders[0][0])
 
 
 def read_calls(spark: SparkSession, path) -> DataFrame:
