@@ -11,34 +11,104 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import bases as fb
+from ..plans.lookup import lookup_join
 
 TILE_BP = 32768
 
 
+# --- packed tiles -----------------------------------------------------------------------
+
+#: A word holds 31 bases in two bits each and repeats the last two of the word before, so any
+#: three neighbours lie in one word; a mask word holds 62 bits likewise.
+_STEP, _BASES, _MASK_STEP, _MASKED = 29, 31, 60, 62
+_CODES = [x + y + z for x in "ACGT" for y in "ACGT" for z in "ACGT"]
+
+
+def _words(digits: Column, size: Column, base: int, step: int, width: int) -> Column:
+    """Overlapping words of a digit string as integers, in one pass over the string."""
+    padded = F.rpad(digits, (F.call_function("div", size + step - 1, F.lit(step)) * step + width - step).cast("int"), F.lit("0"))
+    chunks = F.regexp_extract_all(padded, F.lit(f"(?=(.{{1,{width}}})).{{1,{step}}}"), F.lit(1))
+    return F.transform(chunks, lambda x: F.conv(x, base, 10).cast("bigint"))
+
+
+def pack_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles as (chrom, tile, size, words, masks): two bits a base, and a bit where a base is none of ACGT.
+
+    Integer arrays are read in place, so a look-up costs the same in a tile of any width; text
+    has to be walked to a position, and binary columns are copied when they are read.  A tile
+    without masked bases has an empty ``masks``.
+    """
+    seq = F.upper("seq")
+    size = F.length("seq")
+    plain = F.regexp_replace(seq, "[^ACGT]", "A")
+    marks = F.translate(F.regexp_replace(seq, "[^ACGT]", "1"), "ACGT", "0000")
+    return tiles.select(
+        "chrom",
+        "tile",
+        size.alias("size"),
+        _words(F.translate(plain, "ACGT", "0123"), size, 4, _STEP, _BASES).alias("words"),
+        F.when(seq.rlike("[^ACGT]"), _words(marks, size, 2, _MASK_STEP, _MASKED))
+        .otherwise(F.array().cast("array<bigint>"))
+        .alias("masks"),
+    )
+
+
+def _at(words: Column, offset: Column, step: int, width: int, bits: int, count: int) -> Column:
+    """``count`` neighbours of ``bits`` bits from ``offset``, as one integer."""
+    inside = F.pmod(offset, F.lit(step))
+    word = F.get(words, F.call_function("div", offset, F.lit(step)).cast("int"))
+    shift = (F.lit(width - count) - inside) * bits
+    return F.call_function("shiftright", word, shift.cast("int")).bitwiseAND(F.lit((1 << bits * count) - 1))
+
+
+def packed_context(offset: Column, size: Column, words: Column, masks: Column) -> Column:
+    """The three bases from 0-based ``offset`` of a packed tile, N where a base is masked; NNN past its end."""
+    code = _at(words, offset, _STEP, _BASES, 2, 3).cast("int")
+    mask = F.when(F.size(masks) > 0, _at(masks, offset, _MASK_STEP, _MASKED, 1, 3)).otherwise(F.lit(0).cast("bigint"))
+    plain = F.get(F.array(*[F.lit(c) for c in _CODES]), code)
+    letters = [
+        F.when(mask.bitwiseAND(F.lit(4 >> i)) != 0, "N").otherwise(F.substring(plain, i + 1, 1)) for i in range(3)
+    ]
+    inside = (offset >= 0) & (offset + 3 <= size)
+    return F.when(~F.coalesce(inside, F.lit(False)), "NNN").when(mask == 0, plain).otherwise(F.concat(*letters))
+
+
 # --- lookup ---------------------------------------------------------------------------
 
 
 def sequence_lookup(sites: DataFrame, tiles: DataFrame, pos: str = "pos", tile_bp: int = TILE_BP) -> DataFrame:
-    """Add the three-base ``context`` around a 1-based position (NNN where there is no tile)."""
-    pos0 = F.col(pos) - 1
+    """Add the three-base ``context`` around a 1-based position (NNN where there is no tile).
+
+    ``tiles`` are text tiles, or packed ones (store these once: ``pack_tiles``).  A site meets its
+    tile by (chrom, tile) and takes its bases in constant time.  Give one row per site, such as
+    the site-wide form of the calls, to look every position up once.
+    """
+    packed = tiles if "words" in tiles.columns else pack_tiles(tiles)
+    pos0 = F.col(pos).cast("bigint") - 1
     tile = F.floor(pos0 / F.lit(tile_bp)).cast("bigint")
-    keyed = sites.withColumn("tile", tile)
-    joined = keyed.join(tiles.select("chrom", "tile", F.col("seq").alias("__seq")), ["chrom", "tile"], "left")
-    offset = (pos0 - F.col("tile") * tile_bp + 1).cast("int")
-    ctx = F.upper(F.substring(F.col("__seq"), offset, F.lit(3)))
-    return joined.withColumn(
-        "context", F.when(F.length(ctx) == 3, ctx).otherwise("NNN")
-    ).drop("__seq", "tile")
+    keyed = sites.withColumn("__tile", tile)
+    side = packed.select(
+        F.col("chrom"), F.col("tile").alias("__tile"), *[F.col(c).alias(f"__{c}") for c in ("size", "words", "masks")]
+    )
+    joined = keyed.join(side, ["chrom", "__tile"], "left")
+    offset = pos0 - F.col("__tile") * tile_bp
+    context = packed_context(offset, F.col("__size"), F.col("__words"), F.col("__masks"))
+    return joined.withColumn("context", context).select(*sites.columns, "context")
 
 
 def base_composition(sites: DataFrame, tiles: DataFrame, keys: list[str], tile_bp: int = TILE_BP) -> DataFrame:
     """Callable sites by base, in a CG dinucleotide and in a dipyrimidine."""
-    ctx = sequence_lookup(sites, tiles, tile_bp=tile_bp)
+    return composition_counts(sequence_lookup(sites, tiles, tile_bp=tile_bp), keys)
+
+
+def composition_counts(sites: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts of ``base_composition`` from rows that have their ``context``."""
     centre = F.substring("context", 2, 1)
     return (
-        ctx.filter(centre.rlike("[ACGT]"))
+        sites.filter(centre.rlike("[ACGT]"))
         .groupBy(*keys)
         .agg(
             F.count("*").alias("n_callable"),
@@ -56,9 +126,17 @@ def context_counts(
     lengths: DataFrame | None = None,
     tile_bp: int = TILE_BP,
 ) -> DataFrame:
-    """Folded context counts; skipped sites appear under their reason instead of a context.
+    """Folded context counts; skipped sites appear under their reason instead of a context."""
+    labelled = with_context_label(sites, tiles, lengths, tile_bp)
+    return labelled.groupBy(*keys, "trinuc").agg(F.count("*").alias("n"))
 
-    Sites whose REF is not one plain base are ignored.  Reasons, first match: ``edge`` (no
+
+def with_context_label(
+    sites: DataFrame, tiles: DataFrame, lengths: DataFrame | None = None, tile_bp: int = TILE_BP
+) -> DataFrame:
+    """Add ``trinuc``: the folded context of a site, or why it has none.
+
+    Sites whose REF is not one plain base are dropped.  Reasons, first match: ``edge`` (no
     flanking base; the chromosome end needs ``lengths``), ``non_acgt``, ``ref_mismatch``.
     """
     ctx = sequence_lookup(
@@ -66,7 +144,7 @@ def context_counts(
     )
     edge = F.col("pos") < 2
     if lengths is not None:
-        ctx = ctx.join(lengths.select("chrom", F.col("length").alias("__length")), "chrom", "left")
+        ctx = lookup_join(ctx, lengths.select("chrom", F.col("length").alias("__length")), ["chrom"], "left")
         edge = edge | F.coalesce(F.col("pos") > F.col("__length") - 1, F.lit(False))
     label = (
         F.when(edge, "edge")
@@ -74,7 +152,7 @@ def context_counts(
         .when(F.substring("context", 2, 1) != F.upper("ref"), "ref_mismatch")
         .otherwise(fb.fold_trinuc("context"))
     )
-    return ctx.groupBy(*keys, label.alias("trinuc")).agg(F.count("*").alias("n"))
+    return ctx.withColumn("trinuc", label).drop("context", "__length")
 
 
 def region_composition(spans: DataFrame, tiles: DataFrame, keys: list[str], start="start", end="end", tile_bp: int = TILE_BP) -> DataFrame:
@@ -199,12 +277,13 @@ def _tiles_near(pos0: Column, tile_bp: int) -> Column:
 def seq_consensus(tiles: DataFrame, selected: DataFrame, mask: DataFrame, start="start", end="end", tile_bp: int = TILE_BP) -> DataFrame:
     """Put ALT at selected sites, then N over half-open mask spans; other tiles pass through.
 
-    Edits are grouped per tile: at most one per base after de-duplication, and mask spans
-    are clipped to the tile first.
+    Edits are grouped per tile: at most one per base after de-duplication (longer ALTs are left
+    out), and mask spans are clipped to the tile first.  A tile is rewritten in one pass.
     """
     pos0 = F.col("pos") - 1
     edits = (
         selected.select("chrom", "pos", "alt")
+        .filter(F.length("alt") == 1)
         .groupBy("chrom", "pos")
         .agg(F.min("alt").alias("alt"))
         .select("chrom", F.explode(_tiles_near(pos0, tile_bp)).alias("tile"), pos0.alias("p"), "alt")
@@ -241,26 +320,30 @@ def seq_consensus(tiles: DataFrame, selected: DataFrame, mask: DataFrame, start=
         .groupBy("chrom", "tile")
         .agg(F.collect_list(F.struct("at", "to")).alias("masks"))
     )
-    put = F.aggregate(
-        F.coalesce("edits", F.array().cast("array<struct<at:int,alt:string>>")),
-        F.col("seq"),
-        lambda acc, e: F.overlay(acc, e["alt"], e["at"], F.lit(1)),
-    )
-    hide = F.aggregate(
-        F.coalesce("masks", F.array().cast("array<struct<at:int,to:int>>")),
-        put,
-        lambda acc, m: F.substring(
-            F.overlay(acc, F.repeat(F.lit("N"), m["to"] - m["at"]), m["at"]),
-            F.lit(1),
-            F.length(acc),
-        ),
-    )
-    return (
-        tiles.join(edits, ["chrom", "tile"], "left")
-        .join(masked, ["chrom", "tile"], "left")
-        .withColumn("seq", hide)
-        .drop("edits", "masks")
-    )
+    joined = tiles.join(edits, ["chrom", "tile"], "left").join(masked, ["chrom", "tile"], "left")
+    edited = _edited(F.col("seq"), F.col("edits.at"), F.col("edits.alt"), F.col("masks.at"), F.col("masks.to"))
+    changed = F.col("edits").isNotNull() | F.col("masks").isNotNull()
+    return joined.withColumn("seq", F.when(changed, edited).otherwise(F.col("seq"))).drop("edits", "masks")
+
+
+@F.pandas_udf(StringType())
+def _edited(seq: pd.Series, at: pd.Series, alt: pd.Series, hide_from: pd.Series, hide_to: pd.Series) -> pd.Series:
+    """Text with single letters put at 1-based places, then N over [from, to); linear in the text and the edits."""
+    out = []
+    for text, places, letters, lows, highs in zip(seq, at, alt, hide_from, hide_to):
+        if text is None:
+            out.append(None)
+            continue
+        raw = np.frombuffer(text.encode(), np.uint8).copy()
+        if places is not None and len(places):
+            raw[np.asarray(places, np.int64) - 1] = np.frombuffer("".join(letters).encode(), np.uint8)
+        if lows is not None and len(lows):
+            depth = np.zeros(len(raw) + 1, np.int64)
+            np.add.at(depth, np.minimum(np.asarray(lows, np.int64) - 1, len(raw)), 1)
+            np.add.at(depth, np.minimum(np.asarray(highs, np.int64) - 1, len(raw)), -1)
+            raw[np.cumsum(depth)[:-1] > 0] = ord("N")
+        out.append(raw.tobytes().decode())
+    return pd.Series(out, dtype=object)
 
 
 def tiles_to_pieces(tiles: DataFrame) -> DataFrame:

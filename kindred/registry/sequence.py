@@ -8,7 +8,9 @@ from ..functions import bases as fb
 from ..functions import calls as fc
 from ..operators import consensus as cs
 from ..operators import sequence as sq
+from ..operators import sites as si
 from .core import query, rounded
+from .trios import SAMPLES
 
 BP = 32
 CTX = """ctx AS (SELECT chrom, tile * 32 + i + 1 AS pos, substr(seq, CAST(i + 1 AS INT), 3) AS c
@@ -26,7 +28,13 @@ ISCPD = """((substr({x},2,1) = 'C' AND (substr({x},1,1) IN ('C','T') OR substr({
     f"WITH {CTX} SELECT s.chrom, s.pos, coalesce(c, 'NNN') AS context FROM dnm s LEFT JOIN ctx ON ctx.chrom = s.chrom AND ctx.pos = s.pos",
 )
 def _(t):
-    return sq.sequence_lookup(t.dnm, t.genome, tile_bp=BP).select("chrom", "pos", "context")
+    return sq.sequence_lookup(t.dnm, t.genome_tiles).select("chrom", "pos", "context")
+
+
+def per_sample(t, sites):
+    """One row per site and sample of rows that were looked up once per site."""
+    kept = [c for c in sites.columns if c != "calls"]
+    return si.to_long(sites, si.Panel(tuple(SAMPLES)), kept)
 
 
 @query(
@@ -39,7 +47,7 @@ def _(t):
         WHERE substr(c,2,1) <> 'N' GROUP BY s.sample""",
 )
 def _(t):
-    return sq.base_composition(t.calls, t.genome, ["sample"], BP)
+    return sq.composition_counts(per_sample(t, sq.sequence_lookup(t.site_calls, t.genome_tiles)), ["sample"])
 
 
 @query(
@@ -57,7 +65,7 @@ def _(t):
 )
 def _(t):
     bed = t.features.select("feature_type", "chrom", (F.col("start") - 1).alias("start"), "stop")
-    return rounded(sq.region_composition(bed, t.genome, ["feature_type"], end="stop", tile_bp=BP))
+    return rounded(sq.region_composition(bed, t.genome_tiles, ["feature_type"], end="stop"))
 
 
 @query(
@@ -67,7 +75,8 @@ def _(t):
         FROM calls s JOIN ctx ON ctx.chrom = s.chrom AND ctx.pos = s.pos GROUP BY 1, 2""",
 )
 def _(t):
-    return sq.context_counts(t.calls, t.genome, ["sample"], tile_bp=BP)
+    labelled = per_sample(t, sq.with_context_label(t.site_calls, t.genome_tiles))
+    return labelled.groupBy("sample", "trinuc").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -133,10 +142,10 @@ def _(t):
     mask = t.features.filter("feature_type = 'exon'").select(
         "chrom", (F.col("start") - 1).alias("start"), "stop"
     )
-    out = sq.seq_consensus(
-        t.genome, t.calls.filter("gt = '1/1'"), mask, end="stop", tile_bp=BP
-    )
-    return out.select("chrom", "tile", F.substring("seq", 2, BP).alias("own"))
+    out = sq.seq_consensus(t.genome_tiles, t.calls.filter("gt = '1/1'"), mask, end="stop")
+    own = sq.tiles_to_pieces(out).select("chrom", "pos0", F.regexp_extract_all("seq", F.lit("(.{32})"), F.lit(1)).alias("own"))
+    cut = own.select("chrom", "pos0", F.posexplode("own").alias("i", "own"))
+    return cut.select("chrom", (F.col("pos0") / 32 + F.col("i")).cast("bigint").alias("tile"), "own")
 
 
 @query(
@@ -188,7 +197,7 @@ CDSSEQ = f"""WITH {BEST}, {BASES},
 
 def best_cds(t):
     best = sq.longest_isoform(t.cds).select("gene", "mrna")
-    return sq.cds_sequence(t.cds.join(best, ["gene", "mrna"]), t.genome, tile_bp=BP)
+    return sq.cds_sequence(t.cds.join(best, ["gene", "mrna"]), t.genome_tiles)
 
 
 @query("win09_cds_sequence", CDSSEQ + " SELECT gene, mrna, cds FROM fin")

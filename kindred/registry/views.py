@@ -138,6 +138,19 @@ def view_sql(engine: str) -> dict[str, str]:
                    || translate(substr(md5(chrom || ':' || CAST(tile + 1 AS STRING)), 1, 1), {_HEX}) AS seq
             FROM (SELECT 'c_' || CAST(k AS STRING) AS chrom, tile FROM (SELECT {every12} AS k, tile
                   FROM (SELECT DISTINCT {_fl('o_orderkey * 2 / 32')} AS tile FROM orders) u) v) t""",
+        # --- the same sequence in tiles of the package's width (Spark only) -----------------
+        "genome_tiles": f"""
+            SELECT chrom, tile, tile * 32768 AS tile_start,
+                   CASE WHEN tile = 0 THEN 'N'
+                        ELSE translate(substr(md5(chrom || ':' || CAST(first - 1 AS STRING)), 32, 1), {_HEX}) END
+                   || array_join(transform(sequence(first, last),
+                                           i -> translate(md5(chrom || ':' || CAST(i AS STRING)), {_HEX})), '')
+                   || translate(substr(md5(chrom || ':' || CAST(last + 1 AS STRING)), 1, 1), {_HEX}) AS seq
+            FROM (SELECT 'c_' || CAST(k AS STRING) AS chrom, tile, first, last
+                  FROM (SELECT tile, first, last, {every12} AS k
+                        FROM (SELECT {_fl('o_orderkey * 2 / 32768')} AS tile, min({_fl('o_orderkey * 2 / 32')}) AS first,
+                                     max({_fl('o_orderkey * 2 / 32')}) AS last
+                              FROM orders GROUP BY {_fl('o_orderkey * 2 / 32768')}) u) v) t""",
         # --- gene models: gene, two transcripts, four CDS parts each ------------------------
         "cds": f"""
             SELECT 'g' || CAST(gene AS STRING) AS gene,
