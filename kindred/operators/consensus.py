@@ -2,39 +2,128 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import calls as fc
-from ..plans.spans import point_in_span
+from ..plans.spans import bin_of, span_bins
 
 BASES = ("A", "C", "G", "T")
 
 
-def site_base_counts(
-    reads: DataFrame, sites: DataFrame, min_base_quality: int = 20, width: int = 512
-) -> DataFrame:
-    """Counts of A, C, G, T at the given sites from ungapped alignments.
+def _walk(cigars: pd.Series) -> pd.Series:
+    """Aligned blocks of each CIGAR text as [reference offset, read offset, length] triples, flat.
+
+    All texts of a batch are read at once: numbers digit by digit, offsets as running sums that
+    start again at each read.  M, = and X are aligned; D and N move on the reference, I and S on
+    the read, H and P on neither.
+    """
+    raw = [(x or "*").encode() for x in cigars]
+    size = np.array([len(x) for x in raw], np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8) if raw else np.empty(0, np.uint8)
+    digit = (data >= 48) & (data <= 57)
+    at = np.flatnonzero(~digit)
+    owner = np.repeat(np.arange(len(raw)), size)[at]
+    first = np.r_[True, owner[1:] != owner[:-1]] if len(at) else np.empty(0, bool)
+    begin = np.where(first, (np.cumsum(size) - size)[owner], np.r_[0, at[:-1] + 1]) if len(at) else at
+    n = np.zeros(len(at), np.int64)
+    for back in range(int((at - begin).max(initial=0)), 0, -1):
+        more = at - begin >= back
+        n[more] = n[more] * 10 + data[at[more] - back] - 48
+    letter = data[at]
+    moves = {w: n * np.isin(letter, np.frombuffer(w, np.uint8)) for w in (b"MDN=X", b"MIS=X", b"M=X")}
+    start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0)) if len(at) else at
+
+    def offset(step: np.ndarray) -> np.ndarray:
+        before = np.cumsum(step) - step
+        return before - before[start]
+
+    aligned = moves[b"M=X"] > 0
+    rows = np.stack([offset(moves[b"MDN=X"]), offset(moves[b"MIS=X"]), n], axis=1)[aligned]
+    cut = np.searchsorted(owner[aligned], np.arange(1, len(raw)))
+    return pd.Series([x.ravel() for x in np.split(rows, cut)][: len(raw)], index=cigars.index, dtype=object)
+
 
-    ``reads``: chrom, pos (1-based start), seq, base_quality (one value, or an array per
-    base).  Reads meet the sites they cover by a binned range join, so the rows are
-    (read, covered site) pairs and never all bases of all reads.  ``width`` should be about
-    the read length.
+_blocks = F.pandas_udf(_walk, ArrayType(LongType()))
+
+
+def aligned_blocks(reads: DataFrame, cigar: str | None = "cigar") -> DataFrame:
+    """One row per aligned block: chrom, from and to (0-based, half-open), seq and base_quality of the block.
+
+    ``reads``: chrom, pos (1-based start), seq, base_quality (one value, or an array per base)
+    and ``cigar``; without a CIGAR column a read is one block.  A block carries its own part of
+    the read, so the rows hold no more bases than the reads.  A missing CIGAR ('*') has no block.
     """
     per_base = dict(reads.dtypes)["base_quality"].startswith("array")
-    spans = reads.select(
+    start = (F.col("pos") - 1).cast("bigint")
+    if cigar is None:
+        return reads.filter(F.length("seq") > 0).select(
+            "chrom", start.alias("from"), (start + F.length("seq")).alias("to"), "seq", "base_quality"
+        )
+    triples = F.transform(
+        F.sequence(F.lit(1), F.size("__b"), F.lit(3)), lambda i: F.slice("__b", i, 3)
+    )
+    rows = (
+        reads.select("chrom", start.alias("__from"), "seq", "base_quality", _blocks(F.col(cigar)).alias("__b"))
+        .filter(F.size("__b") > 0)
+        .withColumn("__x", F.explode(triples))
+    )
+    ref, own, n = (F.col("__x")[i] for i in range(3))
+    quality = F.slice("base_quality", (own + 1).cast("int"), n.cast("int")) if per_base else F.col("base_quality")
+    return rows.select(
         "chrom",
-        F.col("pos").alias("__from"),
-        (F.col("pos") + F.length("seq")).alias("__to"),
-        "seq",
-        "base_quality",
+        (F.col("__from") + ref).alias("from"),
+        (F.col("__from") + ref + n).alias("to"),
+        F.substring(F.col("seq"), (own + 1).cast("int"), n.cast("int")).alias("seq"),
+        quality.alias("base_quality"),
     )
+
+
+def site_base_counts(
+    reads: DataFrame, sites: DataFrame, min_base_quality: int = 20, width: int = 512,
+    cigar: str | None = None, salts: int = 8,
+) -> DataFrame:
+    """Counts of A, C, G, T at the given sites (chrom, 1-based pos), from reads with or without gaps.
+
+    Aligned blocks are cut at the edges of ``width`` bases, each piece with its own bases, and
+    dealt over ``salts`` per bin; a site meets the pieces of its bin in each of them.  So reads
+    are not repeated, a deep place is spread, and the rows are (piece, covered site) pairs.
+    """
+    per_base = dict(reads.dtypes)["base_quality"].startswith("array")
     if not per_base:
-        spans = spans.filter(F.col("base_quality") >= min_base_quality)
-    at = (F.col("pos") - F.col("__from")).cast("int")
-    covered = point_in_span(
-        sites.select("chrom", "pos").distinct(), spans, ["chrom"], "pos", "__from", "__to", width
-    ).withColumn("base", F.upper(F.substring(F.col("seq"), at + 1, F.lit(1))))
+        reads = reads.filter(F.col("base_quality") >= min_base_quality)
+    blocks = aligned_blocks(reads, cigar)
+    lo = F.greatest("from", F.col("__bin") * width)
+    hi = F.least("to", (F.col("__bin") + 1) * width)
+    skip, n = (lo - F.col("from")).cast("int"), (hi - lo).cast("int")
+    pieces = blocks.withColumn("__bin", F.explode(span_bins(F.col("from"), F.col("to"), width))).select(
+        F.col("chrom").alias("__chrom"),
+        F.col("__bin"),
+        lo.alias("__lo"),
+        hi.alias("__hi"),
+        F.substring(F.col("seq"), skip + 1, n).alias("seq"),
+        (F.slice("base_quality", skip + 1, n) if per_base else F.lit(None)).alias("base_quality"),
+        F.pmod(F.xxhash64("from", "to", "seq"), F.lit(salts)).cast("int").alias("__salt"),
+    )
+    p0 = (F.col("pos") - 1).cast("bigint")
+    wanted = (
+        sites.select("chrom", "pos")
+        .distinct()
+        .select("chrom", "pos", p0.alias("__p"), bin_of(p0, width).alias("__sbin"))
+        .withColumn("__ssalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    on = (
+        (F.col("chrom") == F.col("__chrom"))
+        & (F.col("__sbin") == F.col("__bin"))
+        & (F.col("__ssalt") == F.col("__salt"))
+        & (F.col("__p") >= F.col("__lo"))
+        & (F.col("__p") < F.col("__hi"))
+    )
+    at = (F.col("__p") - F.col("__lo")).cast("int")
+    covered = pieces.join(wanted, on).withColumn("base", F.upper(F.substring(F.col("seq"), at + 1, F.lit(1))))
     if per_base:
         covered = covered.filter(F.get("base_quality", at) >= min_base_quality)
     return (
@@ -44,6 +133,17 @@ def site_base_counts(
     )
 
 
+def heterozygous_snps(snps: DataFrame) -> DataFrame:
+    """The single-base heterozygotes: the only sites whose class depends on the reads."""
+    simple = F.upper("ref").rlike("^[ACGT]$") & F.upper("alt").rlike("^[ACGT]$")
+    return snps.filter(simple & fc.normalize_gt("gt").isin("0/1", "1/0"))
+
+
+def classify_by_reads(snps: DataFrame, reads: DataFrame, **pileup) -> DataFrame:
+    """``classify_snps`` with the pileup at heterozygous sites only."""
+    return classify_snps(snps, site_base_counts(reads, heterozygous_snps(snps), **pileup))
+
+
 def observed_bases():
     """Array of the bases with a count, from n_A .. n_T."""
     return F.filter(

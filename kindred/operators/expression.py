@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.special import fisher_p
+from ..plans.cut import cut_lineage
 from ..plans.lookup import lookup_join
 from ..plans.running import exact_quantiles
 from ..plans.spans import point_in_span
 
 
 def tpm(counts: DataFrame) -> DataFrame:
-    """Transcripts per million per sample; genes of length 0 get 0."""
+    """Transcripts per million per sample; genes of length 0 get 0.
+
+    The samples' totals are stored and measured, and broadcast within the bounds of
+    ``lookup_join``: the counts are summed where they are and not moved again.
+    """
     rpk = F.when(F.col("length") > 0, F.col("count") / (F.col("length") / 1000.0))
     rows = counts.withColumn("__rpk", rpk)
     scale = rows.groupBy("sample").agg((F.sum("__rpk") / 1e6).alias("__scale"))
     return (
-        rows.join(scale, "sample")
+        lookup_join(rows, cut_lineage(scale), ["sample"])
         .withColumn(
             "tpm",
             F.when(F.col("length") > 0, F.col("__rpk") / F.col("__scale")).otherwise(F.lit(0.0)),

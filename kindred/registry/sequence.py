@@ -291,12 +291,35 @@ CLASSED = f"""WITH {PILE},
 
 
 def classified(t):
-    return cs.classify_snps(t.sites, cs.site_base_counts(t.reads, t.sites, width=64))
+    return cs.classify_by_reads(t.sites, t.reads)
 
 
 @query("agg52_site_base_counts", f"WITH {PILE} SELECT * FROM cnt")
 def _(t):
-    return cs.site_base_counts(t.reads, t.sites, width=64)
+    return cs.site_base_counts(t.reads, t.sites)
+
+
+@query(
+    "agg52_gapped_base_counts",
+    r"""WITH r AS (SELECT row_number() OVER () AS id, chrom, pos, seq, cigar FROM gapped_reads WHERE base_quality >= 20),
+        o AS (SELECT id, i, CAST(regexp_extract(op, '[0-9]+') AS BIGINT) AS n, right(op, 1) AS k
+              FROM (SELECT id, unnest(ops) AS op, unnest(range(1, len(ops) + 1)) AS i
+                    FROM (SELECT id, regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]') AS ops FROM r) a) b),
+        w AS (SELECT id, n, k,
+                coalesce(sum(CASE WHEN k IN ('M','D','N','=','X') THEN n ELSE 0 END)
+                  OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS on_ref,
+                coalesce(sum(CASE WHEN k IN ('M','I','S','=','X') THEN n ELSE 0 END)
+                  OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS on_read FROM o),
+        e AS (SELECT id, on_ref, on_read, unnest(range(0, n)) AS j FROM w WHERE k IN ('M','=','X')),
+        pile AS (SELECT chrom, pos + on_ref + j AS pos, substr(seq, CAST(on_read + j + 1 AS INT), 1) AS b FROM e JOIN r USING (id))
+        SELECT s.chrom, s.pos, count(*) FILTER (WHERE b = 'A') AS "n_A", count(*) FILTER (WHERE b = 'C') AS "n_C",
+               count(*) FILTER (WHERE b = 'G') AS "n_G", count(*) FILTER (WHERE b = 'T') AS "n_T"
+        FROM (SELECT DISTINCT chrom, pos FROM sites) s JOIN pile ON pile.chrom = s.chrom AND pile.pos = s.pos
+        GROUP BY s.chrom, s.pos""",
+)
+def _(t):
+    """Reads with insertions, deletions, skips, clips and padding."""
+    return cs.site_base_counts(t.gapped_reads, t.sites, cigar="cigar")
 
 
 @query("agg51_classify_snps", CLASSED + " SELECT chrom, pos, classification, reason FROM k")
@@ -360,7 +383,7 @@ def _(t):
 )
 def _(t):
     snps = t.sites.filter(F.length("alt") == 1)
-    joined = snps.join(cs.site_base_counts(t.reads, t.sites, width=64), ["chrom", "pos"], "left").fillna(
+    joined = snps.join(cs.site_base_counts(t.reads, snps), ["chrom", "pos"], "left").fillna(
         0, subset=["n_A", "n_C", "n_G", "n_T"]
     )
     return joined.select("chrom", "pos", cs.clean_support(F.col("ref"), F.col("alt")).alias("clean"))

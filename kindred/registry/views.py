@@ -326,6 +326,12 @@ def view_sql(engine: str) -> dict[str, str]:
                    CAST(l_orderkey % 8 AS INT) AS flags,
                    CAST(5 + l_suppkey % 40 AS INT) AS base_quality
             FROM lineitem""",
+        # the same reads with gaps: insertions, deletions, skips, clips, padding
+        "gapped_reads": """
+            SELECT read_name, chrom, pos, seq, base_quality,
+                   CASE CAST(pos % 7 AS INT) WHEN 0 THEN '64M' WHEN 1 THEN '10S54M' WHEN 2 THEN '20M4D44M'
+                     WHEN 3 THEN '5H20M5I39M3H' WHEN 4 THEN '10M100N30M2P4I20=' WHEN 5 THEN '3S1M1I1D1X20N50M8S' ELSE '*' END AS cigar
+            FROM reads""",
     }
 
 
@@ -339,6 +345,7 @@ DEPENDS = {
     "callable_bp": ["dnm"],
     "trinuc": ["dnm"],
     "group_members": ["species_dim"],
+    "gapped_reads": ["reads"],
 }
 
 
