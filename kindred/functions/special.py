@@ -1,8 +1,8 @@
 """Closing p-values and exact limits on NumPy arrays, wrapped as vectorised functions.
 
 They run on the rows of an aggregated table.  No SciPy: the incomplete gamma function uses
-its series, its continued fraction or the uniform large-order expansion; Fisher's test sums
-the tails in log space outwards from the mode until nothing is added.
+its series, its continued fraction or the uniform large-order expansion; the tails of Fisher's
+test and binomial quantiles sum ratios of neighbours for all rows of a batch at once.
 """
 
 from __future__ import annotations
@@ -126,56 +126,171 @@ def _log_choose(n, k):
     return gammaln(n + 1.0) - gammaln(k + 1.0) - gammaln(n - k + 1.0)
 
 
-def _tail(logp, start: int, stop: int, step: int) -> float:
-    """Sum exp(logp(x)) from ``start`` to ``stop`` in blocks until the terms vanish."""
-    total, block = 0.0, 4096
-    x = start
-    while (stop - x) * step >= 0:
-        last = x + step * (block - 1)
-        last = min(last, stop) if step > 0 else max(last, stop)
-        terms = np.exp(logp(np.arange(x, last + step, step, dtype=float)))
-        total += float(terms.sum())
-        if terms[-1] <= total * 1e-17:
-            break
-        x = last + step
-    return total
+#: Cells of a block of padded ranges, and the widest range that is laid out whole.
+_BLOCK_CELLS, _WIDEST = 1 << 21, 1 << 20
+
+
+def _by_width(width: np.ndarray):
+    """Rows in blocks of about equal width: (rows, columns).  A row's sums do not depend on its block."""
+    level = np.ceil(np.log2(np.maximum(width, 1))).astype(np.int64)
+    for k in np.unique(level):
+        rows = np.flatnonzero(level == k)
+        step = max(1, _BLOCK_CELLS >> int(k))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            yield part, int(width[part].max())
+
+
+def _hypergeometric_log_ratio(x, n1, n2, m1):
+    """log P(x + 1) / P(x) for the upper left cell of a table with fixed margins; -inf outside."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = (n1 - x) * (m1 - x)
+        down = (x + 1) * (n2 - m1 + x + 1)
+        return np.where((up > 0) & (down > 0), np.log(up) - np.log(down), -np.inf)
+
+
+def _tails(start, step, first, n1, n2, m1, length) -> np.ndarray:
+    """Sums of P(start), P(start + step), ... for many tables, given P(start) as ``first``."""
+    out = np.zeros(len(start))
+    for rows, width in _by_width(length):
+        s, d, n = start[rows][:, None], step[rows][:, None], length[rows][:, None]
+        at = np.arange(width)
+        x = s + d * at
+        # The step from x to x + d, read upwards or downwards.
+        low = np.minimum(x, x + d)
+        ratio = d * _hypergeometric_log_ratio(low, n1[rows][:, None], n2[rows][:, None], m1[rows][:, None])
+        logs = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(ratio[:, :-1], axis=1)], axis=1)
+        logs = np.where(np.isnan(logs) | (at >= n), -np.inf, logs)
+        out[rows] = first[rows] * np.exp(logs).sum(axis=1)
+    return out
 
 
-def fisher_one(a: int, b: int, c: int, d: int) -> tuple[float, float]:
-    """(two-sided, greater) p-values of a 2x2 table."""
+def _reach(start, step, n1, n2, m1, lo, hi) -> np.ndarray:
+    """Terms of a tail after which nothing is added: the ratio only falls away from the mode."""
+    end = np.where(step > 0, hi - start + 1, start - lo + 1)
+    low = np.where(step > 0, start, start - 1)
+    ratio = step * _hypergeometric_log_ratio(low, n1, n2, m1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        falling = np.where(ratio < 0, np.ceil(40.0 / -ratio) + 1, np.inf)
+    total = n1 + n2
+    spread = np.sqrt(n1 * (m1 / total) * (n2 / total) * ((total - m1) / np.maximum(total - 1, 1)))
+    return np.maximum(np.minimum(np.minimum(end, falling), 12 * spread + 60), 0).astype(np.int64)
+
+
+def fisher_tables(a, b, c, d) -> tuple[np.ndarray, np.ndarray]:
+    """(two-sided, greater) p-values of many 2x2 tables at once.
+
+    The tails of all tables are padded ranges of log ratios, summed row by row; the far side of
+    the two-sided test is found for all of them by one bisection.  Nothing loops over tables.
+    """
+    a, b, c, d = (np.asarray(x, float) for x in (a, b, c, d))
     n1, n2, m1 = a + b, c + d, a + c
-    lo, hi = max(0, m1 - n2), min(n1, m1)
-    if lo == hi:
-        return 1.0, 1.0
-    base = float(_log_choose(np.array(float(n1 + n2)), np.array(float(m1))))
+    lo, hi = np.maximum(0.0, m1 - n2), np.minimum(n1, m1)
+    two, greater = np.ones(len(a)), np.ones(len(a))
+    some = np.flatnonzero(lo < hi)
+    if not len(some):
+        return two, greater
+    a, n1, n2, m1, lo, hi = (x[some] for x in (a, n1, n2, m1, lo, hi))
+    base = _log_choose(n1 + n2, m1)
 
     def logp(x):
-        return _log_choose(float(n1), x) + _log_choose(float(n2), m1 - x) - base
-
-    def at(x):
-        return float(logp(np.array([float(x)]))[0])
-
-    mode = min(max((n1 + 1) * (m1 + 1) // (n1 + n2 + 2), lo), hi)
-    limit = at(a) + math.log1p(1e-7)
-    greater = _tail(logp, a, hi, 1) if a > mode else 1.0 - (
-        _tail(logp, a - 1, lo, -1) if a > lo else 0.0
-    )
-    if at(mode) <= limit:
-        return 1.0, min(max(greater, 0.0), 1.0)
-    # the far side starts where the mass falls to that of the observed table again
-    if a < mode:
-        left, right = mode, hi + 1
-        while right - left > 1:
-            mid = (left + right) // 2
-            left, right = (left, mid) if at(mid) <= limit else (mid, right)
-        both = _tail(logp, a, lo, -1) + (_tail(logp, right, hi, 1) if right <= hi else 0.0)
-    else:
-        left, right = lo - 1, mode
-        while right - left > 1:
-            mid = (left + right) // 2
-            left, right = (mid, right) if at(mid) <= limit else (left, mid)
-        both = _tail(logp, a, hi, 1) + (_tail(logp, left, lo, -1) if left >= lo else 0.0)
-    return min(both, 1.0), min(max(greater, 0.0), 1.0)
+        return _log_choose(n1, x) + _log_choose(n2, m1 - x) - base
+
+    def tail(start, step):
+        inside = (start >= lo) & (start <= hi)
+        at = np.clip(start, lo, hi)
+        length = np.where(inside, _reach(at, step, n1, n2, m1, lo, hi), 0)
+        return _tails(at, step, np.exp(logp(at)), n1, n2, m1, length)
+
+    up, down = np.ones(len(a)), -np.ones(len(a))
+    mode = np.clip(np.floor((n1 + 1) * (m1 + 1) / (n1 + n2 + 2)), lo, hi)
+    above = a > mode
+    side = tail(np.where(above, a, a - 1), np.where(above, up, down))
+    greater[some] = np.clip(np.where(above, side, 1.0 - side), 0.0, 1.0)
+    limit = logp(a) + math.log1p(1e-7)
+    # The far side starts where the mass falls to that of the observed table again.
+    below = a < mode
+    near, far = mode.copy(), np.where(below, hi + 1, lo - 1)
+    while np.any(np.abs(far - near) > 1):
+        mid = np.trunc((near + far) / 2)
+        mid = np.where(np.abs(far - near) > 1, mid, near)
+        inside = logp(np.clip(mid, lo, hi)) <= limit
+        far, near = np.where(inside & (mid != near), mid, far), np.where(inside, near, mid)
+    own = tail(a, np.where(below, down, up))
+    other = tail(far, np.where(below, up, down))
+    two[some] = np.where(logp(mode) <= limit, 1.0, np.minimum(own + other, 1.0))
+    return two, greater
+
+
+def fisher_one(a: int, b: int, c: int, d: int) -> tuple[float, float]:
+    """(two-sided, greater) p-values of one 2x2 table."""
+    two, greater = fisher_tables([a], [b], [c], [d])
+    return float(two[0]), float(greater[0])
+
+
+def _binomial_wide(n: float, odds: float, u: float, lo: int, mode: int, hi: int) -> int:
+    """The quantile of one binomial with a very wide range, in chunks from the lower end, in two passes."""
+    chunk, log_odds = _WIDEST, math.log(odds)
+
+    def weights():
+        # Logs relative to the mode, reached from the lower end by the summed ratios.
+        carry = 0.0
+        for x in range(lo, hi + 1, chunk):
+            k = np.arange(x, min(x + chunk, hi + 1), dtype=float)
+            ratio = np.log((n - k) / (k + 1)) + log_odds
+            logs = carry + np.r_[0.0, np.cumsum(ratio[:-1])]
+            carry = logs[-1] + ratio[-1]
+            yield x, logs
+
+    top = max(float(logs.max()) for _, logs in weights())
+    total = sum(float(np.exp(logs - top).sum()) for _, logs in weights())
+    done = 0.0
+    for x, logs in weights():
+        part = np.cumsum(np.exp(logs - top))
+        if done + part[-1] >= u * total:
+            return x + int(np.searchsorted(done + part, u * total))
+        done += part[-1]
+    return hi
+
+
+def binomial_quantile(n, left, right, u) -> np.ndarray:
+    """Smallest k with P(X <= k) >= u for X ~ Binomial(n, left / (left + right)), elementwise.
+
+    Weights follow the ratio of neighbours over 8.5 standard deviations around the mode (beyond,
+    less than 2^-48 is left) and are divided by their own sum, so nothing is lost for large n.  A
+    row's result does not depend on the rows beside it.
+    """
+    n, left, right, u = (np.asarray(x, float) for x in (n, left, right, u))
+    out = np.where(right <= 0, n, 0.0)
+    some = np.flatnonzero((n > 0) & (left > 0) & (right > 0))
+    if not len(some):
+        return out.astype(np.int64)
+    n, left, right, u = n[some], left[some], right[some], u[some]
+    p = left / (left + right)
+    mode = np.minimum(np.floor((n + 1) * p), n)
+    half = np.ceil(8.5 * np.sqrt(n * p * (right / (left + right)))) + 40
+    lo, hi = np.maximum(mode - half, 0), np.minimum(mode + half, n)
+    width = (hi - lo + 1).astype(np.int64)
+    found = np.zeros(len(some))
+    odds = left / right
+    for i in np.flatnonzero(width > _WIDEST):
+        found[i] = _binomial_wide(n[i], odds[i], u[i], int(lo[i]), int(mode[i]), int(hi[i]))
+    small = np.flatnonzero(width <= _WIDEST)
+    for part, columns in _by_width(width[small]):
+        rows = small[part]
+        k = lo[rows][:, None] + np.arange(columns)
+        inside = k <= hi[rows][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.log((n[rows][:, None] - k) / (k + 1) * odds[rows][:, None])
+        ratio = np.where(inside & np.isfinite(ratio), ratio, 0.0)
+        logs = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(ratio[:, :-1], axis=1)], axis=1)
+        logs = np.where(inside, logs, -np.inf)
+        weight = np.exp(logs - logs.max(axis=1, keepdims=True))
+        reached = np.cumsum(weight, axis=1)
+        last = reached[np.arange(len(rows)), width[rows] - 1]
+        found[rows] = np.minimum(lo[rows] + (reached < (u[rows] * last)[:, None]).sum(axis=1), hi[rows])
+    out[some] = found
+    return out.astype(np.int64)
 
 
 def ipf_g2(cells: np.ndarray, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:
@@ -245,8 +360,8 @@ def fisher_p(a: Column, b: Column, c: Column, d: Column) -> Column:
 
     @F.pandas_udf("struct<two_sided: double, greater: double>")
     def test(w: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
-        p = [fisher_one(*map(int, t)) for t in zip(w, x, y, z)]
-        return pd.DataFrame(p, columns=["two_sided", "greater"])
+        two, greater = fisher_tables(w.to_numpy(), x.to_numpy(), y.to_numpy(), z.to_numpy())
+        return pd.DataFrame({"two_sided": two, "greater": greater})
 
     return test(*[v.cast("bigint") for v in (a, b, c, d)])
 

@@ -10,8 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from ..functions.special import gammaincc
+from ..functions.special import binomial_quantile, gammaincc
 from ..plans import spans
 from ..plans.cut import cut_lineage
 from ..plans.draws import draw_index, hash_int, uniform
@@ -141,85 +142,65 @@ def bootstrap_hierarchical(loci: DataFrame, callable_bp: DataFrame, n_rep: int,
     )
 
 
-def bootstrap_multinomial(counts: DataFrame, keys: list[str], category: str, n: str, n_rep: int, seed: int, block: int = 10000) -> DataFrame:
+def _splits(m: int) -> list[tuple[int, int, int]]:
+    """(from, middle, to) of every split of m categories, halves of a range after the range."""
+    todo, out = [(0, m)], []
+    while todo:
+        lo, hi = todo.pop(0)
+        if hi - lo > 1:
+            middle = (lo + hi) // 2
+            out.append((lo, middle, hi))
+            todo += [(lo, middle), (middle, hi)]
+    return out
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _split_draws(sizes: pd.Series, levels: pd.Series) -> pd.Series:
+    """Multinomial draws by a tree of conditional binomials; rows with as many categories go together."""
+    out = np.empty(len(sizes), dtype=object)
+    length = sizes.map(len).to_numpy()
+    for m in np.unique(length):
+        rows = np.flatnonzero(length == m)
+        n = np.stack([np.asarray(sizes.iloc[i], np.float64) for i in rows])
+        u = np.stack([np.asarray(levels.iloc[i], np.float64) for i in rows])
+        upto = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(n, axis=1)], axis=1)
+        held = {(0, m): upto[:, m]}
+        for lo, middle, hi in _splits(int(m)):
+            whole = held.pop((lo, hi))
+            part = binomial_quantile(whole, upto[:, middle] - upto[:, lo], upto[:, hi] - upto[:, middle], u[:, middle - 1])
+            held[(lo, middle)], held[(middle, hi)] = part.astype(float), whole - part
+        drawn = np.stack([held[(i, i + 1)] for i in range(int(m))], axis=1).astype(np.int64)
+        for i, row in zip(rows, drawn):
+            out[i] = row
+    return pd.Series(out)
+
+
+def bootstrap_multinomial(counts: DataFrame, keys: list[str], category: str, n: str, n_rep: int, seed: int) -> DataFrame:
     """(keys, rep, category, draws, share): multinomial resamples of the observed counts.
 
-    Every unit is one hash draw ranked among the cumulative counts of its key, an array as
-    long as the category list.  Units are exploded in blocks, so no array grows with n, and
-    only (key, rep, cell number) counts are shuffled.
+    The categories, in order, are halved again and again; at each split the draws that go to the
+    left half are one binomial, the exact quantile of one hash draw labelled (seed, keys, rep,
+    middle).  So the cost grows with the categories and not with the counts, small and large
+    totals follow one rule, and only the aggregated counts are shuffled.
     """
     per = counts.groupBy(*keys, category).agg(F.sum(n).alias("__n"))
-    cells = F.sort_array(
-        F.collect_list(F.when(F.col("__n") > 0, F.struct(F.col(category).alias("c"), F.col("__n").alias("n"))))
-    )
-    arrays = per.groupBy(*keys).agg(F.sum("__n").alias("total"), cells.alias("cells"))
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size("cells")),
-        lambda i: F.aggregate(F.slice("cells", 1, i), F.lit(0.0), lambda acc, x: acc + x["n"]),
-    )
-    table = cut_lineage(arrays.filter("total > 0").withColumn("ends", ends))
-    units = (
-        with_replicates(table.drop("cells"), n_rep)
-        .withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("total") - 1) / block))))
-        .withColumn(
-            "__u",
-            F.explode(F.sequence(F.col("__b") * block, F.least(F.col("__b") * block + block, F.col("total")) - 1)),
-        )
-    )
-    # a half keeps the draw apart from the cumulative counts it is ranked among
-    half = draw_index(F.col("total"), F.lit(seed), *[F.col(k) for k in keys], F.col("rep"), F.col("__u")) + F.lit(0.5)
-    rank = F.array_position(F.sort_array(F.array_append(F.col("ends"), half)), half).cast("int") - 1
-    drawn = (
-        units.groupBy(*keys, "rep", rank.alias("__i"))
-        .agg(F.count("*").alias("__d"))
-        .groupBy(*keys, "rep")
-        .agg(F.map_from_entries(F.collect_list(F.struct("__i", "__d"))).alias("__m"))
+    cells = F.sort_array(F.collect_list(F.struct(F.col(category).alias("c"), F.col("__n").alias("n"))))
+    arrays = per.groupBy(*keys).agg(F.sum("__n").alias("total"), cells.alias("cells")).filter("total > 0")
+    labels = [F.lit(seed), *[F.col(k) for k in keys], F.col("rep")]
+    middles = F.when(F.size("cells") > 1, F.sequence(F.lit(1), F.size("cells") - 1)).otherwise(F.array().cast("array<int>"))
+    drawn = with_replicates(arrays, n_rep).withColumn(
+        "__d", _split_draws(F.transform("cells", lambda c: c["n"]), F.transform(middles, lambda i: uniform(*labels, i)))
     )
     return (
-        drawn.join(table.select(*keys, "total", "cells"), keys)
-        .select(*keys, "rep", "total", "__m", F.posexplode("cells").alias("__i", "__c"))
+        drawn.select(*keys, "rep", "total", F.explode(F.arrays_zip("cells", F.col("__d").alias("d"))).alias("x"))
+        .filter("x.cells.n > 0")
         .select(
             *keys,
             "rep",
-            F.col("__c.c").alias(category),
-            F.coalesce(F.try_element_at("__m", F.col("__i")), F.lit(0)).cast("bigint").alias("draws"),
-            "total",
+            F.col("x.cells.c").alias(category),
+            F.col("x.d").alias("draws"),
+            (F.col("x.d") / F.col("total")).alias("share"),
         )
-        .withColumn("share", F.col("draws") / F.col("total"))
-        .drop("total")
-    )
-
-
-def bootstrap_multinomial_large(counts: DataFrame, keys: list[str], category: str, n: str, n_rep: int, seed: int) -> DataFrame:
-    """The same resamples for totals too large to draw unit by unit.
-
-    Each (key, replicate) is one vectorised multinomial draw from a generator seeded by the
-    hash of its labels, so the cost grows with the categories and not with the counts.
-    """
-    per = counts.groupBy(*keys, category).agg(F.sum(n).alias("__n"))
-    cells = F.sort_array(F.collect_list(F.struct(F.col(category).alias("c"), F.col("__n").alias("n"))))
-    arrays = per.groupBy(*keys).agg(F.sum("__n").alias("total"), cells.alias("cells")).filter("total > 0")
-
-    @F.pandas_udf("array<bigint>")
-    def draw(sizes: pd.Series, state: pd.Series) -> pd.Series:
-        out = []
-        for cell, start in zip(sizes, state):
-            cell = np.asarray(cell, dtype=np.int64)
-            out.append(np.random.default_rng(int(start)).multinomial(cell.sum(), cell / cell.sum()))
-        return pd.Series(out)
-
-    state = hash_int(F.lit(seed), *[F.col(k) for k in keys], F.col("rep"))
-    drawn = with_replicates(arrays, n_rep).withColumn(
-        "__d", draw(F.transform("cells", lambda c: c["n"]), state)
-    )
-    return drawn.select(
-        *keys, "rep", "total", F.explode(F.arrays_zip("cells", F.col("__d").alias("d"))).alias("x")
-    ).select(
-        *keys,
-        "rep",
-        F.col("x.cells.c").alias(category),
-        F.col("x.d").alias("draws"),
-        (F.col("x.d") / F.col("total")).alias("share"),
     )
 
 

@@ -405,17 +405,29 @@ def _(t):
     return rounded(rp.bootstrap_hierarchical(loci, t.callable_bp, 10, SEED), 12)
 
 
+def binomial_sql(src: str, n: str, left: str, right: str, middle: int, out: str) -> str:
+    """Rows of ``src`` with ``out``, the binomial quantile of the draw at one split, as SQL."""
+    p = f"({left} / ({left} + {right}))"
+    return f"""(SELECT s.*, coalesce(q.k, CASE WHEN {right} = 0 THEN {n} ELSE 0 END) AS {out} FROM {src} s LEFT JOIN (
+        SELECT test_key, rep, min(k) FILTER (WHERE cdf >= un OR k = last) AS k FROM (
+          SELECT test_key, rep, k, un, last, sum(pmf) OVER (PARTITION BY test_key, rep ORDER BY k) AS cdf FROM (
+            SELECT test_key, rep, k, {n} AS last, {duck_uniform(str(SEED), 'test_key', 'rep', str(middle))} AS un,
+                   exp(lgamma({n} + 1) - lgamma(k + 1) - lgamma({n} - k + 1) + k * ln({p}) + ({n} - k) * ln(1 - {p})) AS pmf
+            FROM (SELECT *, unnest(range(0, {n} + 1)) AS k FROM {src} WHERE {n} > 0 AND {left} > 0 AND {right} > 0) x) y) z
+        GROUP BY test_key, rep) q ON q.test_key = s.test_key AND q.rep = s.rep)"""
+
+
 @query(
     "rep04_bootstrap_multinomial",
-    f"""WITH k AS (SELECT test_key, x AS category, n FROM (SELECT test_key, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b, CAST(sum(c) AS BIGINT) AS c, CAST(sum(d) AS BIGINT) AS d
-             FROM cells GROUP BY test_key) s UNPIVOT (n FOR x IN (a, b, c, d))),
-        e AS (SELECT *, sum(n) OVER (PARTITION BY test_key ORDER BY category) - n AS lo, sum(n) OVER (PARTITION BY test_key ORDER BY category) AS hi,
-              sum(n) OVER (PARTITION BY test_key) AS total FROM k WHERE n > 0),
-        tt AS (SELECT DISTINCT test_key, CAST(total AS BIGINT) AS total FROM e),
-        u AS (SELECT test_key, total, rep, unnest(range(0, total)) AS u FROM tt CROSS JOIN {reps(5)} r),
-        p AS (SELECT test_key, rep, {duck_hash_int(str(SEED), 'test_key', 'rep', 'u')} % total AS pick FROM u)
-        SELECT e.test_key, CAST(r.rep AS INT) AS rep, e.category, count(p.pick) AS draws, round(count(p.pick) / any_value(e.total), 9) AS share
-        FROM e CROSS JOIN {reps(5)} r LEFT JOIN p ON p.test_key = e.test_key AND p.rep = r.rep AND p.pick >= e.lo AND p.pick < e.hi GROUP BY 1, 2, 3""",
+    f"""WITH s AS (SELECT test_key, r.rep, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(c AS BIGINT) AS c, CAST(d AS BIGINT) AS d,
+                 CAST(a + b + c + d AS BIGINT) AS n FROM (SELECT test_key, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d
+                 FROM cells GROUP BY test_key) z CROSS JOIN {reps(5)} r WHERE a + b + c + d > 0),
+        t1 AS (SELECT *, n - nl AS nr FROM {binomial_sql('s', 'n', '(a + b)', '(c + d)', 2, 'nl')} x),
+        t2 AS (SELECT * FROM {binomial_sql('t1', 'nl', 'a', 'b', 1, 'da')} x),
+        t3 AS (SELECT * FROM {binomial_sql('t2', 'nr', 'c', 'd', 3, 'dc')} x),
+        o AS (SELECT test_key, rep, n, unnest([{{'k': 'a', 'w': a, 'd': da}}, {{'k': 'b', 'w': b, 'd': nl - da}},
+                {{'k': 'c', 'w': c, 'd': dc}}, {{'k': 'd', 'w': d, 'd': nr - dc}}]) AS x FROM t3)
+        SELECT test_key, CAST(rep AS INT) AS rep, x.k AS category, x.d AS draws, round(x.d / n, 9) AS share FROM o WHERE x.w > 0""",
 )
 def _(t):
     sums = t.cells.groupBy("test_key").agg(*[F.sum(x).alias(x) for x in "abcd"])

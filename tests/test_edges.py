@@ -644,21 +644,64 @@ def test_poisson_draws_have_the_right_mean(spark):
 
 
 def test_multinomial_keeps_the_total(spark):
-    counts = spark.createDataFrame([("k", "a", 70), ("k", "b", 0), ("k", "c", 30)], "k string, c string, n bigint")
-    got = rp.bootstrap_multinomial(counts, ["k"], "c", "n", 40, 9, block=17).collect()
+    counts = spark.createDataFrame([("k", "a", 70), ("k", "b", 0), ("k", "c", 30), ("one", "a", 5)], "k string, c string, n bigint")
+    got = rp.bootstrap_multinomial(counts, ["k"], "c", "n", 40, 9).collect()
     per = {}
     for r in got:
-        per.setdefault(r.rep, {})[r.c] = r.draws
-    assert len(per) == 40 and all(sum(v.values()) == 100 for v in per.values())
-    assert 60 < np.mean([v["a"] for v in per.values()]) < 80
+        per.setdefault((r.k, r.rep), {})[r.c] = r.draws
+    assert len(per) == 80 and all(sum(v.values()) == (100 if k == "k" else 5) for (k, _), v in per.items())
+    assert 60 < np.mean([v["a"] for (k, _), v in per.items() if k == "k"]) < 80
+    assert all(set(v) == {"a", "c"} for (k, _), v in per.items() if k == "k")
+
+
+def test_multinomial_has_one_rule_for_all_totals(spark):
+    """Draws do not depend on partitions, and large totals follow the same draws as small ones."""
+    rows = [(str(t), c, int(t * w)) for t in (10, 10**3, 10**6, 10**9, 10**12) for c, w in (("a", 0.5), ("b", 0.2), ("c", 0.3))]
+    counts = spark.createDataFrame(rows, "k string, c string, n bigint")
+    a = sorted(map(tuple, rp.bootstrap_multinomial(counts, ["k"], "c", "n", 6, 9).collect()))
+    assert a == sorted(map(tuple, rp.bootstrap_multinomial(counts.repartition(7), ["k"], "c", "n", 6, 9).collect()))
+    per = {}
+    for k, rep, c, draws, _ in a:
+        per[(k, rep)] = per.get((k, rep), 0) + draws
+        weight = {"a": 0.5, "b": 0.2, "c": 0.3}[c]
+        assert abs(draws - int(k) * weight) < 6 * (int(k) * weight) ** 0.5
+    assert per == {(str(t), r): t for t in (10, 10**3, 10**6, 10**9, 10**12) for r in range(6)}
 
 
-def test_large_multinomial(spark):
-    counts = spark.createDataFrame([("k", "a", 7 * 10**11), ("k", "b", 0), ("k", "c", 3 * 10**11)], "k string, c string, n bigint")
-    a = rp.bootstrap_multinomial_large(counts, ["k"], "c", "n", 5, 9)
-    again = rp.bootstrap_multinomial_large(counts.repartition(3), ["k"], "c", "n", 5, 9)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, again.collect()))
-    per = {}
-    for r in a.collect():
-        per[r.rep] = per.get(r.rep, 0) + r.draws
-    assert per == {i: 10**12 for i in range(5)}
+def test_binomial_quantile_by_its_definition(monkeypatch):
+    from math import comb
+
+    rng = np.random.default_rng(5)
+    for n, l, r in [(1, 1, 1), (5, 1, 3), (40, 7, 2), (300, 1, 90), (0, 1, 1), (7, 0, 3), (7, 3, 0)]:
+        u = np.r_[rng.random(50), 0.0, 1 - 2.0**-48]
+        got = sp.binomial_quantile(np.full(52, n), np.full(52, l), np.full(52, r), u)
+        p = l / (l + r)
+        cdf = np.cumsum([comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)])
+        want = [min(int(np.searchsorted(cdf, x)), n) for x in u]
+        assert np.abs(got - want)[:50].max(initial=0) == 0 and (got >= 0).all() and (got <= n).all()
+    big = [np.full(3, 10.0**9), np.full(3, 0.3), np.full(3, 0.7), np.array([0.1, 0.5, 0.9])]
+    whole = sp.binomial_quantile(*big)
+    monkeypatch.setattr(sp, "_WIDEST", 1000)
+    assert np.array_equal(sp.binomial_quantile(*big), whole)
+
+
+def test_a_million_fisher_tables():
+    from math import comb
+
+    rng = np.random.default_rng(2)
+    a, b, c, d = rng.integers(0, 40, (4, 1_000_000))
+    two, greater = sp.fisher_tables(a, b, c, d)
+    for i in range(0, 1_000_000, 9973):
+        n1, n2, m1 = int(a[i] + b[i]), int(c[i] + d[i]), int(a[i] + c[i])
+        lo, hi = max(0, m1 - n2), min(n1, m1)
+        mass = {x: comb(n1, x) * comb(n2, m1 - x) / comb(n1 + n2, m1) for x in range(lo, hi + 1)} if n1 + n2 else {0: 1.0}
+        own = mass[int(a[i])] * (1 + 1e-7)
+        assert two[i] == pytest.approx(min(1.0, sum(v for v in mass.values() if v <= own)), rel=1e-9)
+        assert greater[i] == pytest.approx(min(1.0, sum(v for x, v in mass.items() if x >= a[i])), rel=1e-9)
+
+
+def test_fisher_tables_far_in_the_tail():
+    """A tail below the smallest mass that a difference from 1 could show, and very large tables."""
+    two, greater = sp.fisher_tables([90, 10**6, 0], [5, 10**6, 0], [7, 10**6 + 500, 3], [98, 10**6 - 500, 4])
+    assert 0 < greater[0] < 1e-30 and greater[0] <= two[0] < 1e-30
+    assert 0.4 < two[1] < 0.7 and two[2] == 1.0
