@@ -157,3 +157,15 @@ def has_premature_stop(seq: str | Column) -> Column:
     return F.when(F.length(s) < 6, F.lit(False)).otherwise(
         F.arrays_overlap(inner, F.array(F.lit("TAA"), F.lit("TAG"), F.lit("TGA")))
     )
+
+
+def cg_sites(seq: str | Column) -> Column:
+    """Bases with both neighbours in ``seq`` that are the C or the G of a CG or GC pair."""
+    inner = "(?<=.)C(?=G)|(?<=G)C(?=.)|(?<=C)G(?=.)|(?<=.)G(?=C)"
+    return F.regexp_count(F.upper(_c(seq)), F.lit(inner)).cast("bigint")
+
+
+def cpd_sites(seq: str | Column) -> Column:
+    """Bases with both neighbours in ``seq`` that are in a dipyrimidine on either strand."""
+    inner = "(?<=[CT])C(?=.)|(?<=.)C(?=[CT])|(?<=[AG])G(?=.)|(?<=.)G(?=[AG])"
+    return F.regexp_count(F.upper(_c(seq)), F.lit(inner)).cast("bigint")

@@ -244,12 +244,24 @@ def overall_structure(slots: DataFrame, families: DataFrame) -> DataFrame:
     return wide.unpivot([], wide.columns, "metric", "value")
 
 
-def lane_matrix(lanes: DataFrame, columns: list[str], by: list[str] = ("individual",), column: str = "lane") -> DataFrame:
-    """Coverage summed by individual and the given lanes; 0 where absent."""
-    return (
-        lanes_only(lanes)
-        .groupBy(*by)
-        .pivot(column, columns)
-        .agg(F.sum("coverage"))
-        .fillna(0.0, subset=columns)
-    )
+def lane_coverage(lanes: DataFrame, by: list[str] = ("individual",), flowcell: str = "round_id", lane: str = "lane") -> DataFrame:
+    """(by, flowcell, lane, coverage): one row per individual and lane that it was sequenced in.
+
+    A lane is known by its flowcell and its number, so equal numbers on two flowcells stay apart,
+    and no lane has to be listed beforehand.
+    """
+    return lanes_only(lanes).groupBy(*by, flowcell, lane).agg(F.sum("coverage").alias("coverage"))
+
+
+def lane_matrix(
+    lanes: DataFrame, columns: list[tuple[str, str]], by: list[str] = ("individual",), flowcell: str = "round_id", lane: str = "lane"
+) -> DataFrame:
+    """Coverage by individual and the given (flowcell, lane) columns, named ``flowcell:lane``; 0 where absent.
+
+    Lanes outside the list are added up in ``others``.
+    """
+    rows = lane_coverage(lanes, by, flowcell, lane)
+    key = F.concat_ws(":", flowcell, lane)
+    names = [f"{f}:{x}" for f, x in columns]
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("coverage"))), F.lit(0.0))
+    return rows.groupBy(*by).agg(*[total(key == n).alias(n) for n in names], total(~key.isin(names)).alias("others"))

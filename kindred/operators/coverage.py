@@ -348,3 +348,14 @@ def grand_mean(tables: list[DataFrame], value: str) -> DataFrame:
         everything = everything.unionByName(other)
     mean = everything.agg(F.avg(value).alias("grand_mean"))
     return everything.join(F.broadcast(mean))
+
+
+def mean_depth_report(alignments: DataFrame, calls: DataFrame, keys: list[str] = ("sample", "chrom")) -> DataFrame:
+    """(keys, bam_mean, vcf_mean): mean depth of the alignments beside that of the calls.
+
+    ``alignments`` has depth, ``calls`` has dp.  Both are aggregated before they meet, so the join is
+    between one row per key; keys that one side lacks are left out.
+    """
+    left = alignments.groupBy(*keys).agg(F.avg("depth").alias("bam_mean"))
+    right = calls.groupBy(*keys).agg(F.avg("dp").alias("vcf_mean"))
+    return left.join(right, list(keys))

@@ -40,7 +40,7 @@ def _het_sum(m):
     return one + one.T
 
 
-def pairwise_ibs(calls: DataFrame, sites_per_block: int = 4096, entity_blocks: int = 1) -> DataFrame:
+def pairwise_ibs(calls: DataFrame, sites_per_block: int = 4096, entity_blocks: int | None = None) -> DataFrame:
     """Per pair of samples: shared sites, IBS0 share and the robust kinship coefficient
     (het-het minus twice opposite homozygotes, over the heterozygotes of both)."""
     rows = calls.select("sample", "chrom", "pos", dosage("gt").alias("d")).filter("d IS NOT NULL")

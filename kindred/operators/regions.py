@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans import spans
-from ..plans.running import position_bucket, running
+from ..plans.running import position_bucket, range_buckets, running
 
 
 def bridge_intervals(df: DataFrame, keys: list[str], gap: int, start="start", end="end", width=spans.DEFAULT_WIDTH) -> DataFrame:
@@ -57,13 +57,17 @@ def mean_nearest_neighbour(points: DataFrame, keys: list[str], group: list[str]
     )
 
 
-def runs(sites: DataFrame, keys: list[str], site: str, removed: str, poly: str, width: int = 65536) -> DataFrame:
+def runs(
+    sites: DataFrame, keys: list[str], site: str, removed: str, poly: str, width: int = 65536, last_again: bool = False
+) -> DataFrame:
     """Runs of kept sites: start, exclusive end (next removed site, or last site + 1) and
     the share of polymorphic sites.
 
     The run of a kept site is named by the next removed site, a running minimum from the
     right, so no key is gathered in one task.  As in the report this feeds, the site at the
-    end belongs to the polymorphic count and to the length.
+    end belongs to the polymorphic count and to the length.  A run that reaches the last site of
+    its key has no removed site at its end; with ``last_again`` its last site is then counted a
+    second time in that place, as the report does by repeating the last row.
     """
     marked = sites.withColumn("__stop", F.when(F.col(removed), F.col(site)))
     named = running(
@@ -74,7 +78,10 @@ def runs(sites: DataFrame, keys: list[str], site: str, removed: str, poly: str,
         F.min(F.when(kept, F.col(site))).alias("start"),
         F.max(F.when(kept, F.col(site))).alias("__last"),
         F.count_if(F.col(poly)).alias("n_poly"),
+        F.max_by(F.when(F.col(poly), 1).otherwise(0), F.col(site)).alias("__again"),
     )
+    if last_again:
+        per = per.withColumn("n_poly", F.col("n_poly") + F.when(F.col("__end").isNull(), F.col("__again")).otherwise(0))
     return (
         per.filter("start IS NOT NULL")
         .withColumn("end", F.coalesce("__end", F.col("__last") + 1))
@@ -95,14 +102,14 @@ def region_filter(regions: DataFrame, min_log10: float = 2.5, max_poly: float =
 def make_segments(lengths: DataFrame, size: int, prefix: str) -> DataFrame:
     """Fixed tiling ``chrom:start-end`` with zero-padded ids in natural chromosome order.
 
-    Ids come from a running count of segments per chromosome, so only the chromosome table
-    is ordered.  A last segment of one base is kept.
+    Ids come from a running count of segments per chromosome, over ranges of the chromosome
+    table, however many contigs it has.  A last segment of one base is kept.
     """
     n = F.ceil(F.col("length") / F.lit(size)).cast("bigint")
-    order = W.orderBy(ids.chrom_rank("chrom"), "chrom").rowsBetween(W.unboundedPreceding, -1)
-    firsts = lengths.withColumn("__n", n).withColumn(
-        "__first", F.coalesce(F.sum("__n").over(order), F.lit(0))
-    )
+    ranked = lengths.withColumns({"__n": n, "__order": F.struct(ids.chrom_rank("chrom").alias("rank"), F.col("chrom").alias("name"))})
+    firsts = running(
+        range_buckets(ranked, "__order"), [], "__order", F.col("__range"), {"__first": ("sum", "__n")}, inclusive=False
+    ).withColumn("__first", F.coalesce("__first", F.lit(0)))
     i = F.col("__i")
     start = i * size + 1
     return firsts.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1))).select(

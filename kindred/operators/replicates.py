@@ -16,7 +16,7 @@ from ..functions.special import binomial_quantile, gammaincc
 from ..plans import spans
 from ..plans.cut import cut_lineage
 from ..plans.draws import draw_index, hash_int, uniform
-from ..plans.running import dense_index, exact_quantiles, position_bucket, running
+from ..plans.running import dense_index, exact_quantiles, position_bucket, range_buckets, running
 from ..plans.spine import with_replicates
 from .regions import mean_nearest_neighbour
 
@@ -301,13 +301,9 @@ def interval_offsets(spans_: DataFrame, start: str = "start", end: str = "end")
     """Cumulative offsets [lo, hi) of disjoint spans laid end to end, chromosome by chromosome."""
     sized = spans_.withColumn("__len", F.col(end) - F.col(start))
     run = running(sized, ["chrom"], start, position_bucket(start, 1 << 20), {"__cum": ("sum", "__len")})
-    chroms = sized.groupBy("chrom").agg(F.sum("__len").alias("__total"))
-    base = chroms.withColumn(
-        "__base",
-        F.coalesce(
-            F.sum("__total").over(W.orderBy("chrom").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ),
-    ).drop("__total")
+    chroms = range_buckets(sized.groupBy("chrom").agg(F.sum("__len").alias("__total")), "chrom")
+    before = running(chroms, [], "chrom", F.col("__range"), {"__base": ("sum", "__total")}, inclusive=False)
+    base = before.select("chrom", F.coalesce("__base", F.lit(0)).alias("__base"))
     hi = F.col("__base") + F.col("__cum")
     return run.join(base, "chrom").select(
         F.col("chrom"), F.col(start), (hi - F.col("__len")).alias("lo"), hi.alias("hi")

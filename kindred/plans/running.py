@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .cut import cut_lineage
+
 _COMBINE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "min": F.least,
@@ -52,6 +54,15 @@ def signed_bucket(x: str | Column, per_octave: int = 16) -> Column:
     return F.when(x == 0, F.lit(0).cast("bigint")).when(x > 0, size).otherwise(-size)
 
 
+def range_buckets(df: DataFrame, order: str, out: str = "__range") -> DataFrame:
+    """Add a bucket that is monotone in any sortable column: the range partition of the row.
+
+    The ranges are sampled, so the rows are stored with their buckets (reliable checkpoint)
+    before anything is computed from them.
+    """
+    return cut_lineage(df.repartitionByRange(F.col(order)).withColumn(out, F.spark_partition_id().cast("bigint")))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -114,11 +125,34 @@ def running(
 def neighbours(
     points: DataFrame, keys: list[str], pos: str, width: int = 65536
 ) -> DataFrame:
-    """Add ``prev_pos`` and ``next_pos`` to rows unique on (keys, pos)."""
-    bucket = position_bucket(pos, width)
-    left = running(points, keys, pos, bucket, {"prev_pos": ("max", pos)}, inclusive=False)
-    return running(
-        left, keys, pos, bucket, {"next_pos": ("min", pos)}, reverse=True, inclusive=False
+    """Add ``prev_pos`` and ``next_pos`` to rows unique on (keys, pos).
+
+    The points are dealt out by (key, bucket) once.  From that one exchange come the neighbours
+    inside a bucket, and one row per bucket with its first and last position; a window over
+    those rows carries the last position from the left and the first from the right, and comes
+    back with the bucket.
+    """
+    b = "__bucket"
+    dealt = points.withColumn(b, position_bucket(pos, width)).repartition(*keys, b)
+    inside = W.partitionBy(*keys, b).orderBy(pos)
+    across = W.partitionBy(*keys).orderBy(b) if keys else W.orderBy(b)
+    edges = dealt.groupBy(*keys, b).agg(F.min(pos).alias("__first"), F.max(pos).alias("__last")).select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        F.col(b).alias("__k_bucket"),
+        F.lag("__last").over(across).alias("__from_left"),
+        F.lead("__first").over(across).alias("__from_right"),
+    )
+    local = dealt.select(
+        "*", F.lag(pos).over(inside).alias("__prev"), F.lead(pos).over(inside).alias("__next")
+    )
+    on = reduce(
+        lambda x, y: x & y,
+        [local[k].eqNullSafe(edges[f"__k_{k}"]) for k in keys] + [local[b] == edges["__k_bucket"]],
+    )
+    return local.join(edges, on, "left").select(
+        *points.columns,
+        F.coalesce("__prev", "__from_left").alias("prev_pos"),
+        F.coalesce("__next", "__from_right").alias("next_pos"),
     )
 
 

@@ -181,16 +181,31 @@ def _(t):
 
 
 LANES = [f"L0{i}" for i in range(1, 8)]
+ROUNDS = ["V1", "V2", "V3"]
+
+
+@query(
+    "agg60_lane_coverage",
+    "SELECT individual, round_id, lane, round(sum(coverage), 9) AS coverage FROM lanes GROUP BY individual, round_id, lane",
+)
+def _(t):
+    return rounded(bt.lane_coverage(t.lanes))
+
+
+LISTED = [(r, x) for r in ROUNDS for x in LANES[:2]]
 
 
 @query(
     "agg60_lane_matrix",
-    "SELECT individual, round_id, "
-    + ", ".join(f"coalesce(sum(coverage) FILTER (WHERE lane = '{x}'), 0) AS \"{x}\"" for x in LANES)
-    + " FROM lanes GROUP BY individual, round_id",
+    "SELECT individual, "
+    + ", ".join(
+        f"round(coalesce(sum(coverage) FILTER (WHERE round_id = '{r}' AND lane = '{x}'), 0), 9) AS \"{r}:{x}\"" for r, x in LISTED
+    )
+    + f", round(coalesce(sum(coverage) FILTER (WHERE NOT (round_id IN {tuple(ROUNDS)!r} AND lane IN {tuple(LANES[:2])!r})), 0), 9) AS others"
+    + " FROM lanes GROUP BY individual",
 )
 def _(t):
-    return bt.lane_matrix(t.lanes, LANES, ["individual", "round_id"])
+    return rounded(bt.lane_matrix(t.lanes, LISTED))
 
 
 @query(
@@ -401,9 +416,7 @@ BAM_SAMPLE = """concat('SP_family', CAST(pos % 4 + 1 AS STRING), '_', CASE sampl
        JOIN (SELECT sample, chrom, avg(dp) AS m FROM calls GROUP BY 1, 2) b ON b.sample = a.sample AND b.chrom = a.chrom""",
 )
 def _(t):
-    bam = t.depth.groupBy(F.expr(BAM_SAMPLE).alias("sample"), "chrom").agg(F.avg("depth").alias("bam_mean"))
-    vcf = t.calls.groupBy("sample", "chrom").agg(F.avg("dp").alias("vcf_mean"))
-    return rounded(bam.join(vcf, ["sample", "chrom"]))
+    return rounded(cov.mean_depth_report(t.depth.withColumn("sample", F.expr(BAM_SAMPLE)), t.calls))
 
 
 # --- kinship ----------------------------------------------------------------------------------------
@@ -464,4 +477,4 @@ def _(t):
        SELECT id1, id2, n AS n_snp, round(z / n, 9) AS ibs0, CASE WHEN s > 0 THEN round((h - 2 * z) / s, 9) END AS kinship FROM p""",
 )
 def _(t):
-    return rounded(kin.pairwise_ibs(t.calls, entity_blocks=2))
+    return rounded(kin.pairwise_ibs(t.calls))

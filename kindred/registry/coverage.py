@@ -377,6 +377,20 @@ def _(t):
     return rounded(out.withColumnRenamed("end", "stop"))
 
 
+@query(
+    "win07_runs_last_again",
+    RUNS + """, z AS (SELECT chrom, max(pos) AS last, max_by(poly, pos) AS again FROM sites_ GROUP BY chrom),
+        r AS (SELECT p.chrom, start, stop, n_poly, n_poly + CASE WHEN stop = last + 1 AND again THEN 1 ELSE 0 END AS n_again FROM p JOIN z USING (chrom))
+       SELECT chrom, start, stop, n_poly AS n_once, n_again, round(n_again / (stop - start + 1), 9) AS poly_stat FROM r""",
+)
+def _(t):
+    """The two rules for the last site of a chromosome side by side."""
+    args = (masked_sites(t), ["chrom"], "pos", "removed", "poly")
+    once = rg.runs(*args).select("chrom", "start", F.col("n_poly").alias("n_once"))
+    again = rg.runs(*args, last_again=True).withColumnsRenamed({"end": "stop", "n_poly": "n_again"})
+    return rounded(again.join(once, ["chrom", "start"]))
+
+
 @query(
     "flt22_region_filter",
     RUNS + """ SELECT chrom, start, stop - 1 AS stop, stop - start AS len, round(n_poly / (stop - start + 1), 9) AS poly_stat

@@ -111,11 +111,8 @@ def _(t):
         FROM ctx GROUP BY chrom""",
 )
 def _(t):
-    each = t.genome.select("chrom", "seq", F.explode(F.sequence(F.lit(1), F.lit(BP))).alias("i")).select(
-        "chrom", F.substring(F.col("seq"), F.col("i"), F.lit(3)).alias("c")
-    )
-    return each.groupBy("chrom").agg(
-        F.count_if(fb.is_cg_site("c")).alias("n_cg"), F.count_if(fb.is_cpd_site("c")).alias("n_cpd")
+    return t.genome_tiles.groupBy("chrom").agg(
+        F.sum(fb.cg_sites("seq")).alias("n_cg"), F.sum(fb.cpd_sites("seq")).alias("n_cpd")
     )
 
 

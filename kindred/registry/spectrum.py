@@ -8,6 +8,7 @@ from ..functions import bases as fb
 from ..functions import calls as fc
 from ..functions import ids
 from ..operators import phasing as ph
+from ..operators import sets as st
 from ..operators import spectrum as sp
 from ..plans.spine import CLASSES8, SBS96, TRINUC32
 from .core import query, rounded
@@ -688,11 +689,7 @@ def _(t):
        UNION ALL SELECT 'somatic', species, count(*) FROM somatic GROUP BY species) z""",
 )
 def _(t):
-    parts = [
-        d.groupBy("species").agg(F.count("*").alias("n")).withColumn("source", F.lit(s))
-        for s, d in (("germline", t.dnm), ("somatic", t.somatic))
-    ]
-    return parts[0].unionByName(parts[1]).select("source", "species", "n")
+    return st.counts_by_source({"germline": t.dnm, "somatic": t.somatic}, ["species"])
 
 
 @query(
@@ -701,7 +698,7 @@ def _(t):
     "(SELECT child FROM dnm GROUP BY child HAVING 9 * count(*) FILTER (WHERE phased = 'F') > count(*))",
 )
 def _(t):
-    return t.callable_bp.select("child").subtract(often_false(t))
+    return st.keys_without(t.callable_bp, often_false(t), ["child"])
 
 
 @query(
@@ -710,9 +707,6 @@ def _(t):
               count(DISTINCT child) AS n_children FROM dnm GROUP BY family, chrom, pos""",
 )
 def _(t):
-    kids = t.dnm.groupBy("family", "chrom", "pos").agg(F.collect_set("child").alias("kids"))
     sample = F.array(*[F.concat(F.col("family"), F.lit(f"_S{i}_offspring")) for i in (1, 2)])
-    return kids.select(
-        "family", "chrom", "pos", F.arrays_overlap("kids", sample).alias("sampled"),
-        F.size("kids").cast("bigint").alias("n_children"),
-    )
+    found = st.members_overlap(t.dnm, ["family", "chrom", "pos"], "child", sample)
+    return found.withColumnRenamed("n_members", "n_children")

@@ -251,6 +251,47 @@ def _(t):
     return rounded(hy.cosine_distance_pairs(label_vectors(t), "label", "dim", "value"))
 
 
+@query(
+    "jn17_near_pairs",
+    """WITH v AS (SELECT l_suppkey AS e, l_partkey % 40 AS dim, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+        n AS (SELECT e, sqrt(sum(v * v)) AS norm FROM v GROUP BY e),
+        d AS (SELECT a.e AS x, b.e AS y, 1 - sum(a.v / na.norm * (b.v / nb.norm)) AS distance FROM v a JOIN v b ON b.dim = a.dim AND CAST(a.e AS VARCHAR) < CAST(b.e AS VARCHAR)
+              JOIN n na ON na.e = a.e JOIN n nb ON nb.e = b.e GROUP BY a.e, b.e)
+       SELECT CAST(x AS VARCHAR) AS a, CAST(y AS VARCHAR) AS b, round(distance, 9) AS distance FROM d WHERE distance <= 0.17""",
+)
+def _(t):
+    """Suppliers with alike quantities over parts; pairs beyond the distance never leave a task."""
+    dims = (F.col("l_partkey") % 40).alias("dim")
+    v = t.lineitem.groupBy(F.col("l_suppkey").alias("e"), dims).agg(F.sum("l_quantity").alias("v"))
+    return rounded(hy.cosine_distance_pairs(v, "e", "dim", "v", most=0.17))
+
+
+@query(
+    "tst10_tree_distance",
+    """WITH p AS (SELECT s_suppkey AS leaf, unnest(CASE WHEN s_suppkey % 3 = 0 THEN ['root', 'r' || n_regionkey, 's' || s_suppkey]
+                    ELSE ['root', 'r' || n_regionkey, 'n' || n_nationkey, 's' || s_suppkey] END) AS ancestor,
+                 unnest(range(0, CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 4 END)) AS depth
+               FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+        w AS (SELECT DISTINCT least(x.l_suppkey, y.l_suppkey) AS a, greatest(x.l_suppkey, y.l_suppkey) AS b
+              FROM lineitem x JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1
+              WHERE x.l_suppkey <> y.l_suppkey),
+        l AS (SELECT leaf, max(depth) AS d FROM p GROUP BY leaf),
+        c AS (SELECT w.a, w.b, max(x.depth) AS s FROM w JOIN p x ON x.leaf = w.a JOIN p y ON y.leaf = w.b AND y.ancestor = x.ancestor GROUP BY 1, 2)
+       SELECT c.a, c.b, CAST(la.d + lb.d - 2 * c.s AS DOUBLE) AS distance FROM c JOIN l la ON la.leaf = c.a JOIN l lb ON lb.leaf = c.b""",
+)
+def _(t):
+    """Steps in the tree of regions, nations and suppliers between suppliers of neighbouring order lines."""
+    joined = t.supplier.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey"))  # 25 rows
+    top = [F.lit("root"), F.concat(F.lit("r"), "n_regionkey")]
+    own, nation = F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "n_nationkey")
+    line = F.when(F.col("s_suppkey") % 3 == 0, F.array(*top, own)).otherwise(F.array(*top, nation, own))
+    paths = joined.select(F.col("s_suppkey").alias("leaf"), F.posexplode(line).alias("depth", "ancestor"))
+    x = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("x"))
+    y = t.lineitem.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_suppkey").alias("y"))
+    pairs = x.join(y, ["l_orderkey", "n"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return hy.tree_distance(paths, pairs)
+
+
 @query(
     "tst10_distance_correlation",
     f"""WITH {DIST} SELECT round(corr(distance, abs(CAST(a AS INT) - CAST(b AS INT))), 9) AS r, count(*) AS n_pairs FROM d""",

@@ -339,7 +339,7 @@ def _(t):
             AND x.pos <> cand.pos AND x.pos BETWEEN cand.pos - 12 AND cand.pos + 12)""",
 )
 def _(t):
-    return spans.drop_crowded(t.calls, ["chrom"], "pos", 12).select("chrom", "pos", "gt")
+    return spans.isolated_rows(t.calls, ["chrom"], "pos", 12).select("chrom", "pos", "gt")
 
 
 @query(

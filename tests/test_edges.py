@@ -1,6 +1,7 @@
 """Hand-written boundary rows, one per rule."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -624,6 +625,38 @@ def test_tree_distance(spark):
     assert got == {("a", "b"): 2.0, ("a", "c"): 3.0, ("b", "c"): 3.0}
 
 
+def test_tree_distance_by_common_ancestors(spark):
+    """A random forest: all pairs, chosen pairs, places of subtrees, and leaves of different trees."""
+    rng = random.Random(4)
+    parent = {f"t{i}": None for i in range(2)}
+    for i in range(60):
+        parent[f"n{i}"] = rng.choice([p for p in parent if not p.startswith("leaf")])
+    for i in range(40):
+        parent[f"leaf{i}"] = rng.choice([p for p in parent if not p.startswith("leaf")])
+    lines = {}
+    for leaf in (p for p in parent if p.startswith("leaf")):
+        line, at = [], leaf
+        while at is not None:
+            line.insert(0, at)
+            at = parent[at]
+        lines[leaf] = line
+    rows = [(leaf, a, d) for leaf, line in lines.items() for d, a in enumerate(line)]
+    paths = spark.createDataFrame(rows, "leaf string, ancestor string, depth int")
+    want = {}
+    for a in lines:
+        for b in lines:
+            common = sum(x == y for x, y in zip(lines[a], lines[b]))
+            if a < b and common:
+                want[(a, b)] = float(len(lines[a]) + len(lines[b]) - 2 * common)
+    assert {(r.a, r.b): r.distance for r in hy.tree_distance(paths).collect()} == want
+    some = spark.createDataFrame([("leaf3", "leaf1"), ("leaf1", "leaf3"), ("leaf1", "leaf1"), ("leaf0", "none")], "a string, b string")
+    got = {(r.a, r.b): r.distance for r in hy.tree_distance(paths, some).collect()}
+    assert got == ({("leaf3", "leaf1"): want[("leaf1", "leaf3")], ("leaf1", "leaf3"): want[("leaf1", "leaf3")]} if ("leaf1", "leaf3") in want else {})
+    order = hy.tree_order(paths)
+    for r in hy.tree_intervals(paths, order).collect():
+        assert r["last"] - r["first"] + 1 == sum(r.ancestor in line for line in lines.values())
+
+
 def test_replicates_do_not_depend_on_order(spark):
     rows = [("s", f"k{i}", i % 5, 1000 + i) for i in range(30)]
     schema = "species string, child string, unique_dnms bigint, callable_sites bigint"

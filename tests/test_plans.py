@@ -195,6 +195,50 @@ def test_pair_sums_do_not_depend_on_blocks(spark, blocks):
     assert got == want
 
 
+def test_entity_blocks_follow_from_the_budget(spark, monkeypatch):
+    """The largest matrices of a task stay within the budget, and the result is that of one block."""
+    from kindred.plans import gram
+
+    rng = np.random.default_rng(8)
+    rows = [(f"e{j}", i, float(rng.integers(0, 3))) for i in range(30) for j in range(200)]
+    df = spark.createDataFrame(rows, "e string, i int, v double")
+    dot = lambda m: np.nan_to_num(m).T @ np.nan_to_num(m)
+    assert gram.blocks_for(200, 1) == 1
+    budget = 3 * 8 * 60**2
+    k = gram.blocks_for(200, 1, budget)
+    assert k > 4
+    # Entities in the largest pair of blocks, by the hash that deals them out.
+    own = df.select("e").distinct().selectExpr(f"pmod(xxhash64(e), {k}) AS b").groupBy("b").count().collect()
+    largest = sum(sorted(r["count"] for r in own)[-2:])
+    assert 3 * 8 * largest**2 <= 1.5 * budget
+    args = (df, "e", F.col("i"), F.floor(F.col("i") / 7), F.col("v"), {"d": dot})
+    one = sorted((r.a, r.b, r.d) for r in pair_sums(*args).collect())
+    assert len(one) == 200 * 199 // 2
+    assert sorted((r.a, r.b, r.d) for r in pair_sums(*args, budget=budget).collect()) == one
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_cutoff_loses_no_pair_that_reaches_it(spark, blocks):
+    rng = np.random.default_rng(9)
+    m = rng.integers(0, 4, (40, 25)) * (rng.random((40, 25)) < 0.3).astype(float)
+    m[:, 3] = m[:, 4]
+    rows = [(f"e{j}", i, float(m[i, j])) for i in range(40) for j in range(25) if m[i, j]]
+    df = spark.createDataFrame(rows, "e string, i int, v double")
+    dot = lambda x: np.nan_to_num(x).T @ np.nan_to_num(x)
+    want = m.T @ m
+    for least in (5.0, 20.0, float(want[3, 4])):
+        got = pair_sums(df, "e", F.col("i"), F.floor(F.col("i") / 3), F.col("v"), {"d": dot}, blocks, cutoff=("d", least))
+        got = {(r.a, r.b): r.d for r in got.collect()}
+        pairs = {tuple(sorted((f"e{a}", f"e{b}"))): want[a, b] for a in range(25) for b in range(a)}
+        assert got == {p: d for p, d in pairs.items() if d >= least}
+
+
+def test_cutoff_refuses_negative_values(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("b", 1, -1.0)], "e string, i int, v double")
+    with pytest.raises(Exception, match="non-negative"):
+        pair_sums(df, "e", F.col("i"), F.col("i"), F.col("v"), {"d": lambda m: m.T @ m}, 1, cutoff=("d", 0.5)).collect()
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     df = spark.range(100).select("id", hash_int(F.lit(7), F.col("id")).alias("h"))
     again = spark.range(100).repartition(13).select("id", hash_int(F.lit(7), F.col("id")).alias("h"))
