@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import calls as sc
+from ..sources import sequence as sq
 from ..sources import sinks
 from ..sources import tables as st
 from .core import query
@@ -14,6 +15,13 @@ def tsv(*cols):
     return F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c for c in cols]).alias("value")
 
 
+def text_files(t, rows):
+    """The lines as text files in the shared folder."""
+    path = sinks.shared_folder(t.spark)
+    rows.select("value").write.text(path)
+    return path
+
+
 ROLES = {
     "F": "F_female", "M": "M_male", **{f"S{i}": f"S{i}_offspring" for i in range(1, 6)},
 }
@@ -48,19 +56,21 @@ def _(t):
 
 @query("src03_read_fai", "SELECT chrom, length, length * 2 AS offset, 60 AS linebases, 61 AS linewidth FROM chrom_len")
 def _(t):
-    return st.parse_fai(t.chrom_len.select(tsv("chrom", "length", F.col("length") * 2, F.lit(60), F.lit(61))))
+    rows = t.chrom_len.select(tsv("chrom", "length", F.col("length") * 2, F.lit(60), F.lit(61)))
+    return st.read_fai(t.spark, text_files(t, rows))
 
 
 @query("src04_read_bed", "SELECT chrom, start, stop FROM ivals WHERE stop > start AND depth > 0")
 def _(t):
     end = F.when(F.col("depth") > 0, F.col("stop")).otherwise(F.col("start"))
-    return st.parse_bed(t.ivals.select(tsv("chrom", "start", end))).withColumnRenamed("end", "stop")
+    rows = t.ivals.select(tsv("chrom", "start", end))
+    return st.read_bed(t.spark, text_files(t, rows)).withColumnRenamed("end", "stop")
 
 
 @query("src04_read_bedgraph", "SELECT chrom, start, stop, depth FROM ivals WHERE stop > start")
 def _(t):
     rows = t.ivals.select(tsv("chrom", "start", "stop", F.concat(F.col("depth").cast("string"), F.lit(".0"))))
-    return st.parse_bedgraph(rows).withColumnRenamed("end", "stop")
+    return st.read_bedgraph(t.spark, text_files(t, rows)).withColumnRenamed("end", "stop")
 
 
 @query(
@@ -78,19 +88,22 @@ def _(t):
     )
     parts = t.cds.select(line("CDS", "start", "stop", F.concat(F.lit("Parent="), "mrna")))
     comment = genes.groupBy().agg(F.lit("##gff-version 3").alias("value"))
-    features = st.parse_gff(genes.unionByName(mrnas).unionByName(parts).unionByName(comment))
+    rows = genes.unionByName(mrnas).unionByName(parts).unionByName(comment)
+    features = st.read_gff(t.spark, text_files(t, rows))
     return st.coding_parts(features).drop("file_order")
 
 
 @query("src06_read_depth", "SELECT chrom, pos, depth FROM depth WHERE depth > 0")
 def _(t):
-    return st.parse_depth(t.depth.select(tsv("chrom", "pos", "depth")))
+    return st.read_depth(t.spark, text_files(t, t.depth.select(tsv("chrom", "pos", "depth"))))
 
 
 @query("src07_read_dnm", "SELECT chrom, pos, ref, alt, child, father, mother, phased FROM dnm")
 def _(t):
     wanted = [*st.DNM_COLUMNS, "phased"]
-    return st.require_columns(t.dnm, wanted, "mutations").select(*wanted)
+    path = sinks.shared_folder(t.spark)
+    sinks.write_table(t.dnm, path)
+    return st.read_dnm(t.spark, f"{path}/table", wanted).select(*wanted)
 
 
 @query(
@@ -99,7 +112,7 @@ def _(t):
 )
 def _(t):
     tag = F.when(F.col("chrom") == "c_4", F.lit("broken")).otherwise(F.col("ind_chrom"))
-    return st.parse_callable_summary(t.callable_bp.select(tsv("chrom", "bp", tag)))
+    return st.read_callable_summary(t.spark, text_files(t, t.callable_bp.select(tsv("chrom", "bp", tag))))
 
 
 @query(
@@ -149,15 +162,52 @@ def _(t):
 
 @query(
     "snk02_table_metrics",
-    """SELECT count(*) AS n_rows, count(*) FILTER (WHERE phased = 'F') AS n_false, count(DISTINCT child) AS n_children FROM dnm""",
+    """SELECT count(*) AS n_rows, count(*) FILTER (WHERE phased = 'F') AS n_false, min(pos) AS first_pos, max(pos) AS last_pos,
+              count(DISTINCT child) AS n_children FROM dnm""",
 )
 def _(t):
-    _, metrics = sinks.with_metrics(
-        t.dnm,
-        {
-            "n_rows": F.count("*"),
-            "n_false": F.count_if(F.col("phased") == "F"),
-            "n_children": F.count_distinct("child"),
-        },
+    """The table is written once with its metrics observed; both are read back."""
+    path = sinks.shared_folder(t.spark)
+    observed = {
+        "n_rows": F.count("*"),
+        "n_false": F.count_if(F.col("phased") == "F"),
+        "first_pos": F.min("pos"),
+        "last_pos": F.max("pos"),
+    }
+    sinks.write_table(t.dnm, path, observed, tsv=False)
+    children = t.spark.read.parquet(f"{path}/table").agg(F.count_distinct("child").alias("n_children"))
+    return t.spark.read.parquet(f"{path}/metrics").join(F.broadcast(children))  # one row each
+
+
+@query(
+    "src02_sequence_files",
+    """SELECT chrom, tile // 1024 AS tile, tile // 1024 * 32768 AS tile_start,
+              CAST(sum(32) AS INT) AS n, md5(string_agg(substr(seq, 2, 32), '' ORDER BY tile)) AS digest
+       FROM genome GROUP BY chrom, tile // 1024""",
+)
+def _(t):
+    """Tiles written by their own writer at byte offsets and read back by byte range."""
+    path = sinks.shared_folder(t.spark)
+    sq.write_sequence_tiles(t.genome_tiles, path)
+    own = F.expr("substr(seq, 2, length(seq) - 2)")
+    return sq.read_sequence_parts(t.spark, path).select(
+        "chrom", "tile", "tile_start", F.length(own).alias("n"), F.md5(own).alias("digest")
     )
-    return metrics
+
+
+@query(
+    "src02_flanks",
+    """SELECT chrom, max(tile) // 1024 + 1 AS n_tiles, 2 AS n_ends FROM genome GROUP BY chrom""",
+)
+def _(t):
+    """Every tile's flanking bases are its neighbours' outer bases, N at both ends of a chromosome."""
+    path = sinks.shared_folder(t.spark)
+    sq.write_sequence_tiles(t.genome_tiles, path)
+    back = sq.read_sequence_parts(t.spark, path, tiles_per_task=2)
+    edge = lambda i: F.substring("seq", i, 1)
+    left = back.select("chrom", F.col("tile"), edge(1).alias("before"), edge(-1).alias("behind"), edge(2).alias("first"), edge(-2).alias("last"))
+    right = left.select("chrom", (F.col("tile") - 1).alias("tile"), F.col("before").alias("x"), F.col("first").alias("y"))
+    met = left.join(right, ["chrom", "tile"], "left")
+    good = F.when(F.col("x").isNull(), F.col("behind") == "N").otherwise((F.col("x") == F.col("last")) & (F.col("y") == F.col("behind")))
+    ends = F.count_if(F.col("x").isNull() & (F.col("behind") == "N")) + F.count_if((F.col("tile") == 0) & (F.col("before") == "N"))
+    return met.groupBy("chrom").agg(F.count_if(good).alias("n_tiles"), ends.cast("int").alias("n_ends"))

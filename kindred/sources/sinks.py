@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.cut import shared_base
@@ -33,13 +33,35 @@ def with_metrics(df: DataFrame, metrics: dict[str, Column]) -> tuple[DataFrame,
     return df, df.agg(*[c.alias(k) for k, c in metrics.items()])
 
 
-def write_table(df: DataFrame, path: str, metrics: DataFrame | None = None, tsv: bool = True) -> None:
-    """Write a table (header TSV or Parquet) and its metrics next to it."""
-    for part, folder in ((df, f"{path}/table"), (metrics, f"{path}/metrics")):
-        if part is None:
-            continue
+def write_table(
+    df: DataFrame, path: str, metrics: DataFrame | dict[str, Column] | None = None, tsv: bool = True
+) -> dict | None:
+    """Write a table (header TSV or Parquet) and its run metrics next to it.
+
+    Metrics given as aggregate columns are observed while the table is written, in the same pass
+    over the data, and returned; distinct counts cannot be observed and go in as a DataFrame.
+    """
+    spark = df.sparkSession
+
+    def write(part: DataFrame, folder: str) -> None:
         writer = part.write.mode("errorifexists")
         if tsv:
             writer.option("sep", "\t").option("header", True).option("nullValue", "NA").csv(folder)
         else:
             writer.parquet(folder)
+
+    if isinstance(metrics, dict):
+        seen = Observation()
+        write(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), f"{path}/table")
+        found = seen.get
+        # One row; empty tables still have their counts.
+        write(spark.createDataFrame([tuple(found[k] for k in metrics)], _kinds(df, metrics)), f"{path}/metrics")
+        return found
+    write(df, f"{path}/table")
+    if metrics is not None:
+        write(metrics, f"{path}/metrics")
+    return None
+
+
+def _kinds(df: DataFrame, metrics: dict[str, Column]):
+    return df.agg(*[c.alias(k) for k, c in metrics.items()]).schema

@@ -48,6 +48,52 @@ def test_sequence_tiles(spark, tmp_path, tile_bp, per_task):
     assert [r.length for r in tables.read_fai(spark, str(tmp_path / "g.fa.fai")).orderBy("chrom").collect()] == [83, 5, 20]
 
 
+@pytest.mark.parametrize("tile_bp, per_task", [(7, 1), (10, 3), (64, 256)])
+def test_tiles_written_and_read_back(spark, tmp_path, tile_bp, per_task):
+    rnd = random.Random(tile_bp)
+    rows = []
+    for name, n in (("c1", 83), ("c2", 5), ("gap", 90)):
+        s = "N" + "".join(rnd.choice("ACGTN") for _ in range(n)) + "N"
+        for t in range(-(-n // tile_bp)):
+            if name != "gap" or t != 1:
+                a, b = t * tile_bp, min((t + 1) * tile_bp, n)
+                rows.append((name, t, a, s[a : b + 2]))
+    df = spark.createDataFrame(rows, "chrom string, tile bigint, tile_start bigint, seq string").repartition(4)
+    folder = str(tmp_path / "tiles")
+    sequence.write_sequence_tiles(df, folder, tile_bp)
+    got = {(r.chrom, r.tile): (r.tile_start, r.seq) for r in sequence.read_sequence_parts(spark, folder, per_task).collect()}
+    kept = {(c, t) for c, t, _, _ in rows}
+    for c, t, a, seq in rows:
+        # Beside a missing tile there is no base to show.
+        before = seq[0] if (c, t - 1) in kept else "N"
+        behind = seq[-1] if (c, t + 1) in kept else "N"
+        assert got[(c, t)] == (a, before + seq[1:-1] + behind)
+    assert set(got) == kept
+
+
+def test_tiles_off_the_grid_are_refused(spark, tmp_path):
+    df = spark.createDataFrame([("c", 0, 3, "NACGTN")], "chrom string, tile bigint, tile_start bigint, seq string")
+    with pytest.raises(Exception, match="does not lie on a grid"):
+        sequence.write_sequence_tiles(df, str(tmp_path / "x"), 8)
+
+
+def test_metrics_are_observed_in_the_same_pass(spark, tmp_path):
+    looked = spark.sparkContext.accumulator(0)
+    df = spark.range(100).select("id", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id")).alias("v"))
+
+    def look(batches):
+        for batch in batches:
+            looked.add(len(batch))
+            yield batch
+
+    once = df.mapInPandas(look, "id bigint, v double")
+    found = sinks.write_table(once, str(tmp_path / "t"), {"n": F.count("*"), "n_v": F.count("v"), "most": F.max("v")}, tsv=False)
+    assert found == {"n": 100, "n_v": 85, "most": 99.0} and looked.value == 100
+    assert spark.read.parquet(str(tmp_path / "t/metrics")).first().asDict() == found
+    empty = sinks.write_table(df.limit(0), str(tmp_path / "e"), {"n": F.count("*"), "most": F.max("v")})
+    assert empty == {"n": 0, "most": None}
+
+
 def test_truncated_sequence_raises(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">c\nACGT\n")
     (tmp_path / "g.fa.fai").write_text("c\t40\t3\t10\t11\n")
