@@ -166,6 +166,19 @@ def test_alignment_by_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == aligned_rows(rows)
 
 
+def test_both_ways_to_encode_agree(tmp_path):
+    import json
+
+    with open(TOKENS_A, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["ignore_merges"] = True  # not plain any more, and without effect here
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    signs = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    texts = [f" a{c}b {c}1 {c}{c} .{c}" for c in signs] + [" " + (t or "") for _, t in ODD]
+    assert alignment.encoder_a(TOKENS_A)(texts) == alignment.encoder_a(str(other))(texts)
+
+
 def test_alignment_without_rows_or_tokens(spark):
     assert alignment.alignment_report(spark, spark.createDataFrame([], SCHEMA), TOKENS_A, TOKENS_B).collect() == []
     rows = [(1, None), (2, ""), (3, "▁")]
