@@ -38,8 +38,9 @@ class WaveletTree:
         for level in range(self.levels):
             word = at >> 6
             below = (_ONE << (at & 63).astype(np.uint64)) - _ONE
-            ones = self.ones[level][word] + np.bitwise_count(self.bits[level][word] & below)
-            at = np.where((symbol >> (self.levels - 1 - level)) & 1 == 1, self.zeros[level] + ones, at - ones)
+            ones = self.ones[level].take(word) + np.bitwise_count(self.bits[level].take(word) & below)
+            one = (symbol >> (self.levels - 1 - level)) & 1
+            at = np.where(one, ones + self.zeros[level], at - ones)
         return at
 
 
@@ -53,16 +54,25 @@ class FMIndex:
         left = stops[np.searchsorted(stops, place)] - place
         longest = int(left.max(initial=0))
         # Doubling: rank by 1, 2, 4, ... symbols; nothing counts beyond the 0 that ends a sequence.
-        rank, ranks, step = symbols.astype(np.int64), [symbols.astype(np.int32)], 1
+        # Up to the first sort, pairs of ranks are the ranks: equal if and only if the symbols are.
+        rank, ranks, step, top = symbols.astype(np.int64), [symbols.astype(np.int32)], 1, sigma
         while step <= longest:
             ahead = rank[np.minimum(place + step, n - 1)] + 1
-            key = rank * (n + sigma + 2) + np.where(left >= step, ahead, 0)
-            order = np.argsort(key, kind="stable")
+            key = rank * (top + 1) + np.where(left >= step, ahead, 0)
+            step *= 2
+            if step <= longest and (top + 1) ** 4 < 1 << 62:
+                rank, top = key, (top + 1) * (top + 1)
+                ranks.append(key)
+                continue
+            order = np.argsort(key)
             fresh = np.empty(n, np.int64)
             fresh[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
-            rank, step = fresh, step * 2
+            rank, top = fresh, n
             ranks.append(rank.astype(np.int32))
-        suffixes = np.argsort(rank, kind="stable")
+        if top * n < 1 << 62:
+            suffixes = np.argsort(rank * n + place)
+        else:
+            suffixes = np.argsort(rank, kind="stable")
         self.tree = WaveletTree(symbols[suffixes - 1], sigma)
         counts = np.bincount(symbols, minlength=sigma)
         before = np.cumsum(counts) - counts
@@ -123,8 +133,12 @@ class FMIndex:
         hi = np.full(len(starts), self.n, np.int64)
         run = np.zeros(len(starts), np.int64)
         for back in range(1, int(lengths.max(initial=0)) + 1):
-            lanes = np.flatnonzero(lengths >= back)
+            live = lanes = np.flatnonzero(lengths >= back)
             at = starts + lengths - back
+            # A 0 in a pattern stands in no run: the search starts anew before it.
+            ended = patterns[at[lanes]] == 0
+            lo[lanes[ended]], hi[lanes[ended]], run[lanes[ended]] = 0, self.n, 0
+            lanes = lanes[~ended]
             while len(lanes):
                 a, b = self.extend(patterns[at[lanes]], lo[lanes], hi[lanes])
                 fits = b - a >= least
@@ -134,6 +148,5 @@ class FMIndex:
                 lanes = lanes[~fits]
                 lanes = lanes[run[lanes] > 0]
                 lo[lanes], hi[lanes], run[lanes] = self.parent(lo[lanes], hi[lanes])
-            live = np.flatnonzero(lengths >= back)
             out[at[live]] = run[live]
         return out

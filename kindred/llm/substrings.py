@@ -11,10 +11,10 @@ hash, and so all equal windows meet in one shard.  An anchor that stands more th
 sends its windows one by one to the shard of the window's own digest: a passage in a third of all
 documents is spread out, and its equal windows are merged before they are sent.
 
-A shard has a compressed FM-index (``fm_index``) over its distinct pieces, a piece that came
-several times standing twice in it.  The pieces are streamed through it: backward search over the
-wavelet tree gives their matching statistics, the longest run from each word that stands at least
-twice, and places where it reaches ``words`` are reported as windows.  Only digests and window
+A shard has a compressed FM-index (``fm_index``) over its distinct pieces.  Those that came once
+are streamed through it, without words that can be in no repeated window: backward search over the wavelet tree gives their matching statistics, the
+longest run from each word that stands at least twice in the shard, and places where it reaches
+``words`` are reported as windows; of a piece that came several times, all windows are.  Only digests and window
 masks return to the documents.  Hashes choose shards and anchors; equality is decided by the index
 on the words themselves, and digests that carry results back have 128 bits.
 
@@ -45,6 +45,8 @@ WORDS, GRAM = 35, 8
 SHARD_PIECES = 8000
 #: Anchors with more pieces send their windows one by one.
 HOT = 2000
+#: Longest run of words that is counted before a shard's index is built.
+RUN = 8
 #: Distinct pieces that a task merges before it sends them.
 MERGED = 100_000
 
@@ -222,28 +224,52 @@ def _places(words: int):
 
 
 def repeated_windows(pieces: list[bytes], twice: np.ndarray, words: int) -> np.ndarray:
-    """For distinct pieces, a mask of their windows that stand twice among them (bit i: window i)."""
+    """For distinct pieces, a mask of their windows that stand twice among them (bit i: window i).
+
+    ``twice`` marks pieces that came several times: all their windows do.  A run of 2, 4 or 8 words
+    that stands once in the shard lies in no repeated window, and a word that is only in such runs
+    is in none.  The index is built over the stretches of other words, where they hold a window,
+    and those of pieces that came once are searched in it.
+    """
     flat = pc.split_pattern(pa.array(pieces, pa.binary()).cast(pa.string()), " ")
     size = np.diff(flat.offsets.to_numpy())
     coded = flat.flatten().dictionary_encode()
-    numbers, sigma = coded.indices.to_numpy().astype(np.int64) + 1, len(coded.dictionary) + 1
-
-    def ended(which: np.ndarray) -> np.ndarray:
-        n = size[which]
-        out = np.zeros(int(n.sum()) + len(n), np.int64)
-        begin = np.cumsum(size) - size
-        out[spread(np.cumsum(n + 1) - n - 1, n)] = numbers[spread(begin[which], n)]
-        return out
-
-    every = np.arange(len(pieces))
-    symbols = ended(np.r_[every, np.flatnonzero(twice)])
-    begin = np.cumsum(size + 1) - size - 1
-    reach = FMIndex(symbols, sigma).matching_statistics(symbols[: int((size + 1).sum())], begin, size)
+    numbers, n = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
     windows = size - words + 1
-    at = spread(begin, windows)
-    bit = at - np.repeat(begin, windows)
-    found = np.where(reach[at] >= words, np.int64(1) << bit, 0)
-    return np.bitwise_or.reduceat(found, np.cumsum(windows) - windows)
+    mask = np.where(twice, (np.int64(1) << windows) - 1, 0)
+    owner = np.repeat(np.arange(len(pieces)), size)
+    begin, place = np.cumsum(size) - size, np.arange(len(numbers))
+    to_end = (begin + size)[owner] - place
+    weight = (1 + twice)[owner]
+    gram, length = numbers, 1
+    common = np.bincount(gram, weight, n) >= 2
+    good = common[gram]
+    while length < RUN and 2 * length <= words:
+        ahead = np.r_[gram[length:], np.zeros(length, np.int64)]
+        kinds, gram = np.unique(gram * n + ahead, return_inverse=True)
+        n, length = len(kinds), 2 * length
+        # Runs across the end of a piece count for nothing.
+        common = np.bincount(gram, weight * (to_end >= length), n) >= 2
+    upto = np.r_[0, np.cumsum(common[gram] & (to_end >= length))]
+    good &= upto[place + 1] > upto[np.maximum(place - length + 1, 0)]
+    # Stretches of words left, inside one piece, that hold a window.
+    starts = np.flatnonzero(good & (np.r_[True, ~good[:-1]] | (place == begin[owner])))
+    ends = np.flatnonzero(good & (np.r_[~good[1:], True] | (to_end == 1))) + 1
+    long = ends - starts >= words
+    starts, span = starts[long], (ends - starts)[long]
+    once = ~twice[owner[starts]]
+    if not once.any():
+        return mask
+    at = np.cumsum(span + 1) - span - 1
+    symbols = np.zeros(int((span + 1).sum()), np.int64)
+    kinds, coded = np.unique(numbers[spread(starts, span)], return_inverse=True)
+    symbols[spread(at, span)] = coded + 1
+    reach = FMIndex(symbols, len(kinds) + 1).matching_statistics(symbols, at[once], span[once])
+    inside = span[once] - words + 1
+    found = reach[spread(at[once], inside)] >= words
+    first = spread(starts[once], inside)[found]
+    np.bitwise_or.at(mask, owner[first], np.int64(1) << (first - begin[owner[first]]))
+    return mask
 
 
 def _searched(words: int):
