@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, blocks, released, small_batches, spread, text_bytes
+from .common import blocks, released, small_batches, spread, text_bytes
 
 #: Bytes of text whose distinct pieces are merged together.
 REPLAY_BYTES = 1024 * 1024
@@ -203,9 +203,9 @@ def replay(word_bytes: np.ndarray, lengths: np.ndarray, t: dict) -> tuple[np.nda
     return token[alive], np.bincount(word[alive], minlength=len(lengths))
 
 
-def encode_block(data: np.ndarray, offsets: np.ndarray, t: dict, hashes: RangeHash) -> tuple[np.ndarray, np.ndarray]:
+def encode_block(data: np.ndarray, offsets: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
     """Ids of some texts, one after the other, and how many each text has."""
-    keys, counts, starts_all, lengths_all = [], [], [], []
+    counts, starts_all, lengths_all = [], [], []
     for lo, hi in blocks(offsets):
         part = data[offsets[lo] : offsets[hi]]
         if not len(part):
@@ -218,15 +218,17 @@ def encode_block(data: np.ndarray, offsets: np.ndarray, t: dict, hashes: RangeHa
         first[np.searchsorted(lead, own[:-1][own[1:] > own[:-1]])] = True
         at = lead[piece_starts(codes, first, t["kinds"])]
         end = np.r_[at[1:], len(part)]
-        keys.append(hashes(part, at, end))
         starts_all.append(at + offsets[lo])
         lengths_all.append(end - at)
         counts.append(np.diff(np.searchsorted(at, own)))
     pieces = np.concatenate(counts) if counts else np.empty(0, np.int64)
-    if not keys:
+    if not starts_all:
         return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
     at, length = np.concatenate(starts_all), np.concatenate(lengths_all)
-    which, _ = pd.factorize(np.concatenate(keys))
+    # Pieces follow each other without gaps; equal ones are found by their bytes.
+    ends = np.r_[at, at[-1] + length[-1]].astype(np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    which = spans.dictionary_encode().indices.to_numpy()
     sample = np.zeros(which.max() + 1, np.int64)
     sample[which[::-1]] = np.arange(len(which))[::-1]
     words = data[spread(at[sample], length[sample])]
@@ -265,11 +267,11 @@ def encoder(t):
     """Iterator over string batches giving binary ids; ``t`` is a broadcast of ``tables``."""
 
     def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes, held, size = RangeHash(), [], 0
+        held, size = [], 0
 
         def flush() -> Iterator[pa.Array]:
             data, offsets = text_bytes(pa.concat_arrays(held))
-            ids, counts = encode_block(data, offsets, t.value, hashes)
+            ids, counts = encode_block(data, offsets, t.value)
             yield from in_turn([len(x) for x in held], packed(ids.astype("<u4"), counts))
 
         for batch in batches:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
+
+
+#: Parts into which the neighbours of a node are dealt.
+SALTS = 8
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Link neighbours (greater ones; of a small star lesser ones too) to the least of a node's neighbours.
 
     Only the least neighbour is aggregated per node, so a node with any number of neighbours is
-    one row after partial aggregation, and the join on it may be split by adaptive execution.
+    one row after partial aggregation; the join on it is salted, so its neighbours are dealt out.
     """
     both = edges.select("a", "b")
     if not small:
@@ -20,7 +24,9 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     else:
         both = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(least, "a")
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("s")
+    copies = least.select("a", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("s"))
+    joined = both.select("a", "b", salt).join(copies, ["a", "s"]).drop("s")
     if small:
         linked = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     else:
@@ -41,7 +47,8 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
-        now = stored(_star(_star(now, small=False), small=True))
+        before, now = now, stored(_star(_star(now, small=False), small=True))
+        drop_stored(before)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return nodes.union(roots)

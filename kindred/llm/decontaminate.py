@@ -27,7 +27,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed_rows, stored, unpacked_rows
 
 K, LEAST = 5, 0.8
 RADIUS = 19
@@ -227,9 +227,8 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFra
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents that contain no benchmark item, with their columns."""
-    found = contaminated_texts(docs, benchmark, least).select(*KEY).distinct()
-    own = docs.columns
-    marks = [c.alias(f"__{k}") for c, k in zip([F.xxhash64("text"), F.xxhash64(F.lit("key"), "text")], KEY, strict=True)]
-    keyed = docs.select("*", *marks)
-    on = (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))
-    return keyed.join(found, on, "left_anti").select(*own)
+    found = contaminated_texts(docs.select("text"), benchmark, least).select(*KEY).distinct()
+    marks = [c.alias(f"own_{k}") for c, k in zip([F.xxhash64("text"), F.xxhash64(F.lit("key"), "text")], KEY, strict=True)]
+    keyed = packed_rows(docs, "text").select("__row", *marks)
+    on = (F.col("own_k1") == F.col("k1")) & (F.col("own_k2") == F.col("k2"))
+    return unpacked_rows(keyed.join(found, on, "left_anti"))

@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import RangeHash, blocks, give_back, mixed, released, small_batches, stored, text_bytes
+from .common import PrimeHash, blocks, drop_stored, give_back, id_filter, mixed, packed_rows, released, small_batches, stored
+from .common import text_bytes, unpacked_rows
 from .components import components
 
 #: Sets, and about as many tokens, of one chunk of a cluster; a block compares two chunks.
@@ -52,7 +53,7 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 _BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, hashes: RangeHash) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, hashes: PrimeHash) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of texts, sorted in each, one text after the other; and their numbers."""
     n = len(offsets) - 1
     low = _LOWER[data]
@@ -113,7 +114,12 @@ def layout(hi: int, percent: int) -> dict:
 
 
 def schemes(percent: int) -> tuple[np.ndarray, list[dict]]:
-    """First size of each band, and the scheme of each band."""
+    """First size of each band, and the scheme of each band.
+
+    A signature has eight bits for the scheme: from 95 % on there are more bands than that.
+    """
+    if not 50 <= percent <= 94:
+        raise ValueError("a similarity of 50 to 94 percent")
     edges = [1]
     while edges[-1] < LARGEST:
         edges.append(edges[-1] * 100 // percent + 1)
@@ -182,7 +188,7 @@ def set_sizes(docs: DataFrame, k: int, text: str = "text", out: str = "__set") -
         yield from released(sized(batches))
 
     def sized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = RangeHash(1)
+        hashes = PrimeHash(1)
         for batch in batches:
             data, at = text_bytes(batch)
             ids, sizes = [], []
@@ -214,7 +220,7 @@ def signature_lists(docs: DataFrame, k: int, percent: int, text: str = "text") -
         yield from released(dealt_out(batches))
 
     def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = RangeHash(1), np.empty(0, np.int64)
+        hashes, seen = PrimeHash(1), np.empty(0, np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
@@ -306,7 +312,9 @@ def clusters(lists: DataFrame, percent: int) -> DataFrame:
     pivots = chosen.groupBy("sig").agg(F.min("key").alias("b"))
     own = F.col("key").bitwiseAND(F.lit(~1).cast("bigint"))
     edges = lists.join(pivots, "sig").select(own.alias("a"), "b").filter("a <> b").distinct()
-    return components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    found = components(edges)
+    drop_stored(lists)  # the components are stored
+    return found.select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
 
 
 def forest(sets: list[np.ndarray], chunk: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -368,13 +376,16 @@ def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent:
     wanted = reps.join(sizes, "cluster").select(
         F.col("r.no_id").alias("no_id"), F.col("r.id").alias("id"), F.col("set_id").alias("want"), "cluster", "chunks"
     )
-    texts = docs.select(*id_columns("doc_id"), F.col(text).alias("t")).join(wanted, ["no_id", "id"])
+    # Most documents are not wanted: they go before the texts are dealt out.
+    here = id_filter(reps.select(F.xxhash64("r.no_id", "r.id").alias("h")), "h")
+    named = docs.select(*id_columns("doc_id"), F.col(text).alias("t")).filter(here(F.xxhash64("no_id", "id")))
+    texts = named.join(wanted, ["no_id", "id"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from released(picked(batches))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = RangeHash(1), set()
+        hashes, seen = PrimeHash(1), set()
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             want = batch.column(1).to_numpy()
@@ -470,16 +481,26 @@ def join_report(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component: the one with its least id; documents without words all stay."""
+    """One document of each component: the one with its least id; documents without words all stay.
+
+    Only documents that share their id or their component with others are dealt out; the rest pass
+    where they are read.
+    """
     rows, found = classes(docs, k, percent)
     first = found.select(F.col("first_set").alias("s"), "no_id", "id").distinct()
-    own = docs.columns
-    keyed = set_sizes(docs, k).select(
-        "*",
-        *[c.alias(f"__{n}") for n, c in zip(("no_id", "id"), id_columns("doc_id"), strict=True)],
+    rows_of = rows.filter("n > 0").groupBy("no_id", "id", "set_id").agg(F.count("*").alias("copies"))
+    mine = (rows_of["set_id"] == first["s"]) & (rows_of["no_id"] == first["no_id"]) & (rows_of["id"] == first["id"])
+    alone = rows_of.join(first, mine, "left").filter(first["s"].isNull() | (rows_of["copies"] > 1))
+    doubtful = id_filter(alone.select(F.xxhash64(rows_of["no_id"], rows_of["id"]).alias("h")), "h")
+    named = packed_rows(docs, "doc_id", "text").select(
+        "__row", "text", *id_columns("doc_id")
+    ).withColumn("__doubt", doubtful(F.xxhash64("no_id", "id")))
+    keyed = set_sizes(named.filter("__doubt"), k).select(
+        "__row", F.col("no_id").alias("own_no_id"), F.col("id").alias("own_id"), "__set"
     )
-    on = (F.col("__set.set_id") == F.col("s")) & (F.col("__no_id") == F.col("no_id")) & (F.col("__id") == F.col("id"))
+    on = (F.col("__set.set_id") == F.col("s")) & (F.col("own_no_id") == F.col("no_id")) & (F.col("own_id") == F.col("id"))
     matched = keyed.filter("__set.n > 0").join(first, on)
     copies = W.partitionBy("s", "no_id", "id").orderBy("s")
-    kept = matched.withColumn("__row", F.row_number().over(copies)).filter("__row = 1")
-    return kept.select(*own).unionByName(keyed.filter("__set.n = 0").select(*own))
+    kept = matched.withColumn("nth", F.row_number().over(copies)).filter("nth = 1")
+    parts = named.filter("NOT __doubt"), kept, keyed.filter("__set.n = 0")
+    return unpacked_rows(parts[0].select("__row").unionByName(parts[1].select("__row")).unionByName(parts[2].select("__row")))

@@ -163,7 +163,7 @@ def train(docs: DataFrame, text: str, declared: Column) -> dict | None:
 
 
 def _plain(docs: DataFrame) -> list[str]:
-    return [c for c, t in docs.dtypes if not t.startswith("map")]
+    return [c for c, t in docs.dtypes if "map<" not in t]
 
 
 def text_evidence(docs: DataFrame, model: dict, text: str = "text", out: str = "__text_ll") -> DataFrame:
@@ -351,4 +351,8 @@ def corpus_report(docs: DataFrame, pages: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with their columns."""
-    return of_documents(docs).filter("language_ok").select(*docs.columns)
+    used = ["text", "lang", "source"] + (["doc_id"] if "doc_id" in docs.columns else [])
+    others = [c for c in docs.columns if c not in used]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    kept = of_documents(docs.select(*used, rest.alias("__rest"))).filter("language_ok")
+    return kept.select(*[F.col(c) if c in used else F.col("__rest").getField(c).alias(c) for c in docs.columns])

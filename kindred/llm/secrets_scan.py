@@ -260,7 +260,10 @@ def count_of(spans: str, kind: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", rate: float = RATE, mark: str = "[secret]") -> DataFrame:
     """The documents with every span's text replaced by ``mark``; touching or overlapping spans become one."""
-    found = find_secrets(docs, text, rate=rate)
+    others = [c for c in docs.columns if c != text]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    found = find_secrets(docs.select(rest.alias("__rest"), F.col(f"`{text}`").alias("__text")), "__text", rate=rate)
+    own = F.col("__text")
     joined = F.aggregate(
         "spans",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
@@ -283,16 +286,17 @@ def redact(docs: DataFrame, text: str = "text", rate: float = RATE, mark: str =
         "__joined",
         lambda s, i: F.concat(
             F.substring(
-                F.col(text),
+                own,
                 (F.when(i > 0, F.get("__joined", i - 1)["end"]).otherwise(0) + 1).cast("int"),
                 (s["start"] - F.when(i > 0, F.get("__joined", i - 1)["end"]).otherwise(0)).cast("int"),
             ),
             F.lit(mark),
         ),
     )
-    rest = F.substring(F.col(text), (last + 1).cast("int"), F.char_length(text))
-    clean = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))
-    return merged.withColumn(text, clean).select(*docs.columns)
+    rest = F.substring(own, (last + 1).cast("int"), F.char_length(own))
+    clean = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), rest)).otherwise(own)
+    back = [clean.alias(c) if c == text else F.col("__rest").getField(c).alias(c) for c in docs.columns]
+    return merged.select(*back)
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed_rows, stored
 
 # The rules of the registered query.
 RULES = (
@@ -32,6 +32,8 @@ RULES = (
     ("block", "net/fr/"),
 )
 TRAIN_ROWS = 20_000
+#: Steps of the hash by which training rows are chosen.
+SAMPLE_STEPS = 1 << 52
 TREES, LEVELS, SEED = 12, 4, 11
 PRIOR_WEIGHT = 20.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,12 +117,12 @@ def block_rates(labelled: DataFrame, key: str, mean: float) -> DataFrame:
 def judge(urls: DataFrame, rules=RULES) -> DataFrame:
     """Add host, path, rule, verdict and the trees' blocking probability to rows with a ``url``."""
     host, path = host_and_path(F.col("url"))
-    own = [c for c in urls.columns if c not in ("host", "path", "rule", "ruled")]
-    features = lexical(ruled(urls.select(*own).withColumn("host", host).withColumn("path", path), rules))
-    seen = stored(features)
+    own = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "p_block")]
+    rows = packed_rows(urls.select(*own), "url")
+    seen = stored(lexical(ruled(rows.withColumn("host", host).withColumn("path", path), rules)))
     labelled = seen.filter("ruled IS NOT NULL").withColumn("label", (F.col("ruled") == "block").cast("double"))
     n, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    out = [*own, "host", "path", "rule"]
+    out = ["__row.*", "host", "path", "rule"]
     if not 0 < blocked < n:
         return seen.select(*out, F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("p_block"))
     mean = blocked / n
@@ -130,12 +132,19 @@ def judge(urls: DataFrame, rules=RULES) -> DataFrame:
         rates = stored(block_rates(labelled, key, mean))
         rated = rated.join(rates, key, "left").fillna(mean, [f"{key}_rate"])
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__v").transform(rated)
-    share = min(1.0, TRAIN_ROWS / n)
+    # Each label has its own share, so a rare one is not lost; at least one step of 2^52 is taken.
+    counts = {1.0: blocked, 0.0: n - blocked}
+    share = {label: min(1.0, 0.45 * TRAIN_ROWS / m) for label, m in counts.items()}
+    label = (F.col("ruled") == "block").cast("double")
+
+    def by_label(value) -> Column:
+        return F.when(label == 1, F.lit(value(1.0))).otherwise(F.lit(value(0.0)))
+
+    steps = by_label(lambda x: max(1, int(share[x] * SAMPLE_STEPS)))
     sample = (
         vectors.filter("ruled IS NOT NULL")
-        .filter(F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20)))
-        .select("__v", (F.col("ruled") == "block").cast("double").alias("__label"))
-        .withColumn("__weight", F.when(F.col("__label") == 1, 0.5 * n / blocked).otherwise(0.5 * n / (n - blocked)))
+        .filter(F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(SAMPLE_STEPS)) < steps)
+        .select("__v", label.alias("__label"), by_label(lambda x: 0.5 * n / (counts[x] * share[x])).alias("__weight"))
         .orderBy(F.xxhash64("__label", "__v"))
         .limit(TRAIN_ROWS)
     )
