@@ -24,7 +24,11 @@ CI = {"ci_low": 0.025, "median": 0.5, "ci_high": 0.975}
 
 
 def replicate_summary(reps: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, median and 2.5/97.5 percentiles over replicates; NULLs are skipped."""
+    """n, mean, median and 2.5/97.5 percentiles over replicates; NULLs are skipped.
+
+    The replicates (one row per key and replicate) are read in several branches and stored once.
+    """
+    reps = cut_lineage(reps.select(*keys, value))
     base = reps.groupBy(*keys).agg(F.count(value).alias("n_reps"), F.avg(value).alias("mean"))
     return base.join(exact_quantiles(reps, keys, value, CI), keys, "left")
 
@@ -58,6 +62,7 @@ def bootstrap_rate(trios: DataFrame, trio: str, by: list[str], n_rep: int, seed:
     are reduced to multiplicities before they meet the counts.
     """
     strata = list(strata)
+    trios = cut_lineage(trios)  # one row per trio and category, read by the draws and by the counts
     picks = (
         bootstrap_keys(trios, trio, n_rep, seed, strata)
         .groupBy(*strata, "rep", trio)

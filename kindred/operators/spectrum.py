@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as fb
 from ..functions.special import poisson_limits
+from ..plans.cut import cut_lineage
 from ..plans.spine import CLASSES8, SBS96, TRINUC32, dense_counts, with_categories
 
 DNM_KEY = ["chrom", "pos", "ref", "alt", "father", "mother"]
@@ -209,11 +210,13 @@ def rate_master(
     """Per species and pooled group x level x category: n, denominator, rate, limits.
 
     Inputs: (species, category, n_mutations, denom); germline denominators are diploid bases.
+    They have one row per species and category, and are stored once for both ways to sum them.
     """
     cols = ["species", category, "n_mutations", "denom"]
     both = germline.select(*cols, F.lit("germline").alias("level"), F.lit(2).alias("ploidy")).unionByName(
         somatic.select(*cols, F.lit("somatic").alias("level"), F.lit(1).alias("ploidy"))
     )
+    both = cut_lineage(both)
     single = both.withColumn("group_name", F.lit("per_species"))
     pooled = pool_groups(both, members, ["level", "ploidy", category], ["n_mutations", "denom"]).withColumn(
         "species", F.lit("merged")

@@ -32,6 +32,15 @@ ROLES = {
     """SELECT chrom, pos, ref, alt, filter, sample, gt, dp, gq, ref_dp, alt_dp, CAST(dp AS VARCHAR) AS info_dp FROM calls""",
 )
 def _(t):
+    parsed = sc.parse_calls(call_lines(t)).filter("gt IS NOT NULL")
+    return parsed.select(
+        "chrom", "pos", "ref", F.get("alt", F.lit(0)).alias("alt"), "filter", "sample", "gt", "dp", "gq",
+        F.get("ad", F.lit(0)).alias("ref_dp"), F.get("ad", F.lit(1)).alias("alt_dp"), F.col("dp").cast("string").alias("info_dp"),
+    )
+
+
+def call_lines(t):
+    """The calls as lines of genotype matrices, one file per family with a header of its samples."""
     text = F.concat_ws(":", "gt", F.col("dp").cast("string"), F.col("gq").cast("string"), F.concat_ws(",", "ref_dp", "alt_dp"))
     per = t.calls.groupBy("chrom", "pos", "family", "ref", "alt", "filter").agg(
         *[F.coalesce(F.max(F.when(F.col("role") == r, text)), F.lit("./.:.:.:.")).alias(r) for r in ROLES]
@@ -47,10 +56,25 @@ def _(t):
             *[F.concat(F.col("path"), F.lit("_" + name)) for name in ROLES.values()],
         ),
     )
-    parsed = sc.parse_calls(body.unionByName(head)).filter("gt IS NOT NULL")
-    return parsed.select(
-        "chrom", "pos", "ref", F.get("alt", F.lit(0)).alias("alt"), "filter", "sample", "gt", "dp", "gq",
-        F.get("ad", F.lit(0)).alias("ref_dp"), F.get("ad", F.lit(1)).alias("alt_dp"), F.col("dp").cast("string").alias("info_dp"),
+    return body.unionByName(head)
+
+
+@query(
+    "src01_read_sites",
+    """SELECT chrom, pos, ref, alt, filter, count(*) AS n_called, CAST(sum(dp) AS BIGINT) AS depth,
+              count(*) FILTER (WHERE gt = '0/1') AS n_het, 7 AS n_samples, true AS has_gq
+       FROM calls GROUP BY ALL""",
+)
+def _(t):
+    """Lines as one row per site: everything about a site is read from its own array of calls."""
+    called = F.filter("calls", lambda x: x["gt"].isNotNull())
+    return sc.parse_sites(call_lines(t)).select(
+        "chrom", "pos", "ref", F.get("alt", F.lit(0)).alias("alt"), "filter",
+        F.size(called).cast("bigint").alias("n_called"),
+        F.aggregate(called, F.lit(0).cast("bigint"), lambda s, x: s + x["dp"]).alias("depth"),
+        F.size(F.filter("calls", lambda x: x["gt"] == "0/1")).cast("bigint").alias("n_het"),
+        F.size("samples").alias("n_samples"),
+        "has_gq",
     )
 
 

@@ -135,6 +135,19 @@ def test_running_and_neighbours(spark):
         assert r.next_pos == min((p for p in mine if p > r.pos), default=None)
 
 
+def test_neighbours_read_and_deal_their_points_once(spark, tmp_path):
+    import re
+
+    path = str(tmp_path / "points")
+    spark.range(500).selectExpr("id % 3 AS k", "id * 7 AS pos").write.parquet(path)
+    plan = neighbours(spark.read.parquet(path), ["k"], "pos", 64)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(k#\d+L, __bucket#\d+L, \d+\), REPARTITION_BY_COL", plan)
+    got = neighbours(spark.read.parquet(path), ["k"], "pos", 64)
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert dealt and "ReusedExchange" in final and final.count("FileScan parquet") == 1
+
+
 def test_buckets_are_monotone(spark):
     values = sorted([0.0, 1e-300, 1e-12, 0.1, 0.25, 0.5, 0.9999, 1.0] + list(np.random.default_rng(1).random(200)))
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
