@@ -41,6 +41,8 @@ from .components import components
 
 #: Sets, and about as many tokens, of one chunk of a cluster; a block compares two chunks.
 CHUNK, CHUNK_TOKENS = 4096, 1 << 20
+#: Bytes of text whose shingles are hashed at once (or one text): tables and sums of the hash are that long.
+SET_BYTES = 256 * 1024
 #: Signatures held by a task before they are sent on.
 HELD = 500_000
 #: Cost of a segment that has next to no tokens, in signatures.
@@ -192,7 +194,7 @@ def set_sizes(docs: DataFrame, k: int, text: str = "text", out: str = "__set") -
         for batch in batches:
             data, at = text_bytes(batch)
             ids, sizes = [], []
-            for lo, hi in blocks(at):
+            for lo, hi in blocks(at, SET_BYTES):
                 tokens, counts = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k, hashes)
                 ids.append(set_ids(tokens, counts))
                 sizes.append(counts)
@@ -243,7 +245,7 @@ def signature_lists(docs: DataFrame, k: int, percent: int, text: str = "text") -
         size = 0
         for batch in batches:
             data, at = text_bytes(batch.column(0))
-            for lo, hi in blocks(at):
+            for lo, hi in blocks(at, SET_BYTES):
                 tokens, counts = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k, hashes)
                 ids = set_ids(tokens, counts)
                 _, where = np.unique(ids, return_index=True)
@@ -389,7 +391,7 @@ def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent:
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             want = batch.column(1).to_numpy()
-            for lo, hi in blocks(at):
+            for lo, hi in blocks(at, SET_BYTES):
                 tokens, counts = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k, hashes)
                 ids = set_ids(tokens, counts)
                 upto = np.r_[0, np.cumsum(counts)]

@@ -311,7 +311,7 @@ def test_suffix_rates_are_those_of_the_suffix(spark, monkeypatch):
     rows += [(10_000 + k, f"http://a.d{k}.com/q") for k in range(600)]  # allowed by rule
     rows += [(20_000 + k, f"http://never{k}.org/p") for k in range(300)]
     urls.judge(spark.createDataFrame(rows, "page_id bigint, url string"))
-    found = held[0].select("page_id", "suffix_rate", "top_rate").collect()
+    found = held[0].select("__row.page_id", "suffix_rate", "top_rate").collect()
     got = {r["page_id"]: r for r in found}
     assert len(found) == len(got) == len(rows)
     n, bad = 2000 + 600, 2000
