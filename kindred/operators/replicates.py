@@ -20,6 +20,9 @@ from ..plans.running import dense_index, exact_quantiles, position_bucket, range
 from ..plans.spine import with_replicates
 from .regions import mean_nearest_neighbour
 
+#: Tasks that blocks of drawn points are dealt out over.
+DRAW_TASKS = 96
+
 CI = {"ci_low": 0.025, "median": 0.5, "ci_high": 0.975}
 
 
@@ -320,12 +323,16 @@ def uniform_interval_null(spans_: DataFrame, n_points: DataFrame, n_rep: int, se
 
     ``spans_`` are disjoint.  ``n_points``: one row with column ``n``.  An offset is drawn in
     [0, total length) and found in the cumulative offsets by a binned range join.
+
+    Points are drawn in blocks dealt out over tasks.  The planner takes them for as few as the row
+    they are counted in, so the join is told to sort: a broadcast would gather them all.
     """
     offsets = cut_lineage(interval_offsets(cut_lineage(spans_), start, end))
     total = offsets.agg(F.max("hi").alias("__total"))
     slots = (
         with_replicates(n_points.select("n").join(F.broadcast(total)), n_rep)
         .withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / 10000))))
+        .repartition(DRAW_TASKS, "rep", "__b")
         .withColumn(
             "slot",
             F.explode(F.sequence(F.col("__b") * 10000, F.least(F.col("__b") * 10000 + 10000, F.col("n")) - 1)),
@@ -333,7 +340,7 @@ def uniform_interval_null(spans_: DataFrame, n_points: DataFrame, n_rep: int, se
         .withColumn("off", draw_index(F.col("__total"), F.lit(seed), F.col("rep"), F.col("slot")))
         .select("rep", "slot", "off")
     )
-    placed = spans.point_in_span(slots, offsets, [], "off", "lo", "hi", width=1 << 16)
+    placed = spans.point_in_span(slots.hint("merge"), offsets, [], "off", "lo", "hi", width=1 << 16)
     points = placed.select("rep", "chrom", (F.col(start) + F.col("off") - F.col("lo")).alias("pos"))
     return mean_nearest_neighbour(points, ["rep", "chrom"], ["rep"], "pos")
 

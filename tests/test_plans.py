@@ -256,3 +256,17 @@ def test_draws_do_not_depend_on_partitions(spark):
     df = spark.range(100).select("id", hash_int(F.lit(7), F.col("id")).alias("h"))
     again = spark.range(100).repartition(13).select("id", hash_int(F.lit(7), F.col("id")).alias("h"))
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_drawn_points_are_neither_broadcast_nor_in_one_task(spark):
+    """The points come from one row that holds their number, which the planner takes for a small table."""
+    from kindred.operators.replicates import uniform_interval_null
+
+    ivals = spark.createDataFrame([("a", 0, 50_000), ("b", 100, 70_000)], "chrom string, start bigint, end bigint")
+    n = spark.range(1).select(F.lit(30_000).cast("bigint").alias("n"))
+    out = uniform_interval_null(ivals, n, 2, 7)
+    assert [r.n_points for r in out.collect()] == [30_000, 30_000]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    ranged = [line for line in plan.splitlines() if "Join" in line and "__sbin" in line]
+    assert ranged and all("SortMergeJoin" in line for line in ranged), plan
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
