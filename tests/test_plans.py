@@ -270,3 +270,18 @@ def test_drawn_points_are_neither_broadcast_nor_in_one_task(spark):
     ranged = [line for line in plan.splitlines() if "Join" in line and "__sbin" in line]
     assert ranged and all("SortMergeJoin" in line for line in ranged), plan
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_above_a_cutoff_are_not_shuffled(spark):
+    """Their number grows with the square of the entities; the sums of a block pair are final in its task."""
+    rnd = random.Random(4)
+    rows = [(f"e{e}", i, rnd.random()) for e in range(20) for i in range(9)]
+    df = spark.createDataFrame(rows, "e string, i bigint, v double")
+    dot = lambda m: np.nan_to_num(m).T @ np.nan_to_num(m)
+    out = pair_sums(df, "e", F.col("i"), F.col("i"), F.col("v"), {"d": dot}, cutoff=("d", 1.0))
+    vectors = {f"e{e}": np.array([v for n, _, v in rows if n == f"e{e}"]) for e in range(20)}
+    want = {(a, b) for a in vectors for b in vectors if a < b and vectors[a] @ vectors[b] >= 1.0}
+    got = [(r.a, r.b) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInPandas")] and "HashAggregate" not in plan[: plan.index("MapInPandas")], plan
