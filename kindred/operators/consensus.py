@@ -89,8 +89,9 @@ def site_base_counts(
     """Counts of A, C, G, T at the given sites (chrom, 1-based pos), from reads with or without gaps.
 
     Aligned blocks are cut at the edges of ``width`` bases, each piece with its own bases, and
-    dealt over ``salts`` per bin; a site meets the pieces of its bin in each of them.  So reads
-    are not repeated, a deep place is spread, and the rows are (piece, covered site) pairs.
+    dealt over ``salts`` per bin; the sites of a bin, one row with at most ``width`` offsets, meet
+    its pieces in each of them.  So reads are not repeated, a deep place is spread, and the rows
+    are (piece, covered site) pairs.  The site rows are hashed, so the pieces need no sort.
     """
     per_base = dict(reads.dtypes)["base_quality"].startswith("array")
     if not per_base:
@@ -102,30 +103,37 @@ def site_base_counts(
     pieces = blocks.withColumn("__bin", F.explode(span_bins(F.col("from"), F.col("to"), width))).select(
         F.col("chrom").alias("__chrom"),
         F.col("__bin"),
-        lo.alias("__lo"),
-        hi.alias("__hi"),
+        (lo - F.col("__bin") * width).cast("int").alias("__lo"),
         F.substring(F.col("seq"), skip + 1, n).alias("seq"),
         (F.slice("base_quality", skip + 1, n) if per_base else F.lit(None)).alias("base_quality"),
         F.pmod(F.xxhash64("from", "to", "seq"), F.lit(salts)).cast("int").alias("__salt"),
     )
     p0 = (F.col("pos") - 1).cast("bigint")
     wanted = (
-        sites.select("chrom", "pos")
-        .distinct()
-        .select("chrom", "pos", p0.alias("__p"), bin_of(p0, width).alias("__sbin"))
+        sites.select("chrom", bin_of(p0, width).alias("__sbin"), F.pmod(p0, F.lit(width)).cast("int").alias("__p"))
+        .groupBy("chrom", "__sbin")
+        .agg(F.collect_set("__p").alias("__sites"))
         .withColumn("__ssalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
     on = (
         (F.col("chrom") == F.col("__chrom"))
         & (F.col("__sbin") == F.col("__bin"))
         & (F.col("__ssalt") == F.col("__salt"))
-        & (F.col("__p") >= F.col("__lo"))
-        & (F.col("__p") < F.col("__hi"))
     )
-    at = (F.col("__p") - F.col("__lo")).cast("int")
-    covered = pieces.join(wanted, on).withColumn("base", F.upper(F.substring(F.col("seq"), at + 1, F.lit(1))))
+    at = F.col("__p") - F.col("__lo")
+    covered = (
+        pieces.join(wanted.hint("shuffle_hash"), on)
+        .withColumn("__p", F.explode("__sites"))
+        .filter((at >= 0) & (at < F.length("seq")))
+        .select(
+            "chrom",
+            (F.col("__bin") * width + F.col("__p") + 1).cast(dict(sites.dtypes)["pos"]).alias("pos"),
+            F.upper(F.substring(F.col("seq"), at + 1, F.lit(1))).alias("base"),
+            *(["base_quality", at.alias("__at")] if per_base else []),
+        )
+    )
     if per_base:
-        covered = covered.filter(F.get("base_quality", at) >= min_base_quality)
+        covered = covered.filter(F.get("base_quality", F.col("__at")) >= min_base_quality)
     return (
         covered.filter(F.col("base").isin(*BASES))
         .groupBy("chrom", "pos")

@@ -102,3 +102,17 @@ def test_consensus_edits_are_linear(spark):
     want[5:12] = "N" * 7
     want[n - 1 :] = "N"
     assert got == {"c": "N" + "".join(want) + "N", "d": "NCCN"}
+
+
+def test_sites_of_a_pileup_travel_as_one_row_per_bin(spark):
+    """Sites are repeated for the salts as rows of a bin, not one by one, and the pieces are not sorted."""
+    reads = spark.range(200).select(
+        F.lit("c").alias("chrom"), (F.col("id") % 40 + 1).alias("pos"), F.lit("ACGTACGT").alias("seq"), F.lit(30).alias("base_quality")
+    )
+    sites = spark.range(1, 1001).select(F.lit("c").alias("chrom"), (F.col("id") % 500 + 1).cast("int").alias("pos"))
+    out = cs.site_base_counts(reads, sites, width=64)
+    got = out.collect()
+    assert dict(out.dtypes)["pos"] == "int" and sorted(r["pos"] for r in got) == list(range(1, 48))
+    assert sum(r["n_A"] + r["n_C"] + r["n_G"] + r["n_T"] for r in got) == 200 * 8
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "collect_set" in plan and "SortMergeJoin" not in plan
