@@ -254,14 +254,18 @@ def lane_coverage(lanes: DataFrame, by: list[str] = ("individual",), flowcell: s
 
 
 def lane_matrix(
-    lanes: DataFrame, columns: list[tuple[str, str]], by: list[str] = ("individual",), flowcell: str = "round_id", lane: str = "lane"
+    lanes: DataFrame, columns: list[tuple[str, str]] | list[str], by: list[str] = ("individual",), flowcell: str = "round_id", lane: str = "lane"
 ) -> DataFrame:
     """Coverage by individual and the given (flowcell, lane) columns, named ``flowcell:lane``; 0 where absent.
 
-    Lanes outside the list are added up in ``others``.
+    Columns may also be lanes alone; then ``by`` has the flowcell, so that every flowcell has its
+    own rows.  Lanes outside the list are added up in ``others``.
     """
-    rows = lane_coverage(lanes, by, flowcell, lane)
-    key = F.concat_ws(":", flowcell, lane)
-    names = [f"{f}:{x}" for f, x in columns]
+    alone = all(isinstance(c, str) for c in columns)
+    if alone and flowcell not in by:
+        raise ValueError(f"lanes of different flowcells would be added up: put {flowcell} into the rows")
+    rows = lane_coverage(lanes, [b for b in by if b != flowcell], flowcell, lane)
+    key = F.col(lane) if alone else F.concat_ws(":", flowcell, lane)
+    names = list(columns) if alone else [f"{f}:{x}" for f, x in columns]
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("coverage"))), F.lit(0.0))
     return rows.groupBy(*by).agg(*[total(key == n).alias(n) for n in names], total(~key.isin(names)).alias("others"))

@@ -181,7 +181,6 @@ def _(t):
 
 
 LANES = [f"L0{i}" for i in range(1, 8)]
-ROUNDS = ["V1", "V2", "V3"]
 
 
 @query(
@@ -192,20 +191,15 @@ def _(t):
     return rounded(bt.lane_coverage(t.lanes))
 
 
-LISTED = [(r, x) for r in ROUNDS for x in LANES[:2]]
-
-
 @query(
     "agg60_lane_matrix",
-    "SELECT individual, "
-    + ", ".join(
-        f"round(coalesce(sum(coverage) FILTER (WHERE round_id = '{r}' AND lane = '{x}'), 0), 9) AS \"{r}:{x}\"" for r, x in LISTED
-    )
-    + f", round(coalesce(sum(coverage) FILTER (WHERE NOT (round_id IN {tuple(ROUNDS)!r} AND lane IN {tuple(LANES[:2])!r})), 0), 9) AS others"
-    + " FROM lanes GROUP BY individual",
+    "SELECT individual, round_id, "
+    + ", ".join(f"round(coalesce(sum(coverage) FILTER (WHERE lane = '{x}'), 0), 9) AS \"{x}\"" for x in LANES)
+    + f", round(coalesce(sum(coverage) FILTER (WHERE lane NOT IN {tuple(LANES)!r}), 0), 9) AS others"
+    + " FROM lanes GROUP BY individual, round_id",
 )
 def _(t):
-    return rounded(bt.lane_matrix(t.lanes, LISTED))
+    return rounded(bt.lane_matrix(t.lanes, LANES, ["individual", "round_id"]))
 
 
 @query(

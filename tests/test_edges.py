@@ -738,3 +738,25 @@ def test_fisher_tables_far_in_the_tail():
     two, greater = sp.fisher_tables([90, 10**6, 0], [5, 10**6, 0], [7, 10**6 + 500, 3], [98, 10**6 - 500, 4])
     assert 0 < greater[0] < 1e-30 and greater[0] <= two[0] < 1e-30
     assert 0.4 < two[1] < 0.7 and two[2] == 1.0
+
+
+def test_lane_matrix_has_every_flowcell(spark):
+    """A row per individual and flowcell; no flowcell is folded into ``others``, equal lanes stay apart."""
+    from kindred.operators import batch as bt
+
+    rows = [("i1", "V1", "L01", 1.0), ("i1", "V9", "L01", 2.0), ("i1", "V9", "L07", 4.0), ("i2", "V9", "L09", 8.0)]
+    lanes = spark.createDataFrame(rows, "individual string, round_id string, lane string, coverage double")
+    got = bt.lane_matrix(lanes, ["L01", "L07"], ["individual", "round_id"]).collect()
+    assert {tuple(r) for r in got} == {("i1", "V1", 1.0, 0.0, 0.0), ("i1", "V9", 2.0, 4.0, 0.0), ("i2", "V9", 0.0, 0.0, 8.0)}
+    with pytest.raises(ValueError):
+        bt.lane_matrix(lanes, ["L01"])
+
+
+def test_lane_matrix_query_keeps_all_lanes_of_all_flowcells(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    wide = entry.queries()["agg60_lane_matrix"](spark, sf)
+    assert {"individual", "round_id", *[f"L0{i}" for i in range(1, 8)]} <= set(wide.columns)
+    long = entry.queries()["agg60_lane_coverage"](spark, sf)
+    assert wide.count() == long.select("individual", "round_id").distinct().count()
