@@ -475,7 +475,8 @@ def cds_sequence(cds: DataFrame, tiles: DataFrame, keys: list[str] = ("gene", "m
     """Ordered CDS parts of a transcript, reverse-complemented on '-', non-ACGT as N.
 
     Parts are cut at tile edges, so each fetches from one tile; a group is the exons of one
-    transcript.
+    transcript.  Tiles are long texts, often spelled out of short rows, so the join is told to sort:
+    a broadcast would gather the genome.
     """
     pos0 = F.col("start") - 1
     cut = (
@@ -490,7 +491,7 @@ def cds_sequence(cds: DataFrame, tiles: DataFrame, keys: list[str] = ("gene", "m
         )
         .withColumn("__lo", F.greatest(pos0, F.col("tile") * tile_bp))
         .withColumn("__len", (F.least(F.col("stop"), (F.col("tile") + 1) * tile_bp) - F.col("__lo")).cast("int"))
-        .join(tiles.select("chrom", "tile", F.col("seq").alias("__seq")), ["chrom", "tile"])
+        .join(tiles.select("chrom", "tile", F.col("seq").alias("__seq")).hint("merge"), ["chrom", "tile"])
         .withColumn(
             "__part",
             F.substring(F.col("__seq"), (F.col("__lo") - F.col("tile") * tile_bp + 2).cast("int"), F.col("__len")),
