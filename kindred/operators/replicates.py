@@ -16,6 +16,7 @@ from ..functions.special import binomial_quantile, gammaincc
 from ..plans import spans
 from ..plans.cut import cut_lineage
 from ..plans.draws import draw_index, hash_int, uniform
+from ..plans.lookup import lookup_join
 from ..plans.running import dense_index, exact_quantiles, position_bucket, range_buckets, running
 from ..plans.spine import with_replicates
 from .regions import mean_nearest_neighbour
@@ -114,16 +115,24 @@ def bootstrap_hierarchical(loci: DataFrame, callable_bp: DataFrame, n_rep: int,
         .groupBy("species", "rep")
         .agg(F.sum("bp").alias("bp"))
     )
-    phases = loci.select("species", "family", "locus", "phase").distinct()
+    phases = loci.groupBy("species", "family", "locus", "phase").agg(F.collect_set("child").alias("__carriers"))
     share = phases.groupBy("species").agg(
         (
             F.count_if(F.col("phase") == "P") / F.count_if(F.col("phase").isin("P", "M"))
         ).alias("__species_share")
     )
+    # A locus is kept once per draw that has one of its carriers, so rows meet their draws in place.
+    draws = (
+        chosen.groupBy("species", "family", "rep", "fam_slot")
+        .agg(F.collect_set("child").alias("kids"))
+        .groupBy("species", "family")
+        .agg(F.collect_list(F.struct("rep", "fam_slot", "kids")).alias("__draws"))
+    )
     drawn = (
-        chosen.join(loci, ["species", "family", "child"])
-        .select("species", "rep", "fam_slot", "family", "locus", "phase")
-        .distinct()
+        lookup_join(phases, cut_lineage(draws), ["species", "family"])
+        .withColumn("__draw", F.explode("__draws"))
+        .filter(F.arrays_overlap("__carriers", "__draw.kids"))
+        .select("species", "__draw.rep", "__draw.fam_slot", "locus", "phase")
     )
     pools = drawn.groupBy("species", "rep", "fam_slot").agg(
         (
@@ -131,13 +140,17 @@ def bootstrap_hierarchical(loci: DataFrame, callable_bp: DataFrame, n_rep: int,
             / F.nullif(F.count_if(F.col("phase").isin("P", "M")), F.lit(0))
         ).alias("__share")
     )
+    pools = cut_lineage(
+        pools.join(share, "species").select(
+            "species", "rep", "fam_slot", F.coalesce("__share", "__species_share").alias("__share")
+        )
+    )
     u = uniform(F.lit(seed), F.lit("phase"), F.col("species"), F.col("rep"), F.col("fam_slot"), F.col("locus"))
     paternal = (F.col("phase") == "P") | (
-        (F.col("phase") == "U") & (u < F.coalesce("__share", "__species_share"))
+        (F.col("phase") == "U") & (u < F.col("__share"))
     )
     counts = (
-        drawn.join(pools, ["species", "rep", "fam_slot"])
-        .join(share, "species")
+        lookup_join(drawn, pools, ["species", "rep", "fam_slot"])
         .groupBy("species", "rep")
         .agg(F.count_if(paternal).alias("n_p"), F.count_if(~paternal).alias("n_m"))
     )

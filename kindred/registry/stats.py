@@ -439,10 +439,10 @@ def _(t):
         "locus", F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt")
     )
     phase = F.col("phase")
-    resolved = rows.groupBy("species", "family", "locus").agg(ph.locus_phase().alias("phase")).withColumn(
-        "phase", F.when(phase.isin("P", "M"), phase).otherwise("U")
-    )
-    loci = rows.select("species", "family", "locus", "child").distinct().join(resolved, ["species", "family", "locus"])
+    resolved = rows.groupBy("species", "family", "locus").agg(
+        ph.locus_phase().alias("phase"), F.collect_set("child").alias("children")
+    ).withColumn("phase", F.when(phase.isin("P", "M"), phase).otherwise("U"))
+    loci = resolved.select("species", "family", "locus", F.explode("children").alias("child"), "phase")
     return rounded(rp.bootstrap_hierarchical(loci, t.callable_bp, 10, SEED), 12)
 
 

@@ -760,3 +760,15 @@ def test_lane_matrix_query_keeps_all_lanes_of_all_flowcells(spark):
     assert {"individual", "round_id", *[f"L0{i}" for i in range(1, 8)]} <= set(wide.columns)
     long = entry.queries()["agg60_lane_coverage"](spark, sf)
     assert wide.count() == long.select("individual", "round_id").distinct().count()
+
+
+def test_hierarchical_draws_meet_their_loci_without_a_shuffle(spark):
+    """Loci are grouped once; the rows of all draws are counted in place, a locus of two drawn offspring once."""
+    loci = [("A", "f1", f"l{i}", k, "PMU"[i % 3]) for i in range(30) for k in ("k1", "k2")]
+    loci = spark.createDataFrame(loci, "species string, family string, locus string, child string, phase string")
+    bp = spark.createDataFrame([("A", "f1", k, 100) for k in ("k1", "k2")], "species string, family string, child string, bp bigint")
+    out = rp.bootstrap_hierarchical(loci, bp, 4, 3)
+    assert [r.n_p + r.n_m for r in out.collect()] == [30] * 4
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in plan and "Aggregate [species" in plan
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "fam_slot" in x.split("]")[0] and "locus" in x.split("]")[0]], plan
