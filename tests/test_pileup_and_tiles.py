@@ -121,7 +121,7 @@ def test_sites_of_a_pileup_travel_as_one_row_per_bin(spark):
 def test_tiles_of_coding_sequence_are_not_broadcast(spark):
     parts = [("g", "t", "c", "+", 2, 4, 0), ("g", "t", "c", "+", 6, 7, 1)]
     cds = spark.createDataFrame(parts, "gene string, mrna string, chrom string, strand string, start bigint, stop bigint, file_order bigint")
-    tiles = spark.createDataFrame([("c", 0, "NACGTACGN")], "chrom string, tile bigint, seq string")
+    tiles = spark.range(1).select(F.lit("c").alias("chrom"), F.col("id").alias("tile"), F.lit("NACGTACGN").alias("seq"))
     out = sq.cds_sequence(cds, tiles)
     assert [r["cds"] for r in out.collect()] == ["CGTCG"]
     assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
