@@ -85,6 +85,32 @@ def view_sql(engine: str) -> dict[str, str]:
             )
             + """) AS calls FROM lineitem GROUP BY l_orderkey) c
             JOIN orders o ON o.o_orderkey = c.ok""",
+        # --- the same calls, one row per site with the seven calls of its family (Spark only) ----
+        "family_calls": """
+            SELECT 'c_' || CAST(o.o_custkey % 12 + 1 AS STRING) AS chrom,
+                   CAST(c.ok * 2 + 1 AS BIGINT) AS pos,
+                   'SP_family' || CAST(c.ok % 4 + 1 AS STRING) AS family,
+                   substr('ACGT', CAST(c.ok % 4 + 1 AS INT), 1) AS ref,
+                   substr('ACGT', CAST((c.ok + 1 + c.ok % 3) % 4 + 1 AS INT), 1) AS alt,
+                   CASE WHEN o.o_orderstatus = 'P' THEN 'gatk_germline' ELSE 'PASS' END AS filter,
+                   transform(c.calls, (x, i) -> CASE WHEN (c.there & shiftleft(1, i)) <> 0 THEN named_struct(
+                     'gt', CASE WHEN i < 2
+                           THEN CASE WHEN x.p % 10 < 8 THEN '0/0' WHEN x.p % 10 = 8 THEN '0/1' ELSE '1/1' END
+                           ELSE CASE WHEN x.p % 10 < 5 THEN '0/1' WHEN x.p % 10 < 8 THEN '0/0' ELSE '1/1' END END,
+                     'dp', CAST(x.q AS INT),
+                     'gq', CAST(40 + x.p % 60 AS INT),
+                     'ref_dp', CAST(x.q AS INT) - CAST(floor(x.q * (20 + x.s % 60) / 100) AS INT),
+                     'alt_dp', CAST(floor(x.q * (20 + x.s % 60) / 100) AS INT)) END) AS calls
+            FROM (SELECT l_orderkey AS ok,
+                         bit_or(CASE WHEN l_linenumber BETWEEN 1 AND 7 THEN shiftleft(1, l_linenumber - 1) ELSE 0 END) AS there, array("""
+            + ", ".join(
+                f"named_struct('q', min(l_quantity) FILTER (WHERE l_linenumber = {k}), "
+                f"'p', min(l_partkey) FILTER (WHERE l_linenumber = {k}), "
+                f"'s', min(l_suppkey) FILTER (WHERE l_linenumber = {k}))"
+                for k in range(1, 8)
+            )
+            + """) AS calls FROM lineitem GROUP BY l_orderkey) c
+            JOIN orders o ON o.o_orderkey = c.ok""",
         "mean_depth": """
             SELECT sample, chrom, avg(dp) AS mean_depth, count(*) AS n_sites
             FROM calls GROUP BY sample, chrom""",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calls import info_map
+from ..plans.cut import cut_lineage
 from ..plans.lookup import lookup_join
 from .tables import lines
 
@@ -63,7 +64,8 @@ def _located(rows: DataFrame, headers: DataFrame | None) -> DataFrame:
     """Site columns of each line, the place of every FORMAT key, and the names and texts of the samples."""
     body = rows.filter(~F.col("value").startswith("#") & (F.length("value") > 0))
     sites = body.select(same_path("path"), F.split("value", "\t").alias("f"))
-    names = headers if headers is not None else header_samples(rows)
+    # headers found among the lines are stored: measuring and joining them would read all lines again
+    names = headers if headers is not None else cut_lineage(header_samples(rows))
     sites = lookup_join(sites, names, ["path"])
     keys = F.split(F.get("f", F.lit(8)), ":")
     place = {k: F.array_position(keys, k).cast("int").alias(f"i_{k}") for k in _KEYS}
@@ -125,9 +127,11 @@ def parse_calls(rows: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     # the site columns are computed below the explode, and the line itself is not carried
     # through it: the work per line grows with its samples, not with their square
     kept = [c for c in located.columns if c not in ("samples", "texts")]
-    zipped = F.arrays_zip(F.col("samples").alias("name"), F.col("texts").alias("text"))
-    split = located.select(*kept, F.explode(zipped).alias("s")).withColumn("v", F.split("s.text", ":"))
-    return split.select(*SITE_COLUMNS, F.col("s.name").alias("sample"), *_fields(F.col("v")))
+    # texts are split below the explode: above it, a filter on a field would split them again
+    fields = F.transform("texts", lambda x: F.split(x, ":"))
+    zipped = F.arrays_zip(F.col("samples").alias("name"), fields.alias("v"))
+    split = located.select(*kept, F.explode(zipped).alias("s"))
+    return split.select(*SITE_COLUMNS, F.col("s.name").alias("sample"), *_fields(F.col("s.v")))
 
 
 def read_sites(spark: SparkSession, path) -> DataFrame:

@@ -160,3 +160,23 @@ def test_isolated_rows_as_drop_crowded(spark, distance):
     df = spark.createDataFrame(rows + rows[:20] + [("hot", None, -1)], "chrom string, pos bigint, i int")
     got = spans.isolated_rows(df, ["chrom"], "pos", distance, width=4)
     assert rows_of(got, df.columns) == rows_of(spans.drop_crowded(df, ["chrom"], "pos", distance), df.columns)
+
+
+@pytest.mark.parametrize("name", ["src01_read_calls", "src01_read_sites"])
+def test_lines_are_made_and_read_once(spark, name):
+    """Headers are known before the lines: no second pass over the tables looks for them."""
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) == 1 and plan.count("concat_ws(\t,") == 1
+
+
+def test_texts_are_split_once_and_headers_among_lines_are_stored(spark, tmp_path):
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "a", "b"])
+    lines = [("f", head), ("f", "c\t5\t.\tA\tG\t.\tPASS\tDB\tGT:DP\t0/1:7\t./.:."), ("f", "c\t9\t.\tA\tG\t.\tPASS\tDB\tGT:DP\t1|1:.\t0/0:3")]
+    spark.createDataFrame(lines, "path string, value string").write.parquet(str(tmp_path / "lines"))
+    called = sc.parse_calls(spark.read.parquet(str(tmp_path / "lines"))).filter("gt IS NOT NULL")
+    plan = called._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    assert not any("split(" in x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter"))
+    assert sorted((r["pos"], r["sample"], r["gt"], r["dp"]) for r in called.collect()) == [(5, "a", "0/1", 7), (9, "a", "1/1", None), (9, "b", "0/0", 3)]
