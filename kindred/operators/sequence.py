@@ -84,7 +84,8 @@ def sequence_lookup(sites: DataFrame, tiles: DataFrame, pos: str = "pos", tile_b
 
     ``tiles`` are text tiles, or packed ones (store these once: ``pack_tiles``).  A site meets its
     tile by (chrom, tile) and takes its bases in constant time.  Give one row per site, such as
-    the site-wide form of the calls, to look every position up once.
+    the site-wide form of the calls, to look every position up once.  The join is told to sort:
+    tiles made of short rows would pass for small and gather in the driver.
     """
     packed = tiles if "words" in tiles.columns else pack_tiles(tiles)
     pos0 = F.col(pos).cast("bigint") - 1
@@ -93,7 +94,7 @@ def sequence_lookup(sites: DataFrame, tiles: DataFrame, pos: str = "pos", tile_b
     side = packed.select(
         F.col("chrom"), F.col("tile").alias("__tile"), *[F.col(c).alias(f"__{c}") for c in ("size", "words", "masks")]
     )
-    joined = keyed.join(side, ["chrom", "__tile"], "left")
+    joined = keyed.join(side.hint("merge"), ["chrom", "__tile"], "left")
     offset = pos0 - F.col("__tile") * tile_bp
     context = packed_context(offset, F.col("__size"), F.col("__words"), F.col("__masks"))
     return joined.withColumn("context", context).select(*sites.columns, "context")

@@ -111,6 +111,15 @@ def view_sql(engine: str) -> dict[str, str]:
             )
             + """) AS calls FROM lineitem GROUP BY l_orderkey) c
             JOIN orders o ON o.o_orderkey = c.ok""",
+        # --- sites with a bit for each call of their family (Spark only) --------------------------
+        "called_sites": """
+            SELECT 'c_' || CAST(o.o_custkey % 12 + 1 AS STRING) AS chrom,
+                   CAST(c.ok * 2 + 1 AS BIGINT) AS pos,
+                   substr('ACGT', CAST(c.ok % 4 + 1 AS INT), 1) AS ref,
+                   'SP_family' || CAST(c.ok % 4 + 1 AS STRING) AS family, c.called
+            FROM (SELECT l_orderkey AS ok, bit_or(shiftleft(1, l_linenumber - 1)) AS called
+                  FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_orderkey) c
+            JOIN orders o ON o.o_orderkey = c.ok""",
         "mean_depth": """
             SELECT sample, chrom, avg(dp) AS mean_depth, count(*) AS n_sites
             FROM calls GROUP BY sample, chrom""",
@@ -165,6 +174,7 @@ def view_sql(engine: str) -> dict[str, str]:
             FROM (SELECT 'c_' || CAST(k AS STRING) AS chrom, tile FROM (SELECT {every12} AS k, tile
                   FROM (SELECT DISTINCT {_fl('o_orderkey * 2 / 32')} AS tile FROM orders) u) v) t""",
         # --- the same sequence in tiles of the package's width (Spark only) -----------------
+        # dealt out while they are short rows: the texts are spelled out by many tasks, not one
         "genome_tiles": f"""
             SELECT chrom, tile, tile * 32768 AS tile_start,
                    CASE WHEN tile = 0 THEN 'N'
@@ -172,7 +182,7 @@ def view_sql(engine: str) -> dict[str, str]:
                    || array_join(transform(sequence(first, last),
                                            i -> translate(md5(chrom || ':' || CAST(i AS STRING)), {_HEX})), '')
                    || translate(substr(md5(chrom || ':' || CAST(last + 1 AS STRING)), 1, 1), {_HEX}) AS seq
-            FROM (SELECT 'c_' || CAST(k AS STRING) AS chrom, tile, first, last
+            FROM (SELECT /*+ REPARTITION(64, chrom, tile) */ 'c_' || CAST(k AS STRING) AS chrom, tile, first, last
                   FROM (SELECT tile, first, last, {every12} AS k
                         FROM (SELECT {_fl('o_orderkey * 2 / 32768')} AS tile, min({_fl('o_orderkey * 2 / 32')}) AS first,
                                      max({_fl('o_orderkey * 2 / 32')}) AS last

@@ -125,3 +125,21 @@ def test_tiles_of_coding_sequence_are_not_broadcast(spark):
     out = sq.cds_sequence(cds, tiles)
     assert [r["cds"] for r in out.collect()] == ["CGTCG"]
     assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_looked_up_tiles_are_not_broadcast(spark):
+    tiles = spark.range(1).select(F.lit("c").alias("chrom"), F.col("id").alias("tile"), F.lit("NACGTN").alias("seq"))
+    sites = spark.range(1, 3).select(F.lit("c").alias("chrom"), F.col("id").alias("pos"))
+    out = sq.sequence_lookup(sites, tiles)
+    assert sorted(tuple(r) for r in out.collect()) == [("c", 1, "NAC"), ("c", 2, "ACG")]
+    assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["agg06_base_composition", "agg08_context_counts"])
+def test_tiles_are_dealt_out_before_they_are_spelled(spark, name):
+    """Texts are made of short rows by many tasks, and sites carry a bit for each call, not the calls."""
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.index("RepartitionByExpression")
+    assert "md5(" in plan[:dealt] and "md5(" not in plan[dealt:] and "l_quantity" not in plan.split("Relation")[0]
