@@ -268,6 +268,8 @@ def _context_counts(seqs: pd.Series, ids_: np.ndarray, edge: int, n_groups: int)
 
 # --- editing ---------------------------------------------------------------------------
 
+_BATCH_BASES = 1 << 22
+
 
 def _tiles_near(pos0: Column, tile_bp: int) -> Column:
     """Tiles that show a 0-based position as an own or a flanking base."""
@@ -279,8 +281,14 @@ def seq_consensus(tiles: DataFrame, selected: DataFrame, mask: DataFrame, start=
     """Put ALT at selected sites, then N over half-open mask spans; other tiles pass through.
 
     Edits are grouped per tile: at most one per base after de-duplication (longer ALTs are left
-    out), and mask spans are clipped to the tile first.  A tile is rewritten in one pass.
+    out), and mask spans are clipped to the tile first.  A tile is rewritten in one pass.  Tiles are
+    long, so the session's Arrow batches are lowered to about ``_BATCH_BASES`` bases.
     """
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", max(_BATCH_BASES // tile_bp, 1)
+    spark = tiles.sparkSession
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
     pos0 = F.col("pos") - 1
     edits = (
         selected.select("chrom", "pos", "alt")

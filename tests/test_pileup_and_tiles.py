@@ -143,3 +143,17 @@ def test_tiles_are_dealt_out_before_they_are_spelled(spark, name):
     plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     dealt = plan.index("RepartitionByExpression")
     assert "md5(" in plan[:dealt] and "md5(" not in plan[dealt:] and "l_quantity" not in plan.split("Relation")[0]
+
+
+def test_consensus_takes_few_long_tiles_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        tiles = spark.createDataFrame([("c", 0, 0, "NACN")], "chrom string, tile bigint, tile_start bigint, seq string")
+        edits = spark.createDataFrame([("c", 1, "G")], "chrom string, pos bigint, alt string")
+        mask = spark.createDataFrame([("c", 1, 2)], "chrom string, start bigint, end bigint")
+        assert [r["seq"] for r in sq.seq_consensus(tiles, edits, mask).collect()] == ["NGNN"]
+        assert int(spark.conf.get(key)) * sq.TILE_BP <= 1 << 22
+    finally:
+        spark.conf.set(key, before)
