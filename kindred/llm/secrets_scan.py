@@ -20,6 +20,9 @@ Built-in functions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -36,7 +39,10 @@ LEAST_VALUE = 8
 #: Kinds in the order in which spans that begin together are listed.
 KINDS = ("assign", "access", "hex", "random")
 #: Candidates of the battery.
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+# A run that is too short fails once, at its start, and not from each of its positions.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+#: Every match of these patterns holds one of the strings (assignments in lower case): most texts have none.
+HOLDS = {"assign": ("passw", "secret", "token", "api"), "access": ("AKIA",)}
 RATE = 0.001
 #: p values are counted in steps of a twentieth of a decade, down to 1e-15.
 STEPS, DEEPEST = 20, 15
@@ -98,31 +104,52 @@ def total(values: Column) -> Column:
 
 
 def offsets(gaps: Column, matches: Column) -> Column:
-    """Start of every match, given the texts between the matches: running sums in two levels."""
+    """Start of every match, given the texts between the matches: running sums in two levels.
+
+    A function's body runs for every element, with all that stands in it: arrays it looks into are bound.
+    """
     n = F.size(matches)
-    each = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (F.char_length(F.get(gaps, i)) + F.char_length(F.get(matches, i))).cast("bigint"),
-    )
-    runs = F.transform(F.sequence(F.lit(0), n - 1, F.lit(RUN)), lambda i: total(F.slice(each, i + 1, F.lit(RUN))))
-    upto = F.aggregate(
-        runs,
-        F.array(F.lit(0).cast("bigint")),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)),
-    )
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.get(upto, F.floor(i / RUN).cast("int"))
-        + total(F.slice(each, (F.floor(i / RUN) * RUN + 1).cast("int"), (i % RUN).cast("int")))
-        + F.char_length(F.get(gaps, i)),
-    )
+
+    def placed(gaps: Column, each: Column, upto: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: F.get(upto, F.floor(i / RUN).cast("int"))
+            + total(F.slice(each, (F.floor(i / RUN) * RUN + 1).cast("int"), (i % RUN).cast("int")))
+            + F.char_length(F.get(gaps, i)),
+        )
+
+    def summed(gaps: Column, each: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), n - 1, F.lit(RUN)), lambda i: total(F.slice(each, i + 1, F.lit(RUN))))
+        upto = F.aggregate(
+            runs,
+            F.array(F.lit(0).cast("bigint")),
+            lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)),
+        )
+        return bound(upto, lambda upto: placed(gaps, each, upto))
+
+    def measured(gaps: Column) -> Column:
+        each = F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: (F.char_length(F.get(gaps, i)) + F.char_length(F.get(matches, i))).cast("bigint"),
+        )
+        return bound(each, lambda each: summed(gaps, each))
+
+    return bound(gaps, measured)
 
 
 def with_matches(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Add, per pattern, the matched strings and (in ``__at_<name>``) where they start."""
-    found = docs.select(
-        "*", *[F.regexp_extract_all("__text", F.lit(p), F.lit(0)).alias(f"__m_{k}") for k, p in patterns.items()]
-    )
+    def holds(name: str) -> Column:
+        def any_of(text: Column) -> Column:
+            return reduce(or_, [F.contains(text, F.lit(x)) for x in HOLDS[name]])
+
+        return bound(F.lower("__text"), any_of) if name == "assign" else any_of(F.col("__text"))
+
+    def matched(name: str, pattern: str) -> Column:
+        all_of = F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))
+        return F.when(holds(name), all_of).otherwise(F.array().cast("array<string>")) if name in HOLDS else all_of
+
+    found = docs.select("*", *[matched(k, p).alias(f"__m_{k}") for k, p in patterns.items()])
     none = F.array().cast("array<bigint>")
     return found.select(
         "*",
@@ -163,8 +190,10 @@ def _battery(token: Column, encoding: Column) -> Column:
     url_safe = F.translate(token, "-_", "+/")
 
     def squares(text: Column, alphabet: str) -> Column:
-        counts = F.transform(F.array(*map(F.lit, alphabet)), lambda a: n - F.char_length(F.replace(text, a, F.lit(""))))
-        return F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
+        def counts(text: Column) -> Column:
+            return F.transform(F.array(*map(F.lit, alphabet)), lambda a: n - F.char_length(F.replace(text, a, F.lit(""))))
+
+        return F.aggregate(bound(text, counts), F.lit(0.0), lambda s, c: s + c * c)
 
     k = F.when(is_hex, 16.0).when(is_base32, 32.0).otherwise(64.0)
     sum_squares = (
@@ -221,29 +250,27 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     found = found.withColumn("__values", values)
 
-    def spans(name: str, kind: int) -> Column:
-        return F.transform(
-            f"__m_{name}",
-            lambda m, i: F.struct(
-                F.get(f"__at_{name}", i).alias("start"),
-                (F.get(f"__at_{name}", i) + F.char_length(m)).alias("end"),
-                F.lit(kind).alias("kind"),
-            ),
-        )
+    def spans(name: str, third: Callable[[Column], Column]) -> Column:
+        def at(starts: Column) -> Column:
+            return F.transform(
+                f"__m_{name}",
+                lambda m, i: F.struct(
+                    F.get(starts, i).alias("start"), (F.get(starts, i) + F.char_length(m)).alias("end"), third(m)
+                ),
+            )
 
-    long_enough = F.filter(
-        spans("assign", 0), lambda s, i: F.char_length(F.get("__values", i)) >= LEAST_VALUE
-    )
-    base = found.withColumn("base_spans", in_order(F.concat(long_enough, spans("access", 1), spans("hex", 2))))
-    tokens = F.transform(
-        "__m_token",
-        lambda m, i: F.struct(
-            F.get("__at_token", i).alias("start"), (F.get("__at_token", i) + F.char_length(m)).alias("end"), m.alias("token")
-        ),
-    )
-    free = F.filter(
-        tokens, lambda t: ~F.exists("base_spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+        return bound(F.col(f"__at_{name}"), at)
+
+    def kind(k: int) -> Callable[[Column], Column]:
+        return lambda m: F.lit(k).alias("kind")
+
+    long_enough = bound(
+        F.col("__values"),
+        lambda values: F.filter(spans("assign", kind(0)), lambda s, i: F.char_length(F.get(values, i)) >= LEAST_VALUE),
     )
+    base = found.withColumn("base_spans", in_order(F.concat(long_enough, spans("access", kind(1)), spans("hex", kind(2)))))
+    tokens = spans("token", lambda m: m.alias("token"))
+    free = bound(in_runs(F.col("base_spans")), lambda runs: F.filter(tokens, lambda t: ~meets(runs, t)))
     outside = base.withColumn("__free", free)
     tested = F.transform(
         "__free",
@@ -268,6 +295,30 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return scored.withColumn("candidates", steps).select(*own, "base_spans", "candidates")
 
 
+def in_runs(spans: Column) -> Column:
+    """Sorted spans in runs of RUN, each with its first start and last end."""
+    return F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(spans), F.lit(RUN)), lambda i: i < F.size(spans)),
+        lambda i: bound(
+            F.slice(spans, i + 1, F.lit(RUN)),
+            lambda run: F.struct(
+                F.get(run, F.lit(0))["start"].alias("start"),
+                F.array_max(F.transform(run, lambda s: s["end"])).alias("end"),
+                run.alias("spans"),
+            ),
+        ),
+    )
+
+
+def meets(runs: Column, t: Column) -> Column:
+    """Whether a span of the runs overlaps ``t``; only runs that overlap it are looked into."""
+
+    def overlaps(s: Column) -> Column:
+        return (s["start"] < t["end"]) & (t["start"] < s["end"])
+
+    return F.exists(runs, lambda r: overlaps(r) & F.exists(r["spans"], overlaps))
+
+
 def in_order(spans: Column) -> Column:
     """Spans by start, then kind."""
     turned = F.transform(

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import threading
 import zlib
 from collections import Counter
 
@@ -98,6 +99,31 @@ def test_secret_spans_match_brute_force(spark, odd, docs):
         assert Counter((r["doc_id"], r["base_sha256"]) for r in secrets_scan.secret_report(frame).collect()) == texts
 
 
+def test_secrets_of_a_long_text_take_time_in_proportion(spark):
+    """300 matches of each kind: looked up in arrays that are made once, not once for every match."""
+    rng = np.random.default_rng(4)
+    letters = np.array(list(secrets_scan.BASE64_SET[:62]))
+    parts = []
+    for i in range(300):
+        token, value = ("".join(rng.choice(letters, n)) for n in (40, 12))
+        near = "0123456789abcdef" * 3 + "/" + value  # a token that a hexadecimal string overlaps
+        parts.append(f"words {token} between, password = {value} AKIA{i:016d} and {near} \U0001f600")
+    text = " ".join(parts)
+    frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    late = threading.Timer(90, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        row = secrets_scan.scan(frame).select("base_spans", "candidates").first()
+    finally:
+        late.cancel()
+    listed = ",".join(f"{secrets_scan.KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in row["base_spans"])
+    assert listed == base_spans(text)
+    spans = [(s["start"], s["end"]) for s in row["base_spans"]]
+    tokens = [m.span() for m in re.finditer(secrets_scan.TOKEN, text)]
+    free = [(a, b) for a, b in tokens if not any(s < b and a < e for s, e in spans)]
+    assert len(tokens) > len(free) >= 300 and [(c["start"], c["end"]) for c in row["candidates"]] == free
+
+
 def test_random_tokens_are_found_and_words_are_not(spark):
     rng = np.random.default_rng(1)
     letters = np.array(list(secrets_scan.BASE64_SET[:62]))
