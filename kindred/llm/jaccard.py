@@ -16,7 +16,9 @@ first, so a set with enough of them is done.  Lists that are not probed are drop
 lines, passages and empty segments.  What remains connects sets into clusters; every linked pair
 lies in one.  A cluster is verified in blocks of at most 2 * CHUNK sets with an exact lower bound
 on the difference (parity bitmaps) and then the sets themselves; a block gives a spanning forest
-of its links, never pairs.
+of its links, never pairs.  Chance signatures join many unlike sets into one cluster as a corpus
+grows, so a cluster of several chunks is first taken apart by the bound alone: its blocks hold
+bitmaps, a tenth of the sets' bytes, in larger chunks.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  With fewer than k words the whole
 sequence is the one shingle; null texts and texts without words have an empty set and link with
@@ -41,6 +43,8 @@ from .components import components
 
 #: Sets, and about as many tokens, of one chunk of a cluster; a block compares two chunks.
 CHUNK, CHUNK_TOKENS = 4096, 1 << 20
+#: Sets, and bytes of bitmaps, of a chunk of a cluster that is taken apart.
+MAPS, MAP_BYTES = 16384, 1 << 22
 #: Bytes of text whose shingles are hashed at once (or one text): tables and sums of the hash are that long.
 SET_BYTES = 256 * 1024
 #: Signatures held by a task before they are sent on.
@@ -132,7 +136,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, ids: np.ndarray, percent:
     """(signature, set id with the role in its lowest bit) of the given sets.
 
     Role 0 is a set in its own band's scheme, role 1 in that of the band above.  A signature holds
-    48 bits of hash, the scheme, and (with deletions) the segment.
+    48 bits of hash, the scheme, and (with deletions) the segment, else 0.
     """
     edges, plans = plan or schemes(percent)
     band = np.searchsorted(edges, counts, "right") - 1
@@ -161,7 +165,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, ids: np.ndarray, percent:
         def sign(a, b, who, place, scheme=scheme, dele=dele):
             h = mixed(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mixed(b.astype(np.uint64) + np.uint64(3)))
             h = mixed(h + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + scheme[who].astype(np.uint64))
-            tail = np.where(dele[who], place.astype(np.uint64) & np.uint64(255), h & np.uint64(255))
+            tail = np.where(dele[who], place.astype(np.uint64) & np.uint64(255), np.uint64(0))
             return h & ~np.uint64(0xFFFF) | scheme[who].astype(np.uint64) << eight | tail
 
         out_sig.append(sign(a, b, who, place))
@@ -173,6 +177,38 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, ids: np.ndarray, percent:
     return np.concatenate(out_sig), np.concatenate(out_id)
 
 
+#: Bits of a set id by which signature lists and clusters name a set.  Sets that share them are one
+#: node there: their clusters are one, which verification takes apart.
+NODE = (1 << 48) - 2
+
+#: Fields of a row of packed signatures, sorted by signature: steps between their upper 32 bits (two
+#: fields, the upper one nearly all zeros), the rest of the hash, the scheme, the segment, and the key.
+PACKED = [("step", "<u2"), ("far", "<u2"), ("rest", "<u2"), ("scheme", "u1"), ("segment", "u1"), ("key", "<u4"), ("key_high", "<u2")]
+
+
+def pack(sig: np.ndarray, key: np.ndarray) -> dict[str, np.ndarray]:
+    """The fields of sorted signatures and their keys of 48 bits, 11 bytes for most and compressible zeros."""
+    upper = (sig >> np.uint64(32)).astype(np.int64)
+    step = np.diff(upper, prepend=0)
+    of = {
+        "step": step, "far": step >> 16, "rest": sig >> np.uint64(16), "scheme": sig >> np.uint64(8), "segment": sig,
+        "key": key, "key_high": key >> 32,
+    }
+    return {name: of[name].astype(kind) for name, kind in PACKED}
+
+
+def unpack(rows: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and keys of packed rows, one row after the other."""
+    of = {name: np.frombuffer(b"".join(rows[name]), kind) for name, kind in PACKED}
+    n = np.array([len(x) for x in rows["segment"]], np.int64)
+    upper = np.cumsum(of["step"].astype(np.int64) | of["far"].astype(np.int64) << 16)
+    before = np.r_[np.int64(0), upper][np.cumsum(n) - n]
+    upper = (upper - np.repeat(before, n)).astype(np.uint64)
+    sig = upper << np.uint64(32) | of["rest"].astype(np.uint64) << np.uint64(16)
+    sig |= of["scheme"].astype(np.uint64) << np.uint64(8) | of["segment"].astype(np.uint64)
+    return sig, of["key"].astype(np.int64) | of["key_high"].astype(np.int64) << 32
+
+
 def id_columns(doc_id: str) -> list[Column]:
     """A row's id as (is null, id)."""
     return [
@@ -210,8 +246,9 @@ def set_sizes(docs: DataFrame, k: int, text: str = "text", out: str = "__set") -
 def signature_lists(docs: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
     """(sig, key, members) of every signature that sets of its scheme share, one row per set in it.
 
-    Tasks deal their signatures out to buckets by the upper bits and send them packed, one row
-    per bucket; a bucket is sorted in numpy.  Sets that repeat in a task are sent once.
+    A key has a set's NODE bits and the role.  Tasks deal their signatures out to buckets by the upper
+    bits and send them packed, one row per bucket; a bucket is sorted in numpy.  Sets that repeat in
+    a task are sent once.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -228,19 +265,14 @@ def signature_lists(docs: DataFrame, k: int, percent: int, text: str = "text") -
         def flush() -> pa.RecordBatch:
             sig = np.concatenate([s for s, _ in held])
             key = np.concatenate([x for _, x in held])
+            order = np.argsort(sig)
+            sig, key = sig[order], key[order] & (NODE | 1)
             bucket = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            sig, key, bucket = sig[order], key[order], bucket[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[first[1:], len(bucket)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[first]),
-                    pa.array([sig[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                    pa.array([key[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                ],
-                ["bucket", "sigs", "keys"],
-            )
+            rows = [pack(sig[a:b], key[a:b]) for a, b in zip(first, ends, strict=True)]
+            fields = [pa.array([row[name].tobytes() for row in rows], pa.binary()) for name, _ in PACKED]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), *fields], ["bucket", *dict(PACKED)])
 
         size = 0
         for batch in batches:
@@ -270,8 +302,7 @@ def signature_lists(docs: DataFrame, k: int, percent: int, text: str = "text") -
             give_back()
 
     def shared_in(table: pa.Table) -> pa.Table:
-        sig = np.frombuffer(b"".join(table["sigs"].to_pylist()), np.uint64)
-        key = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64)
+        sig, key = unpack({name: table[name].to_pylist() for name, _ in PACKED})
         order = np.lexsort((key, sig))
         sig, key = sig[order], key[order]
         keep = np.r_[True, (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])]
@@ -289,12 +320,12 @@ def signature_lists(docs: DataFrame, k: int, percent: int, text: str = "text") -
             }
         )
 
-    dealt = docs.select(F.col(text)).mapInArrow(deal, "bucket int, sigs binary, keys binary")
+    dealt = docs.select(F.col(text)).mapInArrow(deal, "bucket int, " + ", ".join(f"{name} binary" for name, _ in PACKED))
     return dealt.groupBy("bucket").applyInArrow(shared, "sig bigint, key bigint, members bigint")
 
 
 def clusters(lists: DataFrame, percent: int) -> DataFrame:
-    """(set_id, cluster): sets that cheapest-first probing leaves connected."""
+    """(node, cluster): nodes of sets that cheapest-first probing leaves connected."""
     _, plans = schemes(percent)
     scheme = F.shiftright(F.col("sig"), 8).bitwiseAND(F.lit(255).cast("bigint")).cast("int")
     lists = stored(lists)
@@ -316,7 +347,50 @@ def clusters(lists: DataFrame, percent: int) -> DataFrame:
     edges = lists.join(pivots, "sig").select(own.alias("a"), "b").filter("a <> b").distinct()
     found = components(edges)
     drop_stored(lists)  # the components are stored
-    return found.select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    return found.select("node", F.col("component").alias("cluster"))
+
+
+def bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the tokens in each of ``bits`` cells, as words."""
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def bits_for(size: int) -> int:
+    """Cells of the bitmap of a set: four to eight a token, at least 256 and at most 65,536."""
+    return 1 << min(16, max(8, int(4 * size).bit_length()))
+
+
+def near_forest(size: np.ndarray, maps: list[np.ndarray], chunk: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs whose bitmaps don't show that they differ in too many tokens.
+
+    With two chunks only pairs between them are looked at.  A bitmap is folded to the length of the
+    smaller set's.
+    """
+    order = np.argsort(size, kind="stable")
+    size, chunk = size[order], chunk[order]
+    words = np.array([len(maps[o]) for o in order])
+    two = chunk.min() != chunk.max()
+    label = np.arange(len(order))
+    out = []
+    for w in np.unique(words):
+        first, last = np.searchsorted(words, w), np.searchsorted(words, w, "right")
+        reach = np.searchsorted(size, size[first:last] * 100 // percent, "right")
+        table = np.empty((reach[-1] - first, w), np.uint64)
+        for r in range(first, reach[-1]):
+            table[r - first] = np.bitwise_xor.reduce(maps[order[r]].reshape(-1, w), axis=0)
+        for i, upto in enumerate(reach, first):
+            apart = np.bitwise_count(table[i + 1 - first : upto - first] ^ table[i - first]).sum(axis=1, dtype=np.int64)
+            near = apart <= (100 - percent) * (size[i] + size[i + 1 : upto]) // (100 + percent)
+            if two:
+                near &= chunk[i + 1 : upto] != chunk[i]
+            near &= label[i + 1 : upto] != label[i]
+            js = np.flatnonzero(near) + i + 1
+            _, pick = np.unique(label[js], return_index=True)
+            for j in js[pick].tolist():
+                label[label == label[j]] = label[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
 
 
 def forest(sets: list[np.ndarray], chunk: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -324,11 +398,10 @@ def forest(sets: list[np.ndarray], chunk: np.ndarray, percent: int) -> list[tupl
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     size, chunk = size[order], chunk[order]
-    bits = 1 << min(16, max(8, int(4 * size[-1]).bit_length()))
+    bits = bits_for(size[-1])
     packed = np.empty((len(sets), bits // 64), np.uint64)
     for i, o in enumerate(order):
-        odd = np.bincount((sets[o] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-        packed[i] = np.packbits(odd.astype(bool)).view(np.uint64)
+        packed[i] = bitmap(sets[o], bits)
     two = chunk.min() != chunk.max()
     root = np.arange(len(sets))
 
@@ -360,6 +433,58 @@ def forest(sets: list[np.ndarray], chunk: np.ndarray, percent: int) -> list[tupl
     return out
 
 
+def taken_apart(sets: DataFrame, percent: int) -> DataFrame:
+    """(set_id, cluster, chunks) of the sets that may link with another of their cluster, in finer clusters.
+
+    ``sets`` has (set_id, cluster, tokens); two sets of a cluster that link lie in one finer cluster.
+    """
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from released(maps_of(batches))
+
+    def maps_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)]
+            maps = pa.array([bitmap(x, bits_for(len(x))).tobytes() for x in tokens], pa.binary())
+            n = pa.array([len(x) for x in tokens], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, maps], ["set_id", "cluster", "n", "map"])
+
+    mapped_sets = sets.select("set_id", "cluster", "tokens").mapInArrow(
+        mapped, "set_id bigint, cluster bigint, n bigint, map binary"
+    )
+    mapped_sets = stored(mapped_sets)
+    parts = mapped_sets.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum(F.length("map")) / MAP_BYTES), F.ceil(F.count("*") / MAPS)).cast("int").alias("parts")
+    )
+    dealt = mapped_sets.join(parts, "cluster").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "cluster", "set_id", "n", "map", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
+    )
+
+    def near(table: pa.Table) -> pa.Table:
+        try:
+            return near_in(table)
+        finally:
+            give_back()
+
+    def near_in(table: pa.Table) -> pa.Table:
+        ids, n, chunk = (table[c].to_numpy() for c in ("set_id", "n", "chunk"))
+        maps = [np.frombuffer(x.as_py(), np.uint64) for x in table["map"]]
+        found = near_forest(n, maps, chunk, percent)
+        return pa.table({"a": pa.array([ids[a] for a, _ in found], pa.int64()), "b": pa.array([ids[b] for _, b in found], pa.int64())})
+
+    edges = dealt.groupBy("cluster", "lo", "hi").applyInArrow(near, "a bigint, b bigint")
+    finer = components(edges).select(F.col("node").alias("set_id"), F.col("component").alias("cluster"))
+    finer = stored(finer.join(mapped_sets.groupBy("set_id").agg(F.max("n").alias("n")), "set_id"))
+    drop_stored(mapped_sets)
+    return finer.join(finer.groupBy("cluster").agg(chunks_of().alias("chunks")), "cluster").drop("n")
+
+
+def chunks_of() -> Column:
+    """Chunks of a cluster of sets of ``n`` tokens."""
+    return F.greatest(F.ceil(F.sum("n") / CHUNK_TOKENS), F.ceil(F.count("*") / CHUNK))
+
+
 def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent: int, text: str = "text") -> DataFrame:
     """(a, b) set ids: spanning forests of the verified links of each cluster.
 
@@ -367,13 +492,13 @@ def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    reps = rows.filter("n > 0").join(grouped, "set_id").groupBy("set_id", "cluster").agg(
+    node = F.col("set_id").bitwiseAND(F.lit(NODE).cast("bigint"))
+    reps = rows.filter("n > 0").withColumn("node", node).join(grouped, "node").groupBy("set_id", "cluster").agg(
         F.min(F.struct("no_id", "id")).alias("r"), F.max("n").alias("n")
     )
     reps = stored(reps)
-    sizes = reps.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.sum("n") / CHUNK_TOKENS), F.ceil(F.count("*") / CHUNK)).alias("chunks")
-    )
+    sizes = reps.groupBy("cluster").agg(chunks_of().alias("chunks"))
+    most = sizes.agg(F.max("chunks")).first()[0] or 0
     bins = 1 + (reps.agg(F.sum("n")).first()[0] or 0) // CHUNK_TOKENS
     wanted = reps.join(sizes, "cluster").select(
         F.col("r.no_id").alias("no_id"), F.col("r.id").alias("id"), F.col("set_id").alias("want"), "cluster", "chunks"
@@ -412,9 +537,15 @@ def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent:
                         ["set_id", "cluster", "chunks", "tokens"],
                     )
 
-    sets = texts.select("t", "want", "cluster", "chunks").mapInArrow(
+    fetched = texts.select("t", "want", "cluster", "chunks").mapInArrow(
         sets_of, "set_id bigint, cluster bigint, chunks bigint, tokens binary"
     )
+    sets = fetched
+    if most > 1:
+        fetched = stored(fetched)
+        large = fetched.filter("chunks > 1")
+        finer = large.select("set_id", "tokens").join(taken_apart(large, percent), "set_id")
+        sets = fetched.filter("chunks = 1").unionByName(finer)
     # A cluster of one chunk shares a bin with others; of a larger one, each pair of chunks is a block.
     chunks = F.col("chunks").cast("int")
     mine = F.pmod(F.xxhash64("set_id"), chunks).cast("int")
@@ -451,7 +582,10 @@ def links(docs: DataFrame, rows: DataFrame, grouped: DataFrame, k: int, percent:
                 found += [(int(ids[part[a]]), int(ids[part[b]])) for a, b in forest(sets, chunk[part], percent)]
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("bin", "lo", "hi").applyInArrow(verify, "a bigint, b bigint")
+    found = stored(dealt.groupBy("bin", "lo", "hi").applyInArrow(verify, "a bigint, b bigint"))
+    if most > 1:
+        drop_stored(fetched)
+    return found
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import threading
+import time
 import zlib
 from collections import Counter
 
@@ -10,9 +11,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from kindred.llm import byte_pairs, components, decontaminate, jaccard, language, licenses, order_minhash
 from kindred.llm import quality, queries, secrets_scan, shards, urls
+from kindred.llm.common import FILE_CLEANUP, stored
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -248,6 +251,78 @@ def test_jaccard_components_match_brute_force(spark, chunk, monkeypatch):
         assert sorted(kept) == sorted(set(least.values()))
 
 
+def test_jaccard_of_clusters_in_many_blocks(spark, monkeypatch):
+    """Large clusters are taken apart by bitmaps in blocks of their own; no link is lost, no pair made up."""
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    monkeypatch.setattr(jaccard, "MAPS", 7)
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(12)]
+    rows = []
+    for family in range(12):
+        own = [f"f{family}w{i}" for i in range(int(rng.integers(30, 200)))]
+        for _ in range(4):
+            words = [w for w in own if rng.random() < 0.99]
+            rows.append((len(rows), " ".join([*common, *words])))
+    rows += [(len(rows) + i, " ".join([*common, *(f"u{i}w{j}" for j in range(14))])) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    sets = []
+    for _, text in rows:
+        words = text.split()
+        sets.append({tuple(words[j : j + 2]) for j in range(len(words) - 1)})
+    least = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                    least[i] = min(least[i], least[j])
+        if all(least[x] == x for x in least):
+            break
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_report(frame, 2, 80).collect()}
+    assert got == dict(enumerate(least)) and len(set(least)) < len(rows) - 20
+
+
+def test_unlike_sets_of_a_cluster_are_not_compared(spark, monkeypatch):
+    """A cluster may hold a share of the corpus by chance: its sets were copied once for each of its chunks."""
+    monkeypatch.setattr(jaccard, "MAPS", 50)
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n), dtype=np.uint64)) for n in rng.integers(5, 900, 300)]
+    sets += [np.delete(x, slice(0, len(x) // 10)) for x in sets[:30]]
+    rows = [(i, 9, bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "set_id bigint, cluster bigint, tokens binary")
+    got = {r["set_id"]: r["cluster"] for r in jaccard.taken_apart(frame, 80).collect()}
+    linked = {i for i in range(30) if 10 * len(sets[300 + i]) >= 8 * len(sets[i])}
+    assert len(linked) > 20 and all(got[i] == got[300 + i] == i for i in linked)
+    assert len(got) < 100
+
+
+def test_packed_signatures_come_back():
+    rng = np.random.default_rng(13)
+    sig = np.sort(rng.integers(0, 1 << 64, 900, dtype=np.uint64))
+    key = (rng.integers(0, 1 << 62, 900) << 1 | rng.integers(0, 2, 900)) & (jaccard.NODE | 1)
+    rows = [jaccard.pack(sig[a:b], key[a:b]) for a, b in ((0, 1), (1, 700), (700, 900))]
+    back = jaccard.unpack({name: [r[name].tobytes() for r in rows] for name, _ in jaccard.PACKED})
+    assert (back[0] == sig).all() and (back[1] == key).all()
+    assert sum(x.nbytes for name, x in rows[1].items() if name not in ("far", "segment")) == 11 * 699
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """They stayed until the driver's garbage was collected, so a stage's shuffles added up on the disks."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x for x in files.getAllFiles().mkString("\n").split("\n") if x.rsplit("/", 1)[-1].startswith("shuffle_")}
+
+    before = shuffled()
+    counts = spark.range(1000).groupBy(F.pmod(F.xxhash64("id"), F.lit(50)).alias("h")).count()
+    table = stored(counts)
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert sorted(table.collect()) == sorted(counts.collect())
+    assert spark.conf.get(FILE_CLEANUP, None) is None
+
+
 def test_jaccard_of_odd_and_empty_tables(odd):
     got = jaccard.join_report(odd).collect()
     assert len(got) == len(ODD)
