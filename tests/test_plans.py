@@ -1,5 +1,6 @@
 """Sweeps, joins and replicates against brute force, with bins small enough to cross."""
 
+import itertools
 import random
 
 import numpy as np
@@ -285,3 +286,19 @@ def test_pairs_above_a_cutoff_are_not_shuffled(spark):
     assert len(got) == len(set(got)) and set(got) == want
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "Exchange" not in plan[: plan.index("MapInPandas")] and "HashAggregate" not in plan[: plan.index("MapInPandas")], plan
+
+
+def test_rows_are_copied_by_their_number_and_not_for_small_matrices(spark):
+    """With a cut-off a block pair is cut into tiles; its rows were copied once per block of a matrix that fits."""
+    rng = np.random.default_rng(6)
+    m = rng.integers(0, 4, (9, 120)) * (rng.random((9, 120)) < 0.6).astype(float)
+    rows = [(f"e{j}", i, float(m[i, j])) for i in range(9) for j in range(120) if m[i, j]]
+    df = spark.createDataFrame(rows, "e string, i int, v double")
+    dot = lambda x: np.nan_to_num(x).T @ np.nan_to_num(x)
+    for least in (12.0, 0.0):  # at 0 a pair must meet in a bucket
+        out = pair_sums(df, "e", F.col("i"), F.floor(F.col("i") / 3), F.col("v"), {"d": dot}, cutoff=("d", least), budget=3 * 8 * 20**2)
+        assert "sequence(0, 7" in out._jdf.queryExecution().analyzed().toString()
+        got = [(r.a, r.b, r.d) for r in out.collect()]
+        met = {p for b in range(3) for p in itertools.product(*[np.flatnonzero(m[3 * b : 3 * b + 3].any(axis=0))] * 2)}
+        pairs = [(*sorted((f"e{a}", f"e{b}")), m[:, a] @ m[:, b]) for a in range(120) for b in range(a) if (a, b) in met]
+        assert sorted(got) == sorted(p for p in pairs if p[2] >= least)
