@@ -302,3 +302,12 @@ def test_rows_are_copied_by_their_number_and_not_for_small_matrices(spark):
         met = {p for b in range(3) for p in itertools.product(*[np.flatnonzero(m[3 * b : 3 * b + 3].any(axis=0))] * 2)}
         pairs = [(*sorted((f"e{a}", f"e{b}")), m[:, a] @ m[:, b]) for a in range(120) for b in range(a) if (a, b) in met]
         assert sorted(got) == sorted(p for p in pairs if p[2] >= least)
+
+
+def test_null_items_and_entities_are_in_no_pair_of_a_cutoff(spark):
+    rows = [("a", 1, 2.0), ("a", None, 5.0), ("b", 1, 3.0), ("b", None, 5.0), (None, 1, 9.0), (None, None, 9.0), ("c", None, 5.0), ("c", 2, 1.0)]
+    df = spark.createDataFrame(rows, "e string, i int, v double")
+    dot = lambda x: np.nan_to_num(x).T @ np.nan_to_num(x)
+    for blocks in (None, 1):
+        out = pair_sums(df, "e", F.col("i"), F.floor(F.col("i") / 3), F.col("v"), {"d": dot}, blocks, cutoff=("d", 1.0))
+        assert [tuple(r) for r in out.collect()] == [("a", "b", 6.0)]
