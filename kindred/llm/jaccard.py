@@ -456,7 +456,8 @@ def taken_apart(sets: DataFrame, percent: int) -> DataFrame:
     parts = mapped_sets.groupBy("cluster").agg(
         F.greatest(F.ceil(F.sum(F.length("map")) / MAP_BYTES), F.ceil(F.count("*") / MAPS)).cast("int").alias("parts")
     )
-    dealt = mapped_sets.join(parts, "cluster").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
+    # A row for thousands of sets or a million tokens at least; a cluster's sets are not gathered by it.
+    dealt = mapped_sets.join(F.broadcast(parts), "cluster").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "cluster", "set_id", "n", "map", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
     )
